@@ -1,6 +1,15 @@
 """Whole jobs: evaluation, metadata, reports, benchmark tables, batch inference."""
 
-from txmetrics.plans.dataset import batch_stats, build_benchmark, canonical_batch, lay_out, normalise_outputs, stats_document
+from txmetrics.plans.dataset import (
+    batch_stats,
+    build_benchmark,
+    canonical_batch,
+    lay_out,
+    normalise_outputs,
+    stats_document,
+    write_benchmark,
+    write_outputs,
+)
 from txmetrics.plans.evaluation import Evaluation, evaluate, evaluate_directory, result_map, score
 from txmetrics.plans.inference import Provider, batch_infer, cached_text, plan_work, split_cached
 from txmetrics.plans.metadata import catalog_projection, consolidate, join_script_metadata, normalise_columns, union_sheets
@@ -32,4 +41,6 @@ __all__ = [
     "split_cached",
     "stats_document",
     "union_sheets",
+    "write_benchmark",
+    "write_outputs",
 ]

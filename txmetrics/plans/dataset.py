@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txmetrics.functions.columns import same_key
+from txmetrics.functions.columns import distinct_values, same_key
 from txmetrics.functions.text import file_name, stem
 from txmetrics.sinks.csv import export_csv
 from txmetrics.sinks.tables import write_partitioned
@@ -89,16 +89,21 @@ def source_images(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def write_outputs(outputs: DataFrame, directory: str) -> str:
+    """``<model>.csv`` per model with ``image_name, batch_id, inference``; null text becomes empty.
+
+    For tables that other jobs read, ``write_partitioned(outputs, path, ["model"])`` is the
+    better form: one pass and prunable by model.
+    """
+    for model in distinct_values(outputs, "model"):
+        one = outputs.where(F.col("model") == model)
+        export_csv(one.select("image_name", "batch_id", F.coalesce("inference", F.lit("")).alias("inference")), f"{directory}/{model}.csv")
+    return directory
+
+
 def normalise_outputs(spark: SparkSession, source: str, target: str) -> DataFrame:
-    """Rewrite model CSVs as a table of the three columns with uniform quoting.
+    """Rewrite model CSVs with the three columns and uniform quoting.
 
-    Null text becomes empty text. The result goes to a new place, by model; files that are
-    being read are never overwritten.
+    The result goes to a new place; files that are being read are never overwritten.
     """
-    outputs = scan_outputs(spark, source)
-    for row in outputs.select("model").distinct().orderBy("model").toLocalIterator():
-        one = outputs.where(F.col("model") == row.model).select(
-            "image_name", "batch_id", F.coalesce("inference", F.lit("")).alias("inference")
-        )
-        export_csv(one, f"{target}/{row.model}.csv")
-    return scan_outputs(spark, target)
+    return scan_outputs(spark, write_outputs(scan_outputs(spark, source), target))
