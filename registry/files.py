@@ -39,7 +39,7 @@ def csv_rewritten(spark, sf_dir):
 
 def outputs_by_model(spark, sf_dir):
     """Model outputs as a table partitioned by model."""
-    path = write_partitioned(t.inference(spark, sf_dir), _folder(spark, "outputs"), ["model"])
+    path = write_partitioned(t.inference(spark, sf_dir), _folder(spark, "outputs"), ["model"], rebalance=False)
     written = spark.read.schema("image_name STRING, batch_id STRING, inference STRING, model STRING").parquet(path)
     return written.groupBy("model").agg(
         F.count("*").alias("count"), F.count("inference").alias("texts"), F.sum(F.length("inference")).alias("chars")

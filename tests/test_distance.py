@@ -44,9 +44,19 @@ def test_rounding_is_half_even(spark):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text("abé", max_size=30), st.text("abé", max_size=30))
-def test_long_route_against_brute_force(a, b):
-    assert ds.text_distance(a, b) == brute(a, b)
+@given(st.lists(st.text("abé", max_size=30), max_size=5), st.text("abé", max_size=30))
+def test_long_route_against_brute_force(texts, reference):
+    assert ds.text_distances(texts, reference) == [brute(x, reference) for x in texts]
+    assert ds.full_distances(texts, reference) == [brute(x, reference) for x in texts]
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.integers(0, 10**6), st.integers(0, 60))
+def test_very_long_route(seed, percent):
+    rng = random.Random(seed)
+    text = "".join(rng.choice("abcdé ") for _ in range(rng.randint(50, 700)))
+    noisy = "".join(rng.choice(["", c + "x", "y"]) if rng.random() * 100 < percent else c for c in text) or "z"
+    assert ds._very_long_distance(text, noisy) == brute(text, noisy)
 
 
 @settings(max_examples=300, deadline=None)
@@ -62,7 +72,7 @@ def test_band_is_exact_up_to_its_bound(a, b, extra):
 @settings(max_examples=100, deadline=None)
 @given(st.text("ab", max_size=12), st.text("ab", max_size=12), st.text("ab", max_size=12))
 def test_metric_laws(a, b, c):
-    d = ds.text_distance
+    d = lambda x, y: ds.text_distances([x], y)[0]
     assert d(a, b) == d(b, a)
     assert (d(a, b) == 0) == (a == b)
     assert d(a, c) <= d(a, b) + d(b, c)

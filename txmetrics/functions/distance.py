@@ -8,6 +8,7 @@ Hyyro 2003) and, for very long texts, only a band around the diagonal (Ukkonen 1
 from __future__ import annotations
 
 from collections import Counter
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,9 @@ from pyspark.sql import types as T
 
 # Below this many matrix cells the built-in is faster than the trip to a Python worker.
 BUILTIN_CELLS = 512 * 512
-BAND_FROM = 4096
+BAND_FROM = 8192
 SEGMENT = 512
+TOGETHER = 16
 
 
 def _positions(text: str, shift: int = 0) -> dict[str, int]:
@@ -30,22 +32,32 @@ def _positions(text: str, shift: int = 0) -> dict[str, int]:
     }
 
 
-def _full_distance(short: str, long: str) -> int:
-    size = len(short)
-    ones = (1 << size) - 1
-    match = _positions(short).get
+def full_distances(patterns: list[str], text: str) -> list[int]:
+    """Distances of several strings to one text, in one pass over the text.
+
+    The patterns lie side by side in the bit sets with a guard bit after each, so the outputs
+    of several models for one image share the interpreter's cost per character.
+    """
+    ones = starts = end = 0
+    matches: dict[str, int] = {}
+    spans = []
+    for pattern in patterns:
+        for ch, bits in _positions(pattern, end).items():
+            matches[ch] = matches.get(ch, 0) | bits
+        span = ((1 << len(pattern)) - 1) << end
+        spans.append(span)
+        ones |= span
+        starts |= 1 << end
+        end += len(pattern) + 1
+    match = matches.get
     up, down = ones, 0
-    for start in range(0, len(long), 64):
-        for ch in long[start : start + 64]:
-            x = match(ch, 0) | down
-            diagonal = (((x & up) + up) ^ up) | x
-            right = ((down | ((diagonal | up) ^ ones)) << 1) | 1
-            up = ((diagonal & up) << 1) | ((diagonal | right) ^ ones)
-            down = diagonal & right
-        # Bits above the pattern never flow back down; cut them off now and then.
-        up &= ones
-        down &= ones
-    return len(long) + up.bit_count() - down.bit_count()
+    for ch in text:
+        x = match(ch, 0) | down
+        diagonal = (((x & up) + up) ^ up) | x
+        right = ((down | ((diagonal | up) ^ ones)) << 1) | starts
+        up = (((diagonal & up) << 1) | ((diagonal | right) ^ ones)) & ones
+        down = diagonal & right
+    return [len(text) + (up & span).bit_count() - (down & span).bit_count() for span in spans]
 
 
 def _band_distance(short: str, long: str, bound: int) -> int | None:
@@ -77,37 +89,49 @@ def _band_distance(short: str, long: str, bound: int) -> int | None:
     return misses
 
 
-def text_distance(left: str, right: str) -> int:
-    """Levenshtein distance of two strings with unit costs."""
-    if left == right:
-        return 0
+def text_distances(texts: list[str], reference: str) -> list[int]:
+    """Levenshtein distances with unit costs of several texts to one reference."""
+    found = dict.fromkeys(texts)
+    together = []
+    for text in found:
+        if text == reference:
+            found[text] = 0
+        elif min(len(text), len(reference)) >= BAND_FROM:
+            found[text] = _very_long_distance(text, reference)
+        else:
+            together.append(text)
+    found.update(zip(together, full_distances(together, reference) if together else ()))
+    return [found[text] for text in texts]
+
+
+def _very_long_distance(left: str, right: str) -> int:
     short, long = sorted((left, right), key=len)
-    if not short:
-        return len(long)
-    if len(short) >= BAND_FROM:
-        a, b = Counter(short), Counter(long)
-        surplus = max((b - a).total(), (a - b).total())
-        bound = max(surplus + surplus // 4, len(long) - len(short)) + 32
-        while 5 * bound < 4 * len(short):
-            found = _band_distance(short, long, bound)
-            if found is not None:
-                return found
-            bound *= 2
-    return _full_distance(short, long)
+    # Two guesses at the distance: characters without a partner, and the rate of the first part.
+    a, b = Counter(short), Counter(long)
+    surplus = max((b - a).total(), (a - b).total())
+    sample = full_distances([short[:SEGMENT]], long[:SEGMENT])[0] * len(long) // SEGMENT
+    guess = max(surplus, sample)
+    bound = max(guess + guess // 4, len(long) - len(short)) + 32
+    while 5 * bound < 4 * len(short):
+        found = _band_distance(short, long, bound)
+        if found is not None:
+            return found
+        bound *= 2
+    return full_distances([short], long)[0]
 
 
 @F.arrow_udf(T.IntegerType())
 def long_distance(left: pa.Array, right: pa.Array) -> pa.Array:
-    """Distance of long pairs; copies of a pair inside a batch are computed once."""
-    known: dict[tuple[str, str], int] = {}
-    out = []
-    for pair in zip(left.to_pylist(), right.to_pylist()):
-        if pair[0] is None or pair[1] is None:
-            out.append(None)
-            continue
-        if pair not in known:
-            known[pair] = text_distance(*pair)
-        out.append(known[pair])
+    """Distance of long pairs. Neighbouring rows with the same right side are done together;
+    the join by image leaves the outputs of all models for one image next to each other."""
+    lefts, rights = left.to_pylist(), right.to_pylist()
+    out: list[int | None] = [None] * len(lefts)
+    todo = [i for i, pair in enumerate(zip(lefts, rights)) if None not in pair]
+    for reference, rows in groupby(todo, key=rights.__getitem__):
+        rows = list(rows)
+        for some in (rows[i : i + TOGETHER] for i in range(0, len(rows), TOGETHER)):
+            for i, found in zip(some, text_distances([lefts[i] for i in some], reference)):
+                out[i] = found
     return pa.array(out, pa.int32())
 
 

@@ -15,9 +15,6 @@ WHITESPACE_CHARS = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-WHITESPACE_CLASS = (
-    r"[\u0009-\u000d\u001c-\u0020\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-)
 
 # Cell texts that a CSV scan reads as missing.
 NULL_TOKENS = (
@@ -53,7 +50,9 @@ def strip(text: Column) -> Column:
 
 def collapse_whitespace(text: Column) -> Column:
     """Strip, and turn every inner run of whitespace into one space."""
-    return F.btrim(F.regexp_replace(text, WHITESPACE_CLASS + "+", " "))
+    others = WHITESPACE_CHARS.replace(" ", "")
+    spaces = F.translate(text, others, " " * len(others))
+    return F.btrim(F.regexp_replace(spaces, "  +", " "))
 
 
 def is_blank(value: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txmetrics.functions.columns import distinct_values, same_key
+from txmetrics.functions.columns import same_key
 from txmetrics.functions.text import file_name, stem
 from txmetrics.sinks.csv import export_csv
 from txmetrics.sinks.tables import write_partitioned
@@ -90,15 +90,13 @@ def source_images(spark: SparkSession, root: str) -> DataFrame:
 
 
 def write_outputs(outputs: DataFrame, directory: str) -> str:
-    """``<model>.csv`` per model with ``image_name, batch_id, inference``; null text becomes empty.
+    """CSV export ``image_name, batch_id, inference`` in one pass, below ``model=<model>``.
 
-    For tables that other jobs read, ``write_partitioned(outputs, path, ["model"])`` is the
-    better form: one pass and prunable by model.
+    Null text becomes empty. For tables that other jobs read,
+    ``write_partitioned(outputs, path, ["model"], rebalance=False)`` is the better form.
     """
-    for model in distinct_values(outputs, "model"):
-        one = outputs.where(F.col("model") == model)
-        export_csv(one.select("image_name", "batch_id", F.coalesce("inference", F.lit("")).alias("inference")), f"{directory}/{model}.csv")
-    return directory
+    rows = outputs.select("model", "image_name", "batch_id", F.coalesce("inference", F.lit("")).alias("inference"))
+    return export_csv(rows, directory, partition_by="model")
 
 
 def normalise_outputs(spark: SparkSession, source: str, target: str) -> DataFrame:

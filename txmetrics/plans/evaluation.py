@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txmetrics.functions.columns import SCORE_SUFFIX, distinct_values, same_key
+from txmetrics.functions.columns import distinct_values, same_key
 from txmetrics.functions.distance import cer, edit_distance, round6
 from txmetrics.functions.text import normalise
 from txmetrics.operators.aggregates import by_batch, model_summary, overall
@@ -34,8 +34,8 @@ def truth_table(truth: DataFrame, order: Column | str | None = POSITION) -> Data
     if order is None:
         return truth.select(*KEYS, "transcript")
     if order == POSITION and POSITION not in truth.columns:
-        truth = truth.withColumn(POSITION, F.monotonically_increasing_id())
-    if isinstance(order, str):
+        order = F.monotonically_increasing_id()
+    elif isinstance(order, str):
         order = F.col(order)
     return last_wins(truth.select(*KEYS, "transcript", order.alias(POSITION)), KEYS, POSITION).drop(POSITION)
 
@@ -58,12 +58,13 @@ def score(
     The join is asked to be a sort-merge join. The outputs of M models are M times the truth,
     so where the truth would fit a broadcast both sides are small anyway, and the shuffle by
     image spreads the distance work, which outweighs the data movement by far, over all cores.
+    Both inputs come straight from a shuffle, so an image with very many outputs is split over
+    several tasks at run time.
     """
     clean = {"whitespace": whitespace, "unicode_form": unicode_form, "script": script}
-    reference = truth_table(truth, truth_order).select(
-        F.col("image_name").alias("_image"),
-        F.col("batch_id").alias("_batch"),
-        normalise(F.col("transcript"), **clean).alias("_reference"),
+    texts = truth.withColumn("transcript", normalise(F.col("transcript"), **clean))
+    reference = truth_table(texts, truth_order).select(
+        F.col("image_name").alias("_image"), F.col("batch_id").alias("_batch"), F.col("transcript").alias("_reference")
     )
     outputs = inference.select("model", *KEYS, normalise(F.col("inference"), **clean).alias("_inference"))
     condition = same_key(outputs, reference, KEYS, ["_image", "_batch"])
@@ -97,11 +98,10 @@ def result_map(per_batch: DataFrame, totals: DataFrame) -> DataFrame:
     return totals.select("model", "overall_cer").join(maps, "model", "left")
 
 
-def export_scores(scores: DataFrame, directory: str) -> None:
-    """``<model>_cer.csv`` per model with ``image_name, batch_id, cer``, sorted by image."""
-    for model in distinct_values(scores, "model"):
-        rows = scores.where(F.col("model") == model).select(*KEYS, round6(F.col("cer")).alias("cer"))
-        export_csv(rows, f"{directory}/{model}{SCORE_SUFFIX}.csv", order_by=["batch_id", "image_name"])
+def export_scores(scores: DataFrame, directory: str) -> str:
+    """CSV export ``image_name, batch_id, cer`` in one pass, below ``model=<model>``."""
+    rows = scores.select("model", *KEYS, round6(F.col("cer")).alias("cer"))
+    return export_csv(rows, directory, order_by=["model", "batch_id", "image_name"], partition_by="model")
 
 
 def evaluate_directory(
@@ -115,14 +115,14 @@ def evaluate_directory(
 ) -> Evaluation:
     """Score every ``<model>.csv`` of a directory, or one of them, in one plan.
 
-    Writes ``scores`` (Parquet by model), the per-model CSV exports, and ``summary.csv`` when
+    Writes ``scores`` (Parquet by model), ``per_image`` (CSV by model), and ``summary.csv`` when
     there is more than one model. A missing output file raises ``FileNotFoundError``.
     """
     scores = score(scan_outputs(spark, outputs, model), load_truth(spark, truth), **options)
     path = write_partitioned(scores, f"{directory}/scores", ["model"])
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in scores.schema)
     written = spark.read.schema(schema).parquet(path)
-    export_scores(written, directory)
+    export_scores(written, f"{directory}/per_image")
     if len(distinct_values(written, "model")) > 1:
         export_csv(model_summary(written), f"{directory}/summary.csv", order_by=["model"])
     return Evaluation(written, by_batch(written), overall(written))

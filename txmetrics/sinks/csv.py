@@ -18,15 +18,25 @@ WRITE_OPTIONS = {
 }
 
 
-def export_csv(df: DataFrame, path: str, order_by: list[str] | None = None, mode: str = "errorifexists") -> str:
+def export_csv(
+    df: DataFrame,
+    path: str,
+    order_by: list[str] | None = None,
+    partition_by: str | None = None,
+    mode: str = "errorifexists",
+) -> str:
     """Write ``df`` as a directory of CSV parts, each with a header.
 
     With ``order_by`` the parts are range-partitioned and sorted, so their names follow the
-    order. Nothing is squeezed through a single task; small results come out as one part.
+    order. With ``partition_by`` one pass writes a sub-directory per value. Nothing is squeezed
+    through a single task; small results come out as one part.
     """
     if order_by:
         df = df.orderBy(*[col(c) for c in order_by])
-    df.write.mode(mode).options(**WRITE_OPTIONS).csv(path)
+    writer = df.write.mode(mode).options(**WRITE_OPTIONS)
+    if partition_by:
+        writer = writer.partitionBy(partition_by)
+    writer.csv(path)
     return path
 
 

@@ -44,13 +44,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def write_partitioned(df: DataFrame, path: str, by: list[str], mode: str = "errorifexists") -> str:
+def write_partitioned(
+    df: DataFrame, path: str, by: list[str], mode: str = "errorifexists", rebalance: bool = True
+) -> str:
     """Parquet table partitioned by ``by``.
 
     The rebalance hint packs small partitions and splits large ones, so a value that holds a
-    third of the rows is written by many tasks and rare values do not make tiny files.
+    third of the rows is written by many tasks and rare values do not make tiny files. It is
+    one shuffle of the rows; turn it off for wide rows with few values of ``by``, where every
+    task fills decent files anyway.
     """
-    df.hint("rebalance", *[col(c) for c in by]).write.mode(mode).partitionBy(*by).parquet(path)
+    if rebalance:
+        df = df.hint("rebalance", *[col(c) for c in by])
+    df.write.mode(mode).partitionBy(*by).parquet(path)
     return path
 
 

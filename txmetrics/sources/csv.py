@@ -79,42 +79,65 @@ def scan_csv(
     return table.select(*cells, *([POSITION] if position else []))
 
 
-def list_tables(spark: SparkSession, pattern: str) -> dict[str, list[str]]:
-    """Table name to file paths for ``<name>.csv`` files, or directories of part files."""
+def _file_table(ending: str) -> str:
+    """Pattern for the model of ``<model><ending>.csv``, a file or a directory of parts."""
+    return rf"/([^/]+){ending}\.csv(/[^/]+)?$"
+
+
+PARTITION_TABLE = r"/model=([^/]+)/[^/]+$"
+
+
+def _glob_literal(name: str) -> str:
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", name)
+
+
+def _files(spark: SparkSession, pattern: str) -> list[str]:
     if not path_exists(spark, pattern):
-        return {}
+        return []
     files = spark.read.format("binaryFile").load(pattern).select("path").toLocalIterator()
-    tables: dict[str, list[str]] = {}
-    for row in files:
-        found = re.search(r"/([^/]+)\.csv(/[^/]+)?$", row.path)
-        if found:
-            tables.setdefault(found.group(1), []).append(row.path)
-    return {name: sorted(tables[name]) for name in sorted(tables)}
+    return sorted(row.path for row in files)
 
 
-def scan_tables(spark: SparkSession, pattern: str, tokens: tuple[str, ...] = NULL_TOKENS) -> DataFrame:
-    """One frame over many CSV tables, with the table name in ``_table``.
+def scan_tables(
+    spark: SparkSession,
+    directory: str,
+    model: str | None = None,
+    *,
+    ending: str = "",
+    tokens: tuple[str, ...] = NULL_TOKENS,
+) -> DataFrame:
+    """One frame over the CSV tables of all models, or of one, with its name in ``model``.
 
-    Tables are grouped by header, so each distinct header costs one scan of all its files.
+    A directory may hold ``<model><ending>.csv`` files, or be partitioned as ``model=<model>``.
+    Model files are grouped by header, so each distinct header costs one scan of all its files;
+    partitioned files were written together and share a header.
     """
-    tables = list_tables(spark, pattern)
-    if not tables:
-        raise FileNotFoundError(pattern)
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for paths in tables.values():
-        names = tuple(header_names([n.strip() for n in _header(spark, paths[0])]))
-        groups.setdefault(names, []).extend(paths)
-    frames = []
-    for names, paths in groups.items():
-        table = F.regexp_extract(decode_uri(F.col("_metadata.file_path")), r"/([^/]+)\.csv(/[^/]+)?$", 1)
-        frames.append(
-            _scan(spark, paths, list(names), tokens).select(
-                table.alias("_table"), *[strip(col(n)).alias(n) for n in names], POSITION
-            )
+    name = "*" if model is None else _glob_literal(model)
+    groups: dict[tuple[tuple[str, ...], str], list[str]] = {}
+    named: dict[str, list[str]] = {}
+    for path in _files(spark, f"{directory}/{name}{ending}.csv"):
+        found = re.search(_file_table(ending), path)
+        if found:
+            named.setdefault(found.group(1), []).append(path)
+    for paths in named.values():
+        header = tuple(header_names([n.strip() for n in _header(spark, paths[0])]))
+        groups.setdefault((header, _file_table(ending)), []).extend(paths)
+    parts = f"{directory}/model={name}"
+    if path_exists(spark, parts):
+        first = _files(spark, f"{parts}/*.csv")[:1]
+        header = tuple(header_names([n.strip() for n in _header(spark, first[0])]))
+        groups[(header, PARTITION_TABLE)] = [parts]
+    if not groups:
+        raise FileNotFoundError(f"{directory}/{name}{ending}.csv")
+    result = None
+    for (names, pattern), paths in groups.items():
+        model_name = F.regexp_extract(decode_uri(F.col("_metadata.file_path")), pattern, 1)
+        if pattern == PARTITION_TABLE:
+            model_name = decode_uri(model_name)
+        frame = _scan(spark, paths, list(names), tokens).select(
+            model_name.alias("model"), *[strip(col(n)).alias(n) for n in names], POSITION
         )
-    result = frames[0]
-    for frame in frames[1:]:
-        result = result.unionByName(frame, allowMissingColumns=True)
+        result = frame if result is None else result.unionByName(frame, allowMissingColumns=True)
     return result
 
 
@@ -132,30 +155,18 @@ def load_truth(spark: SparkSession, path: str) -> DataFrame:
     return table.select("image_name", "batch_id", text.alias("transcript"), POSITION)
 
 
-def _glob_literal(name: str) -> str:
-    return re.sub(r"([\\*?\[\]{}])", r"\\\1", name)
-
-
 def scan_outputs(spark: SparkSession, directory: str, model: str | None = None) -> DataFrame:
-    """Model outputs of a directory of ``<model>.csv``; duplicate rows are kept."""
-    stem = "*" if model is None else _glob_literal(model)
-    table = scan_tables(spark, f"{directory}/{stem}.csv")
+    """Outputs of all models below a directory, or of one; duplicate rows are kept."""
+    table = scan_tables(spark, directory, model)
     _require_columns(table, ("image_name", "batch_id"))
     text = F.col("inference") if "inference" in table.columns else F.lit("")
-    return table.select(
-        F.col("_table").alias("model"), "image_name", "batch_id", text.alias("inference"), POSITION
-    )
-
-
-def load_scores(spark: SparkSession, directory: str) -> DataFrame:
-    """Per-image scores of a directory of ``<model>_cer.csv`` as one long table."""
-    table = scan_tables(spark, f"{directory}/*{SCORE_SUFFIX}.csv")
-    return table.select(
-        F.regexp_replace("_table", f"{SCORE_SUFFIX}$", "").alias("model"),
-        "image_name",
-        "batch_id",
-        to_number(F.col("cer")).alias("cer"),
-    )
+    return table.select("model", "image_name", "batch_id", text.alias("inference"), POSITION)
+
+
+def load_scores(spark: SparkSession, directory: str, model: str | None = None) -> DataFrame:
+    """Per-image scores of ``<model>_cer.csv`` files as one long table."""
+    table = scan_tables(spark, directory, model, ending=SCORE_SUFFIX)
+    return table.select("model", "image_name", "batch_id", to_number(F.col("cer")).alias("cer"))
 
 
 def scan_report(spark: SparkSession, path: str) -> DataFrame:
