@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,11 +19,19 @@ def split_path(path: str, tree: str, names: tuple[str, str] = ("batch_id", "imag
 
 
 def _tree(spark: SparkSession, pattern: str, columns: list[str]) -> DataFrame:
-    """Files under a two-level pattern; an absent tree is an empty table."""
+    """Files under a two-level pattern; an absent tree is an empty table.
+
+    A Spark scan leaves out files of zero bytes, which are an image or a transcript like any
+    other here. Their names are in the file index that the driver holds for the scan anyway.
+    """
     if not path_exists(spark, pattern):
         schema = {"path": "path STRING", "length": "length BIGINT", "content": "content BINARY"}
         return spark.createDataFrame([], ", ".join(schema[c] for c in columns))
-    return spark.read.format("binaryFile").load(pattern).select(*columns)
+    files = spark.read.format("binaryFile").load(pattern)
+    names = [(re.sub("^file:/+", "file:/", unquote(uri)),) for uri in files.inputFiles()]
+    empty = spark.createDataFrame(names, "path STRING").join(files.select("path"), "path", "left_anti")
+    nothing = {"path": F.col("path"), "length": F.lit(0).cast("long"), "content": F.lit(b"")}
+    return files.select(*columns).unionByName(empty.select(*[nothing[c].alias(c) for c in columns]))
 
 
 def image_listing(
@@ -43,7 +54,7 @@ def transcript_files(spark: SparkSession, root: str) -> DataFrame:
     """Whole-file transcripts at ``<root>/transcripts/<batch>/<stem>.txt``."""
     files = _tree(spark, f"{root}/transcripts/*/*.txt", ["path", "content"])
     return (
-        files.select(*split_path("path", "transcripts", ("batch_id", "_file")), F.decode("content", F.lit("UTF-8")).alias("transcript"))
+        files.select(*split_path("path", "transcripts", ("batch_id", "_file")), F.decode("content", "UTF-8").alias("transcript"))
         .where("batch_id != ''")
         .select("batch_id", stem(F.col("_file")).alias("stem"), "transcript")
     )
@@ -78,13 +89,13 @@ def vision_cache(spark: SparkSession, root: str, model: str) -> DataFrame:
 def structured_cache(spark: SparkSession, root: str, model: str) -> DataFrame:
     """Stored structured responses ``<root>/<model>/<batch>/<stem>.json``."""
     files = _tree(spark, f"{root}/{model}/*/*.json", ["path", "content"])
-    return _cache(files, F.decode("content", F.lit("UTF-8")), model, "structured", r"\.json$")
+    return _cache(files, F.decode("content", "UTF-8"), model, "structured", r"\.json$")
 
 
 def plain_cache(spark: SparkSession, root: str, model: str) -> DataFrame:
     """Stored plain responses ``<root>/<model>/<batch>/<stem>.txt``, taken verbatim."""
     files = _tree(spark, f"{root}/{model}/*/*.txt", ["path", "content"])
-    return _cache(files, F.decode("content", F.lit("UTF-8")), model, "plain", r"\.txt$")
+    return _cache(files, F.decode("content", "UTF-8"), model, "plain", r"\.txt$")
 
 
 __all__ = [
