@@ -1,6 +1,13 @@
 """Registered queries: each one as a Spark job over the given tables, with its SQL twin where SQL can tell the answer."""
 
-from registry import evaluation, files, inference, metadata, report
+import sys
+
+from pyspark import cloudpickle
+
+# The stand-in recognisers travel with their tasks, wherever the workers run.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+from registry import evaluation, files, inference, metadata, report  # noqa: E402
 
 QUERIES = {**evaluation.QUERIES, **metadata.QUERIES, **report.QUERIES, **inference.QUERIES, **files.QUERIES}
 ORACLE = {**evaluation.ORACLE, **metadata.ORACLE, **report.ORACLE, **inference.ORACLE, **files.ORACLE}
