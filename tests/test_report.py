@@ -184,3 +184,52 @@ def test_generate_reports_from_files(spark, tmp_path):
         sources.load_sheets(spark, str(scripts))
     wide = widen_scores(sources.load_scores(spark, str(evaluation)))
     assert attach_scores(bench, wide).count() == 3
+
+
+@pytest.fixture
+def eager_skew(spark):
+    """Skew handling that reacts to kilobytes; no side small enough for a broadcast."""
+    names = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    }
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k in names:
+        spark.conf.unset(k)
+
+
+def final_plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_image_with_a_third_of_all_scores(eager_skew):
+    scores = eager_skew.range(0, 60000, 1, 8).select(
+        F.when(F.col("id") % 2 == 0, F.lit("m")).otherwise(F.lit("n")).alias("model"),
+        F.when((F.col("id") % 6 == 0) | (F.col("id") == 1), F.lit("hot")).otherwise(F.concat(F.lit("i"), F.floor(F.col("id") / 4))).alias("image_name"),
+        F.lit("1").alias("batch_id"),
+        (F.col("id") / 60000).alias("cer"),
+    )
+    wide = widen_scores(scores, ["m", "n"])
+    by_name = wide.groupBy("image_name").count()
+    got = {r.image_name: r["count"] for r in by_name.where("image_name = 'hot'").collect()}
+    assert got == {"hot": 10000}
+    assert len(wide.collect()) == wide.count()
+    assert "SortMergeJoin(skew=true)" in final_plan(wide)
+
+
+def test_script_with_a_third_of_all_rows(eager_skew):
+    catalog = eager_skew.range(0, 30000, 1, 8).select(
+        F.sha2(F.col("id").cast("string"), 256).alias("file_name"),
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 3 == 1, F.lit(None)).otherwise(F.concat(F.lit("s"), F.col("id") % 500)).alias("script_id"),
+    )
+    scripts = eager_skew.range(500).select(F.concat(F.lit("s"), "id").alias("script_id"), F.lit("x").alias("script_name"))
+    scripts = scripts.unionByName(frame(eager_skew, ["script_id", "script_name"], [("hot", "h")]))
+    joined = join_script_metadata(catalog, scripts, scripts)
+    names = [r.script_name for r in joined.collect()]
+    assert (len(names), names.count("h"), names.count(None)) == (30000, 10000, 10000)
+    assert final_plan(joined).count("SortMergeJoin(skew=true)") >= 2

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txmetrics.functions.columns import SCORE_SUFFIX, col, distinct_values, score_columns
+from txmetrics.functions.columns import SCORE_SUFFIX, col, distinct_values, same_key, score_columns
 from txmetrics.functions.distance import round6
-from txmetrics.operators.joins import attach
 
 KEYS = ["image_name", "batch_id"]
 
@@ -63,21 +62,40 @@ def widen_scores(
     slim = scores.select(*KEYS, "model", round6(F.col("cer")).alias("cer"))
     folded = slim.groupBy(*KEYS).agg(
         *[F.max(F.when(F.col("model") == m, F.col("cer"))).alias(m + SCORE_SUFFIX) for m in models],
-        F.greatest(F.lit(0), *[F.count_if(F.col("model") == m) for m in models]).alias("_repeats"),
+        F.array(F.lit(0), *[F.count_if(F.col("model") == m) for m in models]).alias("_counts"),
     )
+    repeats = F.array_max("_counts") > 1
     columns = KEYS + [m + SCORE_SUFFIX for m in models]
     if duplicates == "forbid":
         error = F.raise_error(
             F.concat(F.lit("scored more than once by a model: "), F.coalesce("image_name", F.lit("null")))
         )
-        checked = F.when(F.col("_repeats") > 1, error.cast("string")).otherwise(F.col("image_name"))
+        checked = F.when(repeats, error.cast("string")).otherwise(F.col("image_name"))
         return folded.withColumn("image_name", checked).select(*[col(c) for c in columns])
-    single = folded.where("_repeats <= 1").select(*[col(c) for c in columns])
-    repeated = folded.where("_repeats > 1").select(*KEYS)
-    for m in models:
-        one = slim.where(F.col("model") == m).select(*KEYS, F.col("cer").alias(m + SCORE_SUFFIX))
-        repeated = attach(repeated, one, KEYS)
-    return single.unionByName(repeated)
+    single = folded.where(~repeats).select(*[col(c) for c in columns])
+    return single.unionByName(_combinations(slim, folded.where(repeats).select(*KEYS, "_counts"), models))
+
+
+def _combinations(slim: DataFrame, repeated: DataFrame, models: list[str]) -> DataFrame:
+    """Every combination of the scores of each repeated image, a missing model counting as one null.
+
+    Models without a score get a null row, so that all joins are inner joins: those can be split
+    on either side at run time when one image has very many scores. The seeded hash gives each
+    step a shuffle of its own, without which a chain on the same keys could not be split.
+    """
+    result = repeated.select(*KEYS)
+    for i, m in enumerate(models):
+        name = m + SCORE_SUFFIX
+        some = slim.where(F.col("model") == m).select(*KEYS, F.col("cer").alias(name))
+        none = repeated.where(F.col("_counts")[i + 1] == 0).select(*KEYS, F.lit(None).cast("double").alias(name))
+        seeded = F.xxhash64(*KEYS, F.lit(m))
+        side = some.unionByName(none).select(
+            *[col(k).alias(f"_side_{k}") for k in KEYS], col(name), seeded.alias("_side_hash")
+        )
+        result = result.withColumn("_hash", seeded)
+        condition = same_key(result, side, ["_hash", *KEYS], ["_side_hash", *[f"_side_{k}" for k in KEYS]])
+        result = result.join(side, condition, "inner").drop("_hash", "_side_hash", *[f"_side_{k}" for k in KEYS])
+    return result
 
 
 def ordered_columns(df: DataFrame) -> list[str]:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from txmetrics.functions.responses import structured_text, vision_text
 from txmetrics.functions.text import stem
-from txmetrics.operators.joins import attach, last_wins
+from txmetrics.operators.joins import attach, last_wins, spread_join
 from txmetrics.sinks.tables import materialise
 
 CACHE_KEYS = ["model", "batch_id", "stem", "kind"]
@@ -74,7 +74,9 @@ def split_cached(work: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFram
         cache = cache.withColumn("written", F.lit(None).cast("timestamp"))
     stored = cache.select(*CACHE_KEYS, "raw", F.coalesce("written", F.timestamp_seconds(F.lit(0))).alias("written"))
     latest = last_wins(stored, CACHE_KEYS, "written").select(*CACHE_KEYS, "raw")
-    done = work.join(latest, CACHE_KEYS, "inner").withColumn("text", cached_text(F.col("raw"), F.col("kind")))
+    done = spread_join(work, latest, CACHE_KEYS, "inner", "done").withColumn(
+        "text", cached_text(F.col("raw"), F.col("kind"))
+    )
     return done, work.join(stored.select(*CACHE_KEYS), CACHE_KEYS, "left_anti")
 
 

@@ -123,8 +123,8 @@ def join_script_metadata(
     catalog, scripts, multi_scripts = (
         clean_key(df, "script_id", null_key) for df in (catalog, scripts, multi_scripts)
     )
-    result = fill_join(catalog, scripts, "script_id", unique=unique)
-    return fill_join(result, multi_scripts, "script_id", unique=unique)
+    result = fill_join(catalog, scripts, "script_id", unique=unique, seed="scripts")
+    return fill_join(result, multi_scripts, "script_id", unique=unique, seed="multi")
 
 
 def consolidate(

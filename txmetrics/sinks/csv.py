@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from txmetrics.functions.columns import col
 
@@ -32,7 +33,10 @@ def export_csv(
     through a single task; small results come out as one part.
     """
     if order_by:
-        df = df.orderBy(*[col(c) for c in order_by])
+        # The row position as last key keeps the order of ties and lets a value that fills a
+        # large share of the rows be cut over several parts.
+        df = df.withColumn("_row", F.monotonically_increasing_id())
+        df = df.orderBy(*[col(c) for c in order_by], "_row").drop("_row")
     writer = df.write.mode(mode).options(**WRITE_OPTIONS)
     if partition_by:
         writer = writer.partitionBy(partition_by)
