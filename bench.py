@@ -48,6 +48,7 @@ def session() -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{CPUS}]")
         .appName("bench")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", "64")
         .config("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
         .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "2m")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from registry import tables as t
 from txmetrics.functions import collapse_whitespace, distinct_values, round6, to_number, unicode_normalise
-from txmetrics.functions.text import file_name, mime_type, stem, suffix
+from txmetrics.functions.text import file_name, is_native, mime_type, stem, suffix
 from txmetrics.operators import by_batch, grouped_scores, last_wins, micro_average, model_summary, overall
 from txmetrics.plans import canonical_batch, result_map, score
 
@@ -90,19 +90,25 @@ def normalise_nfc(spark, sf_dir):
     return docs.select("doc_id", unicode_normalise(F.col("text"), "NFC").alias("text"))
 
 
-def normalise_nfd(spark, sf_dir):
-    docs = t.read(spark, sf_dir, "documents")
-    return docs.select("doc_id", unicode_normalise(F.col("text"), "NFD").alias("text"))
+def _decomposed(spark, sf_dir, form):
+    """Base characters and length of the decomposed text."""
+    text = unicode_normalise(F.col("text"), form)
+    return t.read(spark, sf_dir, "documents").select(
+        "doc_id", F.regexp_replace(text, r"\p{M}", "").alias("base"), F.length(text).alias("length")
+    )
 
 
-def normalise_nfkc(spark, sf_dir):
-    docs = t.read(spark, sf_dir, "documents")
-    return docs.select("doc_id", unicode_normalise(F.col("text"), "NFKC").alias("text"))
+def normalise_nfd(spark, sf_dir):
+    return _decomposed(spark, sf_dir, "NFD")
 
 
 def normalise_nfkd(spark, sf_dir):
+    return _decomposed(spark, sf_dir, "NFKD")
+
+
+def normalise_nfkc(spark, sf_dir):
     docs = t.read(spark, sf_dir, "documents")
-    return docs.select("doc_id", unicode_normalise(F.col("text"), "NFKD").alias("text"))
+    return docs.select("doc_id", unicode_normalise(F.col("text"), "NFKC").alias("text"))
 
 
 def truth_last_wins(spark, sf_dir):
@@ -138,7 +144,8 @@ def image_types(spark, sf_dir):
     path = F.concat(F.lit("images/batch-1/page_"), F.col("event_id").cast("string"), ending)
     name = file_name(path)
     return events.select(
-        "event_id", stem(name).alias("stem"), suffix(name).alias("suffix"), mime_type(name).alias("mime_type")
+        "event_id", stem(name).alias("stem"), suffix(name).alias("suffix"), mime_type(name).alias("mime_type"),
+        is_native(name, "vision").alias("vision_native"), is_native(name, "language").alias("language_native"),
     )
 
 
@@ -180,6 +187,11 @@ SELECT 'echo' AS model, 'conv_' || conv_id || '_' || turn AS image_name, role AS
 FROM measured"""
 
 
+_DECOMPOSED = (
+    "SELECT doc_id, strip_accents(text) AS base, CAST(2 * length(text) - length(regexp_replace(text,"
+    f" '[{_WIDE.replace('ß', '')}]', '', 'g')) AS INTEGER) AS length FROM documents"
+)
+
 _S = f"WITH {t.SCORES_SQL} "
 _BATCHES = [f"batch-{i}" for i in range(20)] + ["batch-extra"]
 
@@ -214,6 +226,11 @@ ORACLE = {
     " CAST(0 AS DOUBLE) AS cer FROM documents",
     "normalise_whitespace": f"SELECT doc_id, {_squeeze('text')} AS text FROM documents",
     "normalise_nfc": "SELECT doc_id, nfc_normalize(text) AS text FROM documents",
+    # The documents hold accented letters but no compatibility characters, so both compositions
+    # agree, and an accented letter is two code points when decomposed.
+    "normalise_nfkc": "SELECT doc_id, nfc_normalize(text) AS text FROM documents",
+    "normalise_nfd": _DECOMPOSED,
+    "normalise_nfkd": _DECOMPOSED,
     "truth_last_wins": "SELECT 'conv_' || conv_id AS image_name, role AS batch_id, arg_max(text, turn) AS transcript"
     " FROM conversations GROUP BY conv_id, role",
     "numeric_coerce": "SELECT event_id, CASE WHEN event_type <> 'error' THEN try_cast(json_extract_string(props, '$.k') AS DOUBLE) END AS number"
@@ -222,6 +239,7 @@ ORACLE = {
     "image_types": """
 SELECT event_id, 'page_' || event_id || CASE WHEN event_type = 'view' THEN '.a' ELSE '' END AS stem,
        CASE event_type WHEN 'click' THEN '.jpg' WHEN 'view' THEN '.tif' WHEN 'error' THEN '.xyz' ELSE '' END AS suffix,
-       CASE event_type WHEN 'click' THEN 'image/jpeg' WHEN 'view' THEN 'image/tiff' ELSE 'application/octet-stream' END AS mime_type
+       CASE event_type WHEN 'click' THEN 'image/jpeg' WHEN 'view' THEN 'image/tiff' ELSE 'application/octet-stream' END AS mime_type,
+       event_type IN ('click', 'view') AS vision_native, event_type = 'click' AS language_native
 FROM events""",
 }

@@ -82,7 +82,7 @@ def test_outputs_roundtrip(spark, tmp_path):
         ("v2.5/x", "k.png", "b", "བཀྲ་ཤིས"),
     ]
     frame = spark.createDataFrame(data, "model STRING, image_name STRING, batch_id STRING, inference STRING")
-    write_outputs(frame, str(tmp_path / "out"))
+    write_outputs(frame, str(tmp_path / "out"), in_order=True)
     assert rows(sources.scan_outputs(spark, str(tmp_path / "out")).drop("_pos"), "model", "image_name") == data
     again = normalise_outputs(spark, str(tmp_path / "out"), str(tmp_path / "again"))
     assert rows(again.drop("_pos"), "model", "image_name") == data
@@ -136,6 +136,9 @@ def test_image_listing(spark, benchmark_tree):
     assert sources.image_listing(spark, str(root), "batch-2").count() == 2
     assert sources.image_listing(spark, str(root / "nothing")).count() == 0
     assert sources.image_listing(spark, str(root), content=True).where("length(content) > 0").count() == 4
+    for service, natives in (("vision", 4), ("language", 3)):
+        data = sources.image_bytes(spark, str(root), service).where("native")
+        assert data.count() == natives
 
 
 def test_build_benchmark(spark, benchmark_tree):

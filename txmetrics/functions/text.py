@@ -40,6 +40,12 @@ MIME_TYPES = {
     ".pdf": "application/pdf",
 }
 
+# Image formats that a kind of service takes without conversion.
+NATIVE_SUFFIXES = {
+    "vision": (".jpg", ".jpeg", ".png", ".gif", ".bmp", ".webp", ".ico", ".tif", ".tiff", ".pdf"),
+    "language": (".jpg", ".jpeg", ".png", ".gif", ".webp", ".heic", ".heif"),
+}
+
 TSHEG, SHAD, ZERO_WIDTH_SPACE = "\u0f0b", "\u0f0d", "\u200b"
 
 
@@ -160,8 +166,9 @@ def mime_type(name: Column) -> Column:
     return F.coalesce(F.try_element_at(table, suffix(name)), F.lit("application/octet-stream"))
 
 
-def has_suffix(name: Column, suffixes: tuple[str, ...]) -> Column:
-    return suffix(name).isin(*suffixes)
+def is_native(name: Column, service: str) -> Column:
+    """Whether a service takes the file as it is; others need the bytes converted first."""
+    return suffix(name).isin(*NATIVE_SUFFIXES[service])
 
 
 def safe_name(value: Column) -> Column:

@@ -89,14 +89,15 @@ def source_images(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def write_outputs(outputs: DataFrame, directory: str) -> str:
+def write_outputs(outputs: DataFrame, directory: str, *, in_order: bool = False) -> str:
     """CSV export ``image_name, batch_id, inference`` in one pass, below ``model=<model>``.
 
-    Null text becomes empty. For tables that other jobs read,
+    Null text becomes empty. With ``in_order`` the rows of a model follow batch and image. For tables that other jobs read,
     ``write_partitioned(outputs, path, ["model"], rebalance=False)`` is the better form.
     """
     rows = outputs.select("model", "image_name", "batch_id", F.coalesce("inference", F.lit("")).alias("inference"))
-    return export_csv(rows, directory, partition_by="model")
+    order = ["model", "batch_id", "image_name"] if in_order else None
+    return export_csv(rows, directory, order_by=order, partition_by="model")
 
 
 def normalise_outputs(spark: SparkSession, source: str, target: str) -> DataFrame:

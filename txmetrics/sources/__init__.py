@@ -13,6 +13,7 @@ from txmetrics.sources.csv import (
     scan_report,
 )
 from txmetrics.sources.files import (
+    image_bytes,
     image_listing,
     plain_cache,
     structured_cache,
@@ -22,6 +23,7 @@ from txmetrics.sources.files import (
 from txmetrics.sources.sheets import load_script_sheets, load_sheets
 
 __all__ = [
+    "image_bytes",
     "image_listing",
     "load_annotations",
     "load_scores",

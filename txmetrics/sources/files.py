@@ -8,7 +8,7 @@ from urllib.parse import unquote
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txmetrics.functions.text import decode_uri, mime_type, stem, suffix
+from txmetrics.functions.text import decode_uri, is_native, mime_type, stem, suffix
 from txmetrics.sources.csv import path_exists
 
 
@@ -44,12 +44,20 @@ def image_listing(
     """
     columns = ["path", "length"] + (["content"] if content else [])
     files = _tree(spark, f"{root}/images/{batch_id or '*'}/*", columns)
-    listing = files.select(*split_path("path", "images"), *columns).where("batch_id != ''")
-    return listing.withColumns(
-        {"stem": stem(F.col("image_name")), "suffix": suffix(F.col("image_name")), "mime_type": mime_type(F.col("image_name"))}
+    name = F.col("image_name")
+    return (
+        files.select(*split_path("path", "images"), *columns)
+        .where("batch_id != ''")
+        .withColumns({"stem": stem(name), "suffix": suffix(name), "mime_type": mime_type(name)})
     )
 
 
+def image_bytes(spark: SparkSession, root: str, service: str, batch_id: str | None = None) -> DataFrame:
+    """Listing with file content, MIME type and ``native``: whether the service takes the format."""
+    listing = image_listing(spark, root, batch_id, content=True)
+    return listing.withColumn("native", is_native(F.col("image_name"), service))
+
+
 def transcript_files(spark: SparkSession, root: str) -> DataFrame:
     """Whole-file transcripts at ``<root>/transcripts/<batch>/<stem>.txt``."""
     files = _tree(spark, f"{root}/transcripts/*/*.txt", ["path", "content"])
@@ -100,6 +108,7 @@ def plain_cache(spark: SparkSession, root: str, model: str) -> DataFrame:
 
 __all__ = [
     "CACHE_SCHEMA",
+    "image_bytes",
     "image_listing",
     "plain_cache",
     "split_path",
