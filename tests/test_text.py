@@ -90,6 +90,30 @@ def test_structured_text(spark):
     assert [(r.id, r.line_no, r.raw_transcription, r.confidence_score) for r in lines] == [(0, 0, "a", 0.5), (0, 1, "b", 1.0)]
 
 
+LOOSE = '{"raw_transcription":%s,"normalized_text":"n","confidence_score":%s,"orientation":"h","bounding_box":%s}'
+
+
+def page(*fields, after=""):
+    return '{"lines":[' + LOOSE % fields + "]}" + after
+
+
+def test_structured_text_is_strict(spark):
+    accepted = {
+        page('"a"', "1", "[]"): "a", page('"a"', '"0.5"', "[1]"): "a", page('"a"', "0.5", '[1.0, "7", 99999999999]'): "a",
+        page('"x\\ny"', "0.5", "[1]"): "x\ny", '{"lines":[],"more":1}': "", "  " + page('"a"', "0.5", "[1]") + "\n": "a",
+    }
+    refused = [
+        page("5", "0.5", "[1]"), page("true", "0.5", "[1]"), page('{"x":1}', "0.5", "[1]"), page("null", "0.5", "[1]"),
+        page('"a"', "-0.1", "[1]"), page('"a"', '"high"', "[1]"), page('"a"', "null", "[1]"), page('"a"', "0.5", "[1.5]"),
+        page('"a"', "0.5", "[null]"), page('"a"', "0.5", "1"), page('"a"', "0.5", "[1]", after=" x"),
+        page('"a"', "0.5", "[1]") * 2, page('"a"', "0.5", "[1]") + "," + page('"a"', "0.5", "[1]"),
+        "[" + page('"a"', "0.5", "[1]") + "]", '{"lines":null}', '{"lines":{}}', '{"lines":[null]}', "{'lines':[]}", '{"LINES":[]}', "", "[]",
+        '{"lines":[' + LOOSE % ('"a"', "0.5", "[1]") + "," + LOOSE % ("1", "0.5", "[1]") + "]}",
+    ]
+    values = [*accepted, *refused]
+    assert apply(spark, values, structured_text) == [*accepted.values(), *refused]
+
+
 def test_vision_text(spark):
     values = ['{"fullTextAnnotation":{"text":" x\\n"}}', "{}", '{"fullTextAnnotation":{}}', "broken"]
     assert apply(spark, values, vision_text) == ["x", "", "", ""]
