@@ -29,37 +29,48 @@ def _check_unique(df: DataFrame, keys: list[str], what: str) -> None:
 SPREAD = "_spread"
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, seed: str) -> DataFrame:
+def spread_join(
+    left: DataFrame, right: DataFrame, keys: list[str], how: str, seed: str, spread_by: list[str] | None = None
+) -> DataFrame:
     """Equi-join on ``keys`` that run-time skew handling can always split.
 
     Spark splits a skewed partition only if both inputs come straight from a shuffle and no
     later step relies on the result's partitioning, which a chain of joins on one key prevents.
     Joining on a hash of the keys and a ``seed`` as well gives every step a partitioning of its
-    own. Left rows with a null key match nothing; their hash is that of the whole row, so they
-    do not gather in one task.
+    own. Left rows with a null key match nothing; they are hashed by ``spread_by`` (the whole row
+    by default), so they do not gather in one task.
     """
     values = [col(k) for k in keys]
     no_match = F.lit(False)
     for value in values:
         no_match = no_match | value.isNull()
     own = F.xxhash64(*values, F.lit(seed))
-    row = F.xxhash64(*[col(c) for c in left.columns])
+    row = F.xxhash64(*[col(c) for c in spread_by or left.columns])
     spread_left = left.withColumn(SPREAD, F.when(no_match, row).otherwise(own))
     return spread_left.join(right.withColumn(SPREAD, own), [*keys, SPREAD], how).drop(SPREAD)
 
 
-def fill_join(left: DataFrame, right: DataFrame, on: str, *, unique: bool = False, seed: str = "fill") -> DataFrame:
+def fill_join(
+    left: DataFrame,
+    right: DataFrame,
+    on: str,
+    *,
+    unique: bool = False,
+    seed: str = "fill",
+    spread_by: list[str] | None = None,
+) -> DataFrame:
     """Left join in which ``right`` fills the null cells of shared columns and adds its own.
 
     Cells of ``left`` win. Several right rows for one key give several result rows, unless
-    ``unique`` asks for an error instead. Give joins of a chain different seeds.
+    ``unique`` asks for an error instead. Give joins of a chain different seeds; ``spread_by`` are
+    columns that tell left rows without a key apart.
     """
     if unique:
         _check_unique(right, [on], "right side")
     others = [c for c in right.columns if c != on]
     names = {c: f"_r{i}" for i, c in enumerate(others)}
     side = right.select(col(on), *[col(c).alias(n) for c, n in names.items()])
-    joined = spread_join(left, side, [on], "left", seed)
+    joined = spread_join(left, side, [on], "left", seed, spread_by)
     filled = [
         F.coalesce(col(c), F.col(names[c])).alias(c) if c in names else col(c) for c in left.columns
     ]

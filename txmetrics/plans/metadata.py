@@ -123,8 +123,9 @@ def join_script_metadata(
     catalog, scripts, multi_scripts = (
         clean_key(df, "script_id", null_key) for df in (catalog, scripts, multi_scripts)
     )
-    result = fill_join(catalog, scripts, "script_id", unique=unique, seed="scripts")
-    return fill_join(result, multi_scripts, "script_id", unique=unique, seed="multi")
+    options = {"unique": unique, "spread_by": ["file_name"] if "file_name" in catalog.columns else None}
+    result = fill_join(catalog, scripts, "script_id", seed="scripts", **options)
+    return fill_join(result, multi_scripts, "script_id", seed="multi", **options)
 
 
 def consolidate(
