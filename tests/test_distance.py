@@ -55,18 +55,21 @@ def test_long_route_against_brute_force(texts, reference):
 def test_very_long_route(seed, percent):
     rng = random.Random(seed)
     text = "".join(rng.choice("abcdé ") for _ in range(rng.randint(50, 700)))
-    noisy = "".join(rng.choice(["", c + "x", "y"]) if rng.random() * 100 < percent else c for c in text) or "z"
-    assert ds._very_long_distance(text, noisy) == brute(text, noisy)
-
-
-@settings(max_examples=300, deadline=None)
-@given(st.text("abc", min_size=1, max_size=30), st.text("abc", min_size=1, max_size=30), st.integers(0, 40))
-def test_band_is_exact_up_to_its_bound(a, b, extra):
-    short, long = sorted((a, b), key=len)
-    bound = len(long) - len(short) + extra
-    true = brute(a, b)
-    found = ds._band_distance(short, long, bound)
-    assert found == true if true <= bound else found is None
+    noisy = ["".join(rng.choice(["", c + "x", "y"]) if rng.random() * 100 < p else c for c in text) or "z" for p in (percent, 5)]
+    assert ds.very_long_distances(noisy, text) == [brute(x, text) for x in noisy]
+
+
+@settings(max_examples=400, deadline=None)
+@given(
+    st.lists(st.tuples(st.text("abc", min_size=1, max_size=30), st.integers(0, 40)), min_size=1, max_size=4),
+    st.text("abc", min_size=1, max_size=30),
+)
+def test_band_is_exact_up_to_its_bound(patterns, text):
+    bounds = [abs(len(text) - len(p)) + extra for p, extra in patterns]
+    found = ds.band_distances([p for p, _ in patterns], text, bounds)
+    for (p, _), bound, d in zip(patterns, bounds, found):
+        true = brute(p, text)
+        assert d == true if true <= bound else d is None
 
 
 @settings(max_examples=100, deadline=None)

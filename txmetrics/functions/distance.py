@@ -18,8 +18,10 @@ from pyspark.sql import types as T
 
 # Below this many matrix cells the built-in is faster than the trip to a Python worker.
 BUILTIN_CELLS = 512 * 512
-BAND_FROM = 8192
-SEGMENT = 512
+BAND_FROM = 5120
+SEGMENT = 128
+SAMPLE = 512
+COUNTER = (1 << 40) - 1
 TOGETHER = 16
 
 
@@ -60,66 +62,88 @@ def full_distances(patterns: list[str], text: str) -> list[int]:
     return [len(text) + (up & span).bit_count() - (down & span).bit_count() for span in spans]
 
 
-def _band_distance(short: str, long: str, bound: int) -> int | None:
-    """Distance if it is at most ``bound``, else None; only cells that can matter are kept."""
-    gap = len(long) - len(short)
-    reach = (bound - gap) // 2
-    above = gap + reach
-    width = above + reach + 1
-    ones = (1 << width) - 1
-    window = (1 << (width + SEGMENT)) - 1
-    goal = 1 << reach
-    match = _positions(short, above)
-    up, down, misses = (ones >> above) << above, 0, 0
-    for start in range(0, len(long), SEGMENT):
-        part = long[start : start + SEGMENT]
-        local = {ch: (match[ch] >> start) & window for ch in set(part) if ch in match}.get
+def band_distances(patterns: list[str], text: str, bounds: list[int]) -> list[int | None]:
+    """Distances of several strings to one text where they are within a bound, else None.
+
+    Only the diagonals that a path within the bound can touch are kept, and the window slides
+    with the text (Hyyro 2003). The windows lie side by side with room for one segment's slide.
+    """
+    ones = goals = up = end = 0
+    lanes = []
+    for pattern, bound in zip(patterns, bounds):
+        gap = len(text) - len(pattern)
+        reach = (bound - abs(gap)) // 2
+        above, below = reach + max(gap, 0), reach + max(-gap, 0)
+        width = above + below + 1
+        window = (1 << width) - 1
+        goal = end + above - gap
+        lanes.append((_positions(pattern, above), (1 << (width + SEGMENT)) - 1, end, goal))
+        ones |= window << end
+        up |= ((window >> above) << above) << end
+        goals |= 1 << goal
+        end += width + SEGMENT + 1
+    down = hits = seen = 0
+    for start in range(0, len(text), SEGMENT):
+        part = text[start : start + SEGMENT]
+        local = dict.fromkeys(part, 0)
+        for match, window, offset, _ in lanes:
+            for ch in local.keys() & match.keys():
+                local[ch] |= ((match[ch] >> start) & window) << offset
         for step, ch in enumerate(part):
-            x = (local(ch, 0) >> step) & ones
-            diagonal = (((x & up) + up) ^ up) | x | down
+            x = (local[ch] >> step) & ones
+            diagonal = ((((x & up) + up) ^ up) | x | down) & ones
             right = down | ((diagonal | up) ^ ones)
             left = diagonal & up
-            if not diagonal & goal:
-                misses += 1
+            # One counter per window, far enough apart never to meet.
+            hits += diagonal & goals
             diagonal >>= 1
-            up = (left | ((diagonal | right) ^ ones)) & ones
-            down = diagonal & right & ones
-        if misses > bound:
-            return None
-    return misses
+            diagonal &= ones
+            up = left | ((diagonal | right) ^ ones)
+            down = diagonal & right
+        seen += len(part)
+        if all(seen - (hits >> goal & COUNTER) > bound for (_, _, _, goal), bound in zip(lanes, bounds)):
+            return [None] * len(patterns)
+    found = [
+        max(len(p) - len(text), 0) + len(text) - (hits >> goal & COUNTER) for p, (_, _, _, goal) in zip(patterns, lanes)
+    ]
+    return [d if d <= bound else None for d, bound in zip(found, bounds)]
+
+
+def _guess(pattern: str, text: str) -> int:
+    """A likely bound: characters without a partner, or the error rate of the first part."""
+    a, b = Counter(pattern), Counter(text)
+    surplus = max((a - b).total(), (b - a).total())
+    size = max(len(pattern), len(text))
+    sample = full_distances([pattern[:SAMPLE]], text[:SAMPLE])[0] * size // SAMPLE
+    guess = max(surplus, sample)
+    return max(guess + guess // 4, abs(len(text) - len(pattern))) + 32
+
+
+def very_long_distances(patterns: list[str], text: str) -> list[int]:
+    """Distances by bands that grow until they hold; wide ones are done in full."""
+    bounds = {p: _guess(p, text) for p in patterns}
+    found: dict[str, int] = {}
+    while bounds:
+        narrow = [p for p in bounds if 3 * bounds[p] < 2 * min(len(p), len(text))]
+        wide = [p for p in bounds if p not in narrow]
+        found.update(zip(wide, full_distances(wide, text) if wide else ()))
+        results = band_distances(narrow, text, [bounds[p] for p in narrow]) if narrow else []
+        found.update((p, d) for p, d in zip(narrow, results) if d is not None)
+        bounds = {p: 2 * bounds[p] for p, d in zip(narrow, results) if d is None}
+    return [found[p] for p in patterns]
 
 
 def text_distances(texts: list[str], reference: str) -> list[int]:
     """Levenshtein distances with unit costs of several texts to one reference."""
-    found = dict.fromkeys(texts)
-    together = []
-    for text in found:
-        if text == reference:
-            found[text] = 0
-        elif min(len(text), len(reference)) >= BAND_FROM:
-            found[text] = _very_long_distance(text, reference)
-        else:
-            together.append(text)
-    found.update(zip(together, full_distances(together, reference) if together else ()))
+    found = {text: 0 for text in texts if text == reference}
+    others = list(dict.fromkeys(text for text in texts if text != reference))
+    long = [text for text in others if min(len(text), len(reference)) >= BAND_FROM]
+    short = [text for text in others if min(len(text), len(reference)) < BAND_FROM]
+    found.update(zip(long, very_long_distances(long, reference)))
+    found.update(zip(short, full_distances(short, reference) if short else ()))
     return [found[text] for text in texts]
 
 
-def _very_long_distance(left: str, right: str) -> int:
-    short, long = sorted((left, right), key=len)
-    # Two guesses at the distance: characters without a partner, and the rate of the first part.
-    a, b = Counter(short), Counter(long)
-    surplus = max((b - a).total(), (a - b).total())
-    sample = full_distances([short[:SEGMENT]], long[:SEGMENT])[0] * len(long) // SEGMENT
-    guess = max(surplus, sample)
-    bound = max(guess + guess // 4, len(long) - len(short)) + 32
-    while 5 * bound < 4 * len(short):
-        found = _band_distance(short, long, bound)
-        if found is not None:
-            return found
-        bound *= 2
-    return full_distances([short], long)[0]
-
-
 @F.arrow_udf(T.IntegerType())
 def long_distance(left: pa.Array, right: pa.Array) -> pa.Array:
     """Distance of long pairs. Neighbouring rows with the same right side are done together;
