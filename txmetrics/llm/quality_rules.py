@@ -9,6 +9,7 @@ named as the reason and how long it takes, never whether a document is kept.
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -38,8 +39,8 @@ def default_rules(text: str = "text") -> list[Rule]:
         Rule("word_length", (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 12 * n)),
         Rule("symbols", 10 * F.col("n_symbols") > n),
         Rule("duplicate_lines", 100 * F.col("n_dup_lines") > 30 * F.size(F.split(text, "\n"))),
-        Rule("capitals", 2 * F.length(F.regexp_replace(text, "[^A-Z]", "")) > F.col("word_chars")),
-        Rule("exclamations", 10 * F.length(F.regexp_replace(text, "[^!]", "")) > n),
+        Rule("capitals", 2 * _count(text, "[A-Z]") > F.col("word_chars")),
+        Rule("exclamations", 10 * _count(text, "!") > n),
     ]
 
 
@@ -51,59 +52,78 @@ def text_counts(docs: DataFrame, text_column: str = "text") -> DataFrame:
     hashes first; only texts in which two hashes meet compare the windows themselves.
     """
     text = F.coalesce(col(text_column).cast("string"), F.lit(""))
-    words = F.filter(F.split(text, f"{BLANK}+"), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{BLANK[1:-1]}]"))
-    held, made = "__words", "__lines"
-    w, x = F.col(held), F.col(made)
-    starts = F.sequence(F.lit(1), F.size(w) - (WINDOW - 1))
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, WINDOW)))
+    held, made, found = F.col("__words"), F.col("__lines"), F.col("__windows")
+    hashes = _windows(F.transform(held, lambda w: F.xxhash64(w)), lambda a, b: F.xxhash64(a, b))
     return (
-        docs.withColumns({held: words, made: lines})
+        docs.withColumns({"__words": F.array_remove(F.split(text, f"{BLANK}+"), ""), "__lines": lines})
         .withColumns(
             {
-                "n_words": F.size(w).cast("long"),
-                "word_chars": F.length(F.array_join(w, "")).cast("long"),
-                "n_symbols": (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long"),
-                "n_dup_lines": (F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-                "__hashes": F.when(F.size(w) >= WINDOW, hashes).otherwise(F.array().cast("array<bigint>")),
+                "n_words": F.size(held).cast("long"),
+                "word_chars": F.length(F.array_join(held, "")).cast("long"),
+                "n_symbols": _count(text, SYMBOLS),
+                "n_dup_lines": (F.size(made) - F.size(F.array_distinct(made))).cast("long"),
+                "__windows": F.when(F.size(held) >= WINDOW, hashes).otherwise(F.array().cast("array<bigint>")),
             }
         )
         .withColumn(
             "n_repeat_words",
-            F.when(F.size("__hashes") == F.size(F.array_distinct("__hashes")), F.lit(0))
-            .otherwise(_repeated_words(w, starts))
-            .cast("long"),
+            F.when(F.size(found) == F.size(F.array_distinct(found)), F.lit(0)).otherwise(_repeated_words(held)).cast("long"),
         )
-        .drop(held, made, "__hashes")
+        .drop("__words", "__lines", "__windows")
     )
 
 
-def _repeated_words(words: Column, starts: Column) -> Column:
+def _count(text: Column, kind: str) -> Column:
+    return (F.length(text) - F.length(F.regexp_replace(text, kind, ""))).cast("long")
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _windows(items: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """The eight items from every position on, joined: pairs, then pairs of pairs, then of those.
+
+    Arrays are shifted as a whole; taking a slice inside a lambda would copy the array each time.
+    """
+
+    def doubled(items: Column, step: int) -> Column:
+        size = F.size(items) - step
+        return F.zip_with(F.slice(items, F.lit(1), size), F.slice(items, F.lit(1 + step), size), join)
+
+    return _let(_let(_let(items, lambda x: doubled(x, 1)), lambda x: doubled(x, 2)), lambda x: doubled(x, 4))
+
+
+def _repeated_words(words: Column) -> Column:
     """Words inside windows that occur twice or more.
 
     The windows are sorted; those equal to a neighbour are the repeated ones. Their starts in order
     give the covered words: each adds as many as lie before the next start, at most a window.
     """
-    windows = F.sort_array(
-        F.transform(starts, lambda i: F.struct(F.array_join(F.slice(words, i, WINDOW), " ").alias("w"), i.alias("i")))
-    )
-    empty = F.lit(None).cast("struct<w:string,i:int>")
-    before = F.concat(F.array(empty), F.slice(windows, 1, F.size(windows) - 1))
-    after = F.concat(F.slice(windows, 2, F.size(windows) - 1), F.array(empty))
-    same = F.zip_with(
-        F.zip_with(windows, before, lambda a, b: F.struct(a["i"].alias("i"), a["w"].alias("w"), (a["w"] == b["w"]).alias("s"))),
-        after,
-        lambda a, b: F.when(F.coalesce(a["s"], F.lit(False)) | F.coalesce(a["w"] == b["w"], F.lit(False)), a["i"]),
-    )
-    hit = F.sort_array(F.filter(same, lambda i: i.isNotNull()))
+    texts = _windows(words, lambda a, b: F.concat(a, F.lit(" "), b))
+    windows = F.sort_array(F.transform(texts, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
     return F.aggregate(
-        hit,
+        F.sort_array(F.filter(_let(windows, _beside_equals), lambda i: i.isNotNull())),
         F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last")),
         lambda s, i: F.struct((s["n"] + F.least(F.lit(WINDOW), i - s["last"])).alias("n"), i.alias("last")),
         lambda s: s["n"],
     )
 
 
+def _beside_equals(windows: Column) -> Column:
+    """Starts of the sorted ``windows`` that equal a neighbour, null for the others."""
+    none = F.array(F.lit(None).cast("struct<w:string,i:int>"))
+    marked = F.zip_with(
+        windows,
+        F.slice(F.concat(none, windows), F.lit(1), F.size(windows)),
+        lambda a, b: F.struct(a["i"].alias("i"), a["w"].alias("w"), a["w"].eqNullSafe(b["w"]).alias("same")),
+    )
+    after = F.slice(F.concat(windows, none), F.lit(2), F.size(windows))
+    return F.zip_with(marked, after, lambda a, b: F.when(a["same"] | a["w"].eqNullSafe(b["w"]), a["i"]))
+
+
 def plan_cascade(sample: DataFrame, rules: list[Rule]) -> list[Rule]:
     """``rules`` by rejections per second over ``sample``, a frame that ``text_counts`` has made.
 

@@ -11,6 +11,7 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -145,6 +146,8 @@ class PieceModel:
         self.squeeze = bool(normaliser.get(4, 1))
         self.suffix = bool(trainer.get(24, 0))
         self.size = np.array([1 if kind == BYTE else len(text) for text, kind in pieces], np.int64)
+        #: The same for a source in which every space mark was one byte.
+        self.source_size = self.size - np.array([0 if kind == BYTE else 2 * text.count(SPACE) for text, kind in pieces], np.int64)
         self.unknown = int(trainer.get(40, 0))
         #: Pieces never cross from a word into the space after it, so words can be encoded one by one.
         self.by_word = (
@@ -198,6 +201,12 @@ class PieceModel:
 
     def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and end byte in the source of every piece; an added space has an empty span."""
+        if self.by_word and "▁" not in text:
+            # bytes stand for themselves here, but for the space in front: no need to look at each
+            stop = np.cumsum(self.source_size[ids]) - 1
+            if len(ids) and stop[-1] != len(text.encode()):
+                raise ValueError("pieces do not cover the text")
+            return np.maximum(stop - self.source_size[ids], 0), stop
         normal, begin, end = self.normalise(text)
         size = self.size[ids]
         if (lost := ids == self.unknown).any():
@@ -216,6 +225,12 @@ class PieceModel:
         return size
 
 
+@cache
+def _model(path: str) -> PieceModel:
+    """One model for all tasks of a Python worker, so that the words it knows stay known."""
+    return PieceModel(path)
+
+
 def encode(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Ids, byte spans and decoded text of every document.
 
@@ -242,4 +257,4 @@ def encode(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_col
         }
 
     schema = "doc_id, ids array<int>, starts array<int>, ends array<int>, decoded string"
-    return map_texts(pick(docs, id_column, text_column), schema, each, lambda: PieceModel(model_path))
+    return map_texts(pick(docs, id_column, text_column), schema, each, lambda: _model(model_path))
