@@ -2,16 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txmetrics.llm import quality_rules, sentencepieces
+from txmetrics.llm import decontamination, language_id, near_dedup, pii, quality, quality_rules, secret_scan, sentencepieces
+from txmetrics.llm.frames import fold
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from the other four folds of five."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 5) == 0
+    model = language_id.train(docs.where(~held_out))
+    return language_id.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, learnt from the labels of two folds of three."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    held_out = fold(F.col("doc_id"), 3) == 1
+    model = quality.train(docs.select("doc_id", "text").where(~held_out).join(labels, "doc_id"))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of every document: counts, a digest of the base spans, and all spans."""
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *[_of_kind("secrets", k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(_joined(F.filter("secrets", lambda s: s["kind"] != "novel")), 256).alias("base_sha256"),
+        _joined(F.col("secrets")).alias("spans"),
+    )
+
+
+def _of_kind(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
+def _joined(spans: Column) -> Column:
+    """kind:start:end of an array of spans, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, the base rules and the verdict of the cascade for every document."""
     judged = quality_rules.apply_rules(table(spark, sf_dir, "documents"))
@@ -62,6 +101,76 @@ FROM judged
 """
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document at a similarity of 0.85."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), near_dedup.Settings(percent=85))
+
+
+#: Lower-cased words of every row of a table, as SQL.
+WORDS_SQL = r"""
+    SELECT row_number() OVER () AS r, {id},
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x20\x09-\x0D]+') AS words
+    FROM {table}
+"""
+#: Their distinct shingles; fewer than five words are one shingle.
+SHINGLES_SQL = """
+    SELECT DISTINCT r, list_aggregate(words[i:i + 4], 'string_agg', ' ') AS shingle
+    FROM {words}, unnest(range(1, greatest(len(words) - 3, 2))) AS u(i) WHERE len(words) > 0
+"""
+
+OP6_SQL = f"""
+WITH RECURSIVE d AS MATERIALIZED ({WORDS_SQL.format(id="doc_id", table="documents")}),
+s AS MATERIALIZED ({SHINGLES_SQL.format(words="d")}),
+sets AS MATERIALIZED (
+    SELECT r, count(*) AS n, string_agg(shingle, '|' ORDER BY shingle) AS whole FROM s GROUP BY r
+), classes AS MATERIALIZED (
+    SELECT whole, min(n) AS n, min(r) AS r, min(doc_id) AS node FROM sets JOIN d USING (r) GROUP BY whole
+), parts AS MATERIALIZED (
+    SELECT node, n, shingle FROM classes JOIN s USING (r)
+), links AS MATERIALIZED (
+    SELECT a.node AS x, b.node AS y FROM parts a JOIN parts b ON a.shingle = b.shingle AND a.node <> b.node
+    WHERE 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n
+    GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach AS (
+    SELECT node, node AS other FROM classes
+    UNION
+    SELECT reach.node, links.y FROM reach JOIN links ON reach.other = links.x
+), named AS (
+    SELECT node, min(other) AS component FROM reach GROUP BY node
+)
+SELECT doc_id, coalesce(sets.n, 0)::BIGINT AS n_shingles, coalesce(component, doc_id) AS component_id,
+    doc_id = coalesce(component, doc_id) AS kept
+FROM d LEFT JOIN sets USING (r) LEFT JOIN classes USING (whole) LEFT JOIN named ON classes.node = named.node
+"""
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document contains, for all documents."""
+    return decontamination.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP7_SQL = f"""
+WITH d AS MATERIALIZED ({WORDS_SQL.format(id="doc_id", table="documents")}),
+b AS MATERIALIZED ({WORDS_SQL.format(id="item_id", table="(SELECT DISTINCT item_id, text FROM benchmark)")}),
+item AS MATERIALIZED (
+    SELECT r, item_id, len(s.words) AS k, shingle
+    FROM b s JOIN ({SHINGLES_SQL.format(words="b")}) USING (r)
+), size AS (
+    SELECT r, count(*) AS n FROM item GROUP BY r
+), length AS (
+    SELECT DISTINCT least(k, 5) AS k FROM item
+), grams AS MATERIALIZED (
+    SELECT DISTINCT d.r, d.doc_id, k, list_aggregate(words[i:i + k - 1], 'string_agg', ' ') AS shingle
+    FROM d, length, unnest(range(1, greatest(len(words) - k + 2, 1))) AS u(i)
+)
+SELECT g.doc_id, item.item_id, count(*)::BIGINT AS shared, size.n::BIGINT AS item_shingles
+FROM item JOIN size USING (r) JOIN grams g ON g.shingle = item.shingle AND g.k = least(item.k, 5)
+GROUP BY g.r, g.doc_id, item.r, item.item_id, size.n
+HAVING 100 * count(*) >= 80 * size.n
+"""
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     import public_tokenizers
@@ -75,5 +184,17 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op5_quality_rules, op9_sentencepiece)}
-ORACLE = {"op5_quality_rules": OP5_SQL}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The personal data of every document: counts, a digest of the base spans, and all spans."""
+    docs = table(spark, sf_dir, "documents")
+    found = pii.detect(docs, pii.train(docs))
+    return found.select(
+        "doc_id",
+        *[_of_kind("spans", k).alias(f"n_{k}") for k in pii.BASE],
+        F.sha2(_joined(F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))), 256).alias("base_sha256"),
+        _joined(F.col("spans")).alias("spans"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality, op4_secret_scan, op5_quality_rules, op6_near_duplicates, op7_decontamination, op9_sentencepiece, op10_pii)}
+ORACLE = {"op5_quality_rules": OP5_SQL, "op6_near_duplicates": OP6_SQL, "op7_decontamination": OP7_SQL}
