@@ -156,10 +156,15 @@ def _rows(drawn: DataFrame, idf: np.ndarray) -> list[tuple[str, np.ndarray, np.n
 
 
 def fit_temperature(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The divisor of the scores that makes the labels most probable, by golden-section search on its logarithm."""
+    """The divisor of the scores that makes the labels most probable, by golden-section search on its logarithm.
+
+    One pseudo-error is spread over the rows, so that faultless scores do not become certainties.
+    """
+    doubt = 1 / (len(labels) + 2)
 
     def loss(log_t: float) -> float:
-        return -np.log(softmax(scores / np.exp(log_t))[np.arange(len(labels)), labels] + 1e-12).mean()
+        log_p = np.log(softmax(scores / np.exp(log_t)) + 1e-300)
+        return -((1 - doubt) * log_p[np.arange(len(labels)), labels] + doubt * log_p.mean(axis=1)).mean()
 
     lo, hi, ratio = -4.0, 4.0, (np.sqrt(5) - 1) / 2
     for _ in range(40):
@@ -168,6 +173,15 @@ def fit_temperature(scores: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((lo + hi) / 2))
 
 
+def guess(text: str | None, model: LanguageModel) -> tuple[str, float]:
+    """Language and calibrated score of a text."""
+    if not text or not model.languages or not _LETTER.search(text):
+        return UNDETERMINED, 0.0
+    index, value = sparse_row(count_features(text), model.idf)
+    p = softmax(value @ model.weights[index] / model.temperature)
+    return model.languages[int(p.argmax())], float(p.max())
+
+
 def predict(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id``, ``lang_pred`` and ``score`` (calibrated, 0 to 1) of every row of ``docs``.
 
@@ -176,16 +190,23 @@ def predict(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", te
     """
 
     def each(ids, texts):
-        labels, scores = [], []
-        for text in texts:
-            if not text or not model.languages or not _LETTER.search(text):
-                labels.append(UNDETERMINED)
-                scores.append(0.0)
-                continue
-            index, value = sparse_row(count_features(text), model.idf)
-            p = softmax(value @ model.weights[index] / model.temperature)
-            labels.append(model.languages[int(p.argmax())])
-            scores.append(float(p.max()))
-        return {"doc_id": ids, "lang_pred": pa.array(labels, pa.string()), "score": pa.array(scores, pa.float64())}
+        found = [guess(t, model) for t in texts]
+        return {
+            "doc_id": ids,
+            "lang_pred": pa.array([x for x, _ in found], pa.string()),
+            "score": pa.array([x for _, x in found], pa.float64()),
+        }
 
     return map_texts(pick(docs, id_column, text_column), "doc_id, lang_pred string, score double", each)
+
+
+def language(model: LanguageModel, text_column: str = "text") -> Column:
+    """The same as a column of ``lang_pred`` and ``score``, for use beside other columns."""
+
+    @F.pandas_udf("lang_pred string, score double")
+    def found(texts):
+        import pandas as pd
+
+        return pd.DataFrame([guess(t, model) for t in texts], columns=["lang_pred", "score"])
+
+    return found(col(text_column).cast("string"))

@@ -1,6 +1,6 @@
 """Quality classifier: logistic regression on hashed word n-grams, trained by follow-the-regularised-leader.
 
-Tokens are runs of word characters and runs of marks, so that decoration around words is seen. A
+Tokens are runs of word characters, case kept, and runs of marks, so that shouting and decoration are seen. A
 document is scored as a sparse dot product with the weights.
 """
 
@@ -31,7 +31,7 @@ class QualityModel:
 
 def rows_of(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Hashed uni- and bigrams of each text with damped counts of length one; an empty text has none."""
-    cut = words.split([_MARKS.sub(r" \1 ", t) if t else "" for t in texts])
+    cut = words.split([_MARKS.sub(r" \1 ", t) if t else "" for t in texts], lower=False)
     one = cut.hashes()
     two = words.join_hashes(one, 2)
     shift = np.uint64(64 - BITS)

@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txmetrics.llm import decontamination, language_id, near_dedup, pii, quality, quality_rules, secret_scan, sentencepieces
+from txmetrics.llm import (
+    decontamination,
+    language_id,
+    maxent_lm,
+    near_dedup,
+    passages,
+    pii,
+    quality,
+    quality_rules,
+    secret_scan,
+    sentencepieces,
+)
 from txmetrics.llm.frames import fold
 
 
@@ -31,6 +42,33 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that occur in more than one document, for all documents."""
+    found = passages.repeated_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start_word", "end_word", "n_words")
+
+
+OP3_SQL = r"""
+WITH d AS MATERIALIZED (
+    SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS words
+    FROM documents WHERE text IS NOT NULL
+), windows AS MATERIALIZED (
+    SELECT doc_id, i, list_aggregate(words[i + 1:i + 50], 'string_agg', ' ') AS passage
+    FROM d, unnest(range(len(words) - 49)) AS u(i)
+), shared AS (
+    SELECT passage FROM windows GROUP BY passage HAVING count(DISTINCT doc_id) > 1
+), begun AS (
+    SELECT doc_id, i, i >= coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50, 0) AS begins
+    FROM (SELECT DISTINCT doc_id, i FROM windows JOIN shared USING (passage))
+), numbered AS (
+    SELECT doc_id, i, sum(begins::INT) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM begun
+)
+SELECT doc_id, min(i)::INT AS start_word, (max(i) + 50)::INT AS end_word, (max(i) + 50 - min(i))::INT AS n_words
+FROM numbered GROUP BY doc_id, n
+"""
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The secrets of every document: counts, a digest of the base spans, and all spans."""
     found = secret_scan.scan(table(spark, sf_dir, "documents"))
@@ -171,6 +209,22 @@ HAVING 100 * count(*) >= 80 * size.n
 """
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and model scores of every document, learnt from four folds of five."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 5) == 1
+    model, counts = maxent_lm.train(docs.where(~held_out))
+    return maxent_lm.score(docs, model, counts).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.train_tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     import public_tokenizers
@@ -196,5 +250,24 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality, op4_secret_scan, op5_quality_rules, op6_near_duplicates, op7_decontamination, op9_sentencepiece, op10_pii)}
-ORACLE = {"op5_quality_rules": OP5_SQL, "op6_near_duplicates": OP6_SQL, "op7_decontamination": OP7_SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_id,
+        op2_quality,
+        op3_passages,
+        op4_secret_scan,
+        op5_quality_rules,
+        op6_near_duplicates,
+        op7_decontamination,
+        op8_lm_scores,
+        op9_sentencepiece,
+        op10_pii,
+    )
+}
+ORACLE = {
+    "op3_passages": OP3_SQL,
+    "op5_quality_rules": OP5_SQL,
+    "op6_near_duplicates": OP6_SQL,
+    "op7_decontamination": OP7_SQL,
+}

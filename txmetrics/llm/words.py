@@ -44,7 +44,7 @@ def _tables(n: int) -> list[np.ndarray]:
 
 @dataclass
 class Words:
-    """``data``: the lower-cased bytes of all texts, a space after each; word k is data[start[k]:stop[k]].
+    """``data``: the bytes of all texts, lower-cased or not, a space after each; word k is data[start[k]:stop[k]].
 
     ``first``: the number of words before each text, and the total at the end.
     """
@@ -75,10 +75,11 @@ class Words:
         return self.data[self.start[k] : self.stop[k]]
 
 
-def split(texts: list[str | None]) -> Words:
-    """The words of each text; a null text has none."""
+def split(texts: list[str | None], lower: bool = True) -> Words:
+    """The words of each text; a null text has none. ``lower=False`` leaves A-Z as they are."""
     parts = [t.encode() if t else b"" for t in texts]
-    data = b" ".join([*parts, b""]).lower()
+    data = b" ".join([*parts, b""])
+    data = data.lower() if lower else data
     size = np.array([len(p) + 1 for p in parts], np.int64)
     offset = np.concatenate([[0], np.cumsum(size)])
     blank = np.concatenate([[True], _BLANK[np.frombuffer(data, np.uint8)]])
