@@ -90,7 +90,7 @@ def _windows(items: Column, join: Callable[[Column, Column], Column]) -> Column:
     """
 
     def doubled(items: Column, step: int) -> Column:
-        size = F.size(items) - step
+        size = F.greatest(F.size(items) - step, F.lit(0))
         return F.zip_with(F.slice(items, F.lit(1), size), F.slice(items, F.lit(1 + step), size), join)
 
     return _let(_let(_let(items, lambda x: doubled(x, 1)), lambda x: doubled(x, 2)), lambda x: doubled(x, 4))
