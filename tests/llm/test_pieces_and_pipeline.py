@@ -41,13 +41,14 @@ def double_array(entries):
         for b in key:
             node = node.setdefault(b, {})
         node[0] = value
-    units, used = {0: 0}, {0}
+    units, used, bases = {0: 0}, {0}, set()
 
     def place(node, at):
         base = 1
         labels = list(node)
-        while any((base ^ b) in used or (base ^ b) == 0 for b in labels):
+        while base in bases or any((base ^ b) in used for b in labels):
             base += 1
+        bases.add(base)
         used.update(base ^ b for b in labels)
         units[at] |= ((base ^ at) << 10) | ((1 << 8) if 0 in node else 0)
         for b, child in node.items():
