@@ -10,11 +10,12 @@ from registry import tables as t
 from txmetrics.functions import collapse_whitespace, distinct_values, round6, to_number, unicode_normalise
 from txmetrics.functions.text import file_name, is_native, mime_type, stem, suffix
 from txmetrics.operators import by_batch, grouped_scores, last_wins, micro_average, model_summary, overall
-from txmetrics.plans import canonical_batch, result_map, score
+from txmetrics.plans import canonical_batch, score, score_map
 
 
 def scored(spark, sf_dir, **options):
-    return score(t.inference(spark, sf_dir), t.truth(spark, sf_dir), **options)
+    """Scores of all models; a document is one image, so the keys of the truth are unique."""
+    return score(t.inference(spark, sf_dir), t.truth(spark, sf_dir), truth_order=None, **options)
 
 
 def cer_per_image(spark, sf_dir):
@@ -43,8 +44,7 @@ def cer_micro(spark, sf_dir):
 
 
 def cer_result_map(spark, sf_dir):
-    totals = scored(spark, sf_dir)
-    nested = result_map(by_batch(totals), overall(totals))
+    nested = score_map(scored(spark, sf_dir))
     return nested.select("model", "overall_cer", F.explode("per_batch").alias("batch_id", "_v")).select(
         "model", "overall_cer", "batch_id", F.col("_v.cer").alias("cer"), F.col("_v.count").alias("count")
     )
@@ -64,11 +64,11 @@ def _turns(spark, sf_dir):
 
 
 def cer_turns(spark, sf_dir):
-    return score(*_turns(spark, sf_dir)).withColumn("cer", round6(F.col("cer")))
+    return score(*_turns(spark, sf_dir), truth_order=None).withColumn("cer", round6(F.col("cer")))
 
 
 def cer_turns_whitespace(spark, sf_dir):
-    return score(*_turns(spark, sf_dir), whitespace=True).withColumn("cer", round6(F.col("cer")))
+    return score(*_turns(spark, sf_dir), whitespace=True, truth_order=None).withColumn("cer", round6(F.col("cer")))
 
 
 def cer_unicode_form(spark, sf_dir):
@@ -77,7 +77,7 @@ def cer_unicode_form(spark, sf_dir):
     outputs = truth.select(
         F.lit("decomposed").alias("model"), "image_name", "batch_id", unicode_normalise(F.col("transcript"), "NFD").alias("inference")
     )
-    return score(outputs, truth, unicode_form="NFC")
+    return score(outputs, truth, unicode_form="NFC", truth_order=None)
 
 
 def normalise_whitespace(spark, sf_dir):

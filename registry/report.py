@@ -54,7 +54,7 @@ EVENT_MODELS = ["click", "error", "purchase", "signup", "view"]
 
 
 def scores_wide_repeats(spark, sf_dir):
-    return widen_scores(_event_scores(spark, sf_dir), EVENT_MODELS)
+    return widen_scores(_event_scores(spark, sf_dir), EVENT_MODELS, duplicates="multiply")
 
 
 def _wide(spark, sf_dir):

@@ -12,7 +12,7 @@ TRUTH = "image_name STRING, batch_id STRING, transcript STRING"
 
 
 def scored(spark, outputs, truth, **options):
-    rows = score(spark.createDataFrame(outputs, OUTPUTS), spark.createDataFrame(truth, TRUTH), **options).collect()
+    rows = score(spark.createDataFrame(outputs, OUTPUTS), spark.createDataFrame(truth, TRUTH), truth_order=None, **options).collect()
     return {(r.model, r.image_name, r.batch_id): r for r in rows}
 
 
@@ -45,7 +45,7 @@ def test_edges(spark):
         ("m", "a", "1", "x" * 127 + "y"), ("m", "a", "1", "x" * 128), ("m", "b", "1", ""), ("m", "b", "2", ""), ("m", "c", "1", "t"),
         ("m", "zz", "1", "unknown"), ("m", "n", None, "null batch"), ("m", "e", "1", None),
     ]
-    rows = score(spark.createDataFrame(outputs, OUTPUTS), spark.createDataFrame(truth, TRUTH))
+    rows = score(spark.createDataFrame(outputs, OUTPUTS), spark.createDataFrame(truth, TRUTH), truth_order=None)
     got = sorted((r.image_name, r.batch_id or "", round(r.cer, 9)) for r in rows.collect())
     assert got == [
         ("a", "1", 0.0), ("a", "1", 0.0078125), ("b", "1", 0.0), ("b", "2", 0.0), ("c", "1", 1.0), ("e", "1", 0.0), ("n", "", 0.0),
@@ -63,8 +63,10 @@ def test_last_truth_wins(spark):
     assert got == {"a": "new", None: None}
     outputs = spark.createDataFrame([("m", "a", "1", "new")], OUTPUTS)
     assert [r.distance for r in score(outputs, truth).collect()] == [0]
-    in_file_order = truth.drop("_pos").coalesce(1)
-    assert [r.distance for r in score(outputs, in_file_order).collect()] == [0]
+    renamed = truth.withColumnRenamed("_pos", "version")
+    assert [r.distance for r in score(outputs, renamed, truth_order="version").collect()] == [0]
+    with pytest.raises(ValueError, match="position"):
+        score(outputs, renamed)
 
 
 def test_normalisation_is_off_by_default(spark):
@@ -134,7 +136,7 @@ def test_hot_image_is_split_at_run_time(spark):
             F.sha2(F.col("id").cast("string"), 512).alias("inference"),
         )
         truth = outputs.select("image_name", "batch_id").distinct().withColumn("transcript", F.lit("abc"))
-        scores = by_batch(score(outputs, truth))
+        scores = by_batch(score(outputs, truth, truth_order=None))
         assert [r["count"] for r in scores.collect()] == [30000]
         plan = scores._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin(skew=true)" in plan

@@ -44,15 +44,16 @@ LEADING_COLUMNS = (
 
 
 def widen_scores(
-    scores: DataFrame, models: list[str] | None = None, *, duplicates: str = "multiply"
+    scores: DataFrame, models: list[str] | None = None, *, duplicates: str = "forbid"
 ) -> DataFrame:
     """One row per image with a ``<model>_cer`` column per model, scores rounded to 6 decimals.
 
     The long table is folded with one shuffle, however many models there are. An image that a
-    model scored more than once cannot be folded: with ``multiply`` such images get one row per
-    combination, as a chain of joins would give, with ``forbid`` they raise an error. Only the
-    images in question take the join route. ``scores`` is read once per model for them, so pass
-    a written table with ``multiply``.
+    model scored more than once cannot be folded: with ``forbid`` it raises an error, with
+    ``multiply`` it gets one row per combination, as a chain of joins would give: their number is
+    the product of the repeats, so ask for it only where repeats are few. Only the images in
+    question take the join route. ``scores`` is read once per model for them, so pass a written
+    table with ``multiply``.
     """
     if duplicates not in ("multiply", "forbid"):
         raise ValueError(f"unknown rule for duplicates {duplicates!r}")

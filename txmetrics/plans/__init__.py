@@ -10,7 +10,7 @@ from txmetrics.plans.dataset import (
     write_benchmark,
     write_outputs,
 )
-from txmetrics.plans.evaluation import Evaluation, evaluate, evaluate_directory, result_map, score
+from txmetrics.plans.evaluation import Evaluation, evaluate, evaluate_directory, result_map, score, score_map
 from txmetrics.plans.inference import Provider, batch_infer, cached_text, plan_work, split_cached
 from txmetrics.plans.metadata import catalog_projection, consolidate, join_script_metadata, normalise_columns, union_sheets
 from txmetrics.plans.report import attach_scores, coverage, final_summary, generate_reports
@@ -38,6 +38,7 @@ __all__ = [
     "plan_work",
     "result_map",
     "score",
+    "score_map",
     "split_cached",
     "stats_document",
     "union_sheets",

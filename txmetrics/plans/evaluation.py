@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txmetrics.functions.columns import distinct_values, same_key
+from txmetrics.functions.columns import same_key
 from txmetrics.functions.distance import cer, edit_distance, round6
 from txmetrics.functions.text import normalise
 from txmetrics.operators.aggregates import by_batch, model_summary, overall
@@ -28,13 +28,13 @@ class Evaluation(NamedTuple):
 def truth_table(truth: DataFrame, order: Column | str | None = POSITION) -> DataFrame:
     """Ground truth with one transcript per image: the last one by ``order``.
 
-    Without the default position column the scan order decides. ``None`` states that the keys
-    are unique, which saves the aggregation.
+    ``None`` states that the keys are unique, which saves the aggregation. A table without the
+    position column of a scan has no order of its own: name one, or say that there is none to keep.
     """
     if order is None:
         return truth.select(*KEYS, "transcript")
     if order == POSITION and POSITION not in truth.columns:
-        order = F.monotonically_increasing_id()
+        raise ValueError("the truth has no position column: pass the order of its rows, or None if its keys are unique")
     elif isinstance(order, str):
         order = F.col(order)
     return last_wins(truth.select(*KEYS, "transcript", order.alias(POSITION)), KEYS, POSITION).drop(POSITION)
@@ -91,13 +91,30 @@ def evaluate(inference: DataFrame, truth: DataFrame, **options) -> Evaluation:
     return Evaluation(scores, by_batch(scores), overall(scores))
 
 
-def result_map(per_batch: DataFrame, totals: DataFrame) -> DataFrame:
-    """One row per model with its batches as a map of ``batch_id`` to ``(cer, count)``."""
-    entry = F.struct("batch_id", F.struct("cer", "count"))
+NO_BATCH = ""
+
+
+def result_map(per_batch: DataFrame, totals: DataFrame, no_batch: str = NO_BATCH) -> DataFrame:
+    """One row per model with its batches as a map of ``batch_id`` to ``(cer, count)``.
+
+    A map has no null key, so rows without a batch are under ``no_batch``; scans give no empty
+    batch that it could be mistaken for.
+    """
+    entry = F.struct(F.coalesce("batch_id", F.lit(no_batch)), F.struct("cer", "count"))
     maps = per_batch.groupBy("model").agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("per_batch"))
     return totals.select("model", "overall_cer").join(maps, "model", "left")
 
 
+def score_map(scores: DataFrame, no_batch: str = NO_BATCH) -> DataFrame:
+    """The same straight from the scores, in one pass over them: what is kept of them is a sum per model and batch."""
+    parts = scores.groupBy("model", "batch_id").agg(F.sum("cer").alias("_sum"), F.count("*").alias("count"))
+    value = F.struct(round6(F.col("_sum") / F.col("count")).alias("cer"), "count")
+    entries = F.collect_list(F.struct(F.coalesce("batch_id", F.lit(no_batch)), value))
+    return parts.groupBy("model").agg(
+        round6(F.sum("_sum") / F.sum("count")).alias("overall_cer"), F.map_from_entries(F.sort_array(entries)).alias("per_batch")
+    )
+
+
 def export_scores(scores: DataFrame, directory: str) -> str:
     """CSV export ``image_name, batch_id, cer`` in one pass, below ``model=<model>``."""
     rows = scores.select("model", *KEYS, round6(F.col("cer")).alias("cer"))
@@ -123,6 +140,6 @@ def evaluate_directory(
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in scores.schema)
     written = spark.read.schema(schema).parquet(path)
     export_scores(written, f"{directory}/per_image")
-    if len(distinct_values(written, "model")) > 1:
+    if len(written.select("model").distinct().limit(2).collect()) > 1:
         export_csv(model_summary(written), f"{directory}/summary.csv", order_by=["model"])
     return Evaluation(written, by_batch(written), overall(written))

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from txmetrics.functions.columns import same_key
 from txmetrics.functions.responses import structured_text, vision_text
 from txmetrics.functions.text import stem
 from txmetrics.operators.joins import attach, last_wins, spread_join
@@ -25,7 +26,7 @@ class Provider:
 
     ``run(image, settings, state)`` gets the image row as a dict (``image_name, batch_id, path``
     and ``content`` if the listing has it) and returns text, or text and raw response.
-    ``init(settings)`` runs once per partition and model; what it returns is ``state``.
+    ``init(settings)`` runs once per task and model, again if it fails; what it returns is ``state``.
     ``kind`` is the form of the raw response: ``plain``, ``vision``, ``structured``, or None
     for models that are run every time.
     """
@@ -68,16 +69,36 @@ def cached_text(raw: Column, kind: Column) -> Column:
     return F.when(kind == "vision", vision_text(raw)).when(kind == "structured", structured_text(raw)).otherwise(raw)
 
 
-def split_cached(work: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Work rows that have a stored response (with its text), and those still to be run."""
+def _latest(cache: DataFrame) -> DataFrame:
     if "written" not in cache.columns:
         cache = cache.withColumn("written", F.lit(None).cast("timestamp"))
     stored = cache.select(*CACHE_KEYS, "raw", F.coalesce("written", F.timestamp_seconds(F.lit(0))).alias("written"))
-    latest = last_wins(stored, CACHE_KEYS, "written").select(*CACHE_KEYS, "raw")
-    done = spread_join(work, latest, CACHE_KEYS, "inner", "done").withColumn(
+    return last_wins(stored, CACHE_KEYS, "written").select(*CACHE_KEYS, "raw")
+
+
+def split_cached(work: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Work rows that have a stored response (with its text), and those still to be run.
+
+    Both sides are shuffled as they are: leave image bytes out of ``work`` and fetch them for the
+    pending rows afterwards, as :func:`batch_infer` does.
+    """
+    done = spread_join(work, _latest(cache), CACHE_KEYS, "inner", "done", spread_by=CACHE_KEYS + ["image_name"]).withColumn(
         "text", cached_text(F.col("raw"), F.col("kind"))
     )
-    return done, work.join(stored.select(*CACHE_KEYS), CACHE_KEYS, "left_anti")
+    return done, work.join(cache.select(*CACHE_KEYS), CACHE_KEYS, "left_anti")
+
+
+def with_content(pending: DataFrame, images: DataFrame) -> DataFrame:
+    """Pending rows with the columns of their images; the bytes of an image are moved once, for all its models.
+
+    The rows of an image are its models, so their list is as short as the list of models.
+    """
+    keys = [c for c in ("batch_id", "image_name", "path") if c in images.columns]
+    wanted = pending.groupBy(*keys).agg(F.collect_list(F.struct("model", "kind", "stem")).alias("_models"))
+    names = {k: f"_key_{k}" for k in keys}
+    side = wanted.select(*[F.col(k).alias(n) for k, n in names.items()], "_models")
+    joined = images.join(side, same_key(images, side, keys, list(names.values())), "inner").drop(*names.values())
+    return joined.withColumn("_m", F.explode(F.array_distinct("_models"))).drop("_models").select("_m.*", "*").drop("_m")
 
 
 RESULT_SCHEMA = (
@@ -86,21 +107,32 @@ RESULT_SCHEMA = (
 )
 
 
-def _runner(models: dict[str, dict], providers: dict[str, Provider]):
+def _start(provider: Provider, settings: dict, attempts: int) -> tuple[Any, str | None]:
+    """The state of a model, or why it could not start after so many attempts."""
+    if provider.init is None:
+        return None, None
+    message = None
+    for _ in range(attempts):
+        try:
+            return provider.init(settings), None
+        except Exception as error:
+            message = f"{type(error).__name__}: {error}"
+    return None, message
+
+
+def _runner(models: dict[str, dict], providers: dict[str, Provider], attempts: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ready: dict[str, tuple[Any, str | None]] = {}
+        current, state, model_error = None, None, None  # one model at a time: rows come sorted by model
         for batch in batches:
             rows = []
             for image in batch.to_dict("records"):
                 model = image["model"]
                 settings = models[model]
                 provider = providers[settings.get("provider", DEFAULT_PROVIDER)]
-                if model not in ready:
-                    try:
-                        ready[model] = (provider.init(settings) if provider.init else None, None)
-                    except Exception as error:
-                        ready[model] = (None, f"{type(error).__name__}: {error}")
-                state, model_error = ready[model]
+                if model != current:
+                    state = None  # let the last one go before the next is loaded
+                    state, model_error = _start(provider, settings, attempts)
+                    current = model
                 text, raw, error = "", None, None
                 if model_error is None:
                     try:
@@ -127,32 +159,40 @@ def batch_infer(
     *,
     cache_failures: bool = False,
     max_parallel: int | None = None,
+    start_attempts: int = 3,
 ) -> Inference:
     """Run every model on every image that has no stored response.
 
-    A call that fails gives empty text and its error; a model that cannot start is reported in
-    ``status`` and has no outputs, the others go on. Fresh results are written to the shared
-    folder before anything reads them, so no call is repeated for a second output.
-    ``max_parallel`` bounds concurrent tasks for rate-limited services.
-
-    ``cache_rows`` are the new responses to append to the cache. Failed plain and vision calls
-    are among them only with ``cache_failures``; failed structured calls are always retried.
+    A call that fails gives empty text and its error. A model is started anew in each task, at
+    most ``start_attempts`` times; where it cannot start, the rows of that task have no output and
+    are pending again in the next run. Stored responses and the answers of other tasks stay. A
+    model is not ok only if it started nowhere and nothing is stored for it. Each task holds one
+    model at a time. Fresh results are written to the shared folder before anything reads them,
+    so no call is repeated for a second output. ``max_parallel`` bounds concurrent tasks for
+    rate-limited services.
+
+    ``status`` has a row per model: ``ok``, its ``error`` (also of a partial failure), and how many
+    rows were ``answered`` and ``unanswered`` in this run. ``cache_rows`` are the new responses to
+    append to the cache. Failed plain and vision calls are among them only with
+    ``cache_failures``; failed structured calls are always retried.
     """
     spark = images.sparkSession
-    work, skipped = plan_work(images, models, providers)
+    content = "content" in images.columns
+    work, skipped = plan_work(images.drop("content"), models, providers)
     done = None
     pending = work
     if cache is not None:
         done, pending = split_cached(work, cache)
+    if content:
+        pending = with_content(pending, images) if cache is not None else plan_work(images, models, providers)[0]
     if max_parallel is not None:
         pending = pending.repartition(max_parallel)
-    fresh = materialise(pending.mapInPandas(_runner(models, providers), RESULT_SCHEMA), "inference")
-    broken = fresh.where("model_error IS NOT NULL").groupBy("model").agg(F.max("model_error").alias("message"))
+    pending = pending.sortWithinPartitions("model")
+    fresh = materialise(pending.mapInPandas(_runner(models, providers, start_attempts), RESULT_SCHEMA), "inference")
     columns = ["model", "image_name", "batch_id", F.col("text").alias("inference")]
-    outputs = fresh.select(*columns)
+    outputs = fresh.where("model_error IS NULL").select(*columns)
     if done is not None:
         outputs = done.select(*columns).unionByName(outputs)
-    outputs = outputs.join(broken, "model", "left_anti")
 
     answered = F.col("error").isNull() if not cache_failures else F.lit(True)
     stored = (
@@ -168,10 +208,21 @@ def batch_infer(
 
     listed = [(m, None) for m in models if m not in dict(skipped)] + skipped
     status = spark.createDataFrame(listed, "model STRING, message STRING")
-    status = attach(status, broken.select("model", F.col("message").alias("_broken")), ["model"]).select(
+    counts = fresh.groupBy("model").agg(
+        F.count_if(F.col("model_error").isNull()).alias("answered"),
+        F.count("model_error").alias("unanswered"),
+        F.max("model_error").alias("_broken"),
+    )
+    held = done.groupBy("model").agg(F.count("*").alias("_held")) if done is not None else None
+    status = attach(status, counts, ["model"])
+    status = attach(status, held, ["model"]) if held is not None else status.withColumn("_held", F.lit(0))
+    some = (F.coalesce("answered", F.lit(0)) + F.coalesce("_held", F.lit(0))) > 0
+    status = status.select(
         "model",
-        F.coalesce("message", "_broken").isNull().alias("ok"),
+        (F.col("message").isNull() & (some | F.col("_broken").isNull())).alias("ok"),
         F.coalesce("message", "_broken").alias("error"),
+        F.coalesce("answered", F.lit(0)).alias("answered"),
+        F.coalesce("unanswered", F.lit(0)).alias("unanswered"),
     )
     return Inference(outputs, cache_rows, status)
 

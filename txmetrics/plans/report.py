@@ -87,7 +87,7 @@ def generate_reports(
     scores: DataFrame,
     directory: str,
     *,
-    duplicates: str = "multiply",
+    duplicates: str = "forbid",
     **options,
 ) -> DataFrame:
     """All report tables below ``directory``; returns the merged report.

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from functools import cache
@@ -17,19 +20,25 @@ CLUSTER = "_cluster"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
+    """The folder all executors share: ``spark.checkpoint.dir``, or the checkpoint folder of the context.
 
-    Only a session that names none, as in local tests, gets a temporary one.
+    A local session that names none gets a temporary folder, which goes with the process. On a
+    cluster a folder of one machine would lose rows, so there it is an error.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
+    master = spark.sparkContext.master
+    if not re.match(r"local(\[|$)", master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
     return _own_folder()
 
 
 @cache
 def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="txmetrics-")
+    folder = tempfile.mkdtemp(prefix="txmetrics-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

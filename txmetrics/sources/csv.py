@@ -6,7 +6,10 @@ use Parquet tables with the same columns.
 
 from __future__ import annotations
 
+import csv
+import io
 import re
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -48,19 +51,58 @@ def header_names(cells: list[str | None]) -> list[str]:
     return names
 
 
-def _header(spark: SparkSession, path: str) -> list[str]:
-    rows = spark.read.csv(path, header=False, **CSV_OPTIONS).take(1)
-    if not rows:
-        raise ValueError(f"no header in {path}")
-    return header_names(list(rows[0]))
+def _header(line: str) -> tuple[str, ...]:
+    cells = next(csv.reader(io.StringIO(line)), [])
+    return tuple(header_names([c.lstrip("\ufeff").strip() for c in cells]))
+
+
+def _first_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """The first line of every file that has one."""
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    lines = spark.read.text(paths).select(decode_uri(F.col("_metadata.file_path")).alias("path"), "value", place.alias("place"))
+    return lines.groupBy("path").agg(F.min_by("value", "place").alias("line"))
+
+
+def headers(spark: SparkSession, paths: str | list[str]) -> dict[tuple[str, ...], int]:
+    """The different headers of all files under ``paths``, and how many files have each.
+
+    One pass in which every file gives its first line; a header is one line. Only the headers reach
+    the driver.
+    """
+    lines = _first_lines(spark, paths)
+    found: dict[tuple[str, ...], int] = {}
+    for row in lines.groupBy("line").count().collect():
+        found[_header(row["line"])] = found.get(_header(row["line"]), 0) + row["count"]
+    return found
+
+
+def _files_by_header(spark: SparkSession, paths: str | list[str]) -> dict[tuple[str, ...], list[str]]:
+    """Files under ``paths`` by header; asked for only where headers differ."""
+    lines = _first_lines(spark, paths)
+    found: dict[tuple[str, ...], list[str]] = {}
+    for row in lines.collect():
+        found.setdefault(_header(row["line"]), []).append(_glob_literal(row["path"]))
+    return {names: sorted(files) for names, files in sorted(found.items())}
 
 
 def _scan(spark: SparkSession, paths: list[str], names: list[str], tokens: tuple[str, ...]) -> DataFrame:
-    """Scan files that share a header; columns are bound by position, then named."""
-    schema = ", ".join(f"c{i} STRING" for i in range(len(names)))
+    """Scan files that share a header; columns are bound by position, then named.
+
+    A row with fewer cells than the header ends in nulls; one with more is an error, since a cell
+    would be lost. The position follows file names, then rows, however files are packed into tasks.
+    """
+    guard = f"c{len(names)}"
+    schema = ", ".join(f"c{i} STRING" for i in range(len(names) + 1))
     raw = spark.read.schema(schema).csv(paths, header=True, **CSV_OPTIONS)
     cells = [null_tokens(F.col(f"c{i}"), tokens).alias(name) for i, name in enumerate(names)]
-    return raw.select(*cells, F.monotonically_increasing_id().alias(POSITION), "_metadata")
+    position = F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    message = F.concat(F.lit("a row has more cells than the header in "), F.col("_metadata.file_path"))
+    fits = F.when(F.col(guard).isNotNull(), F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+    return raw.select("*", position.alias(POSITION), "_metadata").where(fits).select(*cells, POSITION, "_metadata")
 
 
 def scan_csv(
@@ -73,10 +115,21 @@ def scan_csv(
 ) -> DataFrame:
     """All-string scan of one CSV table with stripped header names and missing-value tokens as null."""
     require_path(spark, path)
-    names = header_names([n.strip() for n in _header(spark, path)])
-    table = _scan(spark, [path], names, tokens)
-    cells = [strip(col(n)).alias(n) if strip_cells else col(n) for n in names]
-    return table.select(*cells, *([POSITION] if position else []))
+    result = None
+    for names, files in _by_header(spark, path).items():
+        table = _scan(spark, files, list(names), tokens)
+        cells = [strip(col(n)).alias(n) if strip_cells else col(n) for n in names]
+        table = table.select(*cells, *([POSITION] if position else []))
+        result = table if result is None else result.unionByName(table, allowMissingColumns=True)
+    if result is None:
+        raise ValueError(f"no header in {path}")
+    return result
+
+
+def _by_header(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """The path itself if all its files share a header, else its files by header."""
+    found = headers(spark, path)
+    return {names: [path] for names in found} if len(found) < 2 else _files_by_header(spark, path)
 
 
 def _file_table(ending: str) -> str:
@@ -91,11 +144,19 @@ def _glob_literal(name: str) -> str:
     return re.sub(r"([\\*?\[\]{}])", r"\\\1", name)
 
 
-def _files(spark: SparkSession, pattern: str) -> list[str]:
+def _model_files(spark: SparkSession, pattern: str) -> list[str]:
+    """Files of the tables that match ``pattern``: one for each model, or the parts of a directory.
+
+    A table of no bytes is an error: it has no header, and leaving it out would lose a model.
+    """
     if not path_exists(spark, pattern):
         return []
-    files = spark.read.format("binaryFile").load(pattern).select("path").toLocalIterator()
-    return sorted(row.path for row in files)
+    files = spark.read.format("binaryFile").load(pattern)
+    held = {row.path for row in files.select("path").toLocalIterator()}
+    listed = {re.sub("^file:/+", "file:/", unquote(uri)) for uri in files.inputFiles()}
+    if void := sorted(p for p in listed - held if re.search(r"\.csv$", p) and not re.search(r"\.csv/", p)):
+        raise ValueError(f"no header in {void}")
+    return sorted(held)
 
 
 def scan_tables(
@@ -104,33 +165,30 @@ def scan_tables(
     model: str | None = None,
     *,
     ending: str = "",
+    required: tuple[str, ...] = (),
     tokens: tuple[str, ...] = NULL_TOKENS,
 ) -> DataFrame:
     """One frame over the CSV tables of all models, or of one, with its name in ``model``.
 
     A directory may hold ``<model><ending>.csv`` files, or be partitioned as ``model=<model>``.
-    Model files are grouped by header, so each distinct header costs one scan of all its files;
-    partitioned files were written together and share a header.
+    Files are grouped by header, so each distinct header costs one scan of all its files. Every
+    header must name the columns of ``required``.
     """
     name = "*" if model is None else _glob_literal(model)
-    groups: dict[tuple[tuple[str, ...], str], list[str]] = {}
-    named: dict[str, list[str]] = {}
-    for path in _files(spark, f"{directory}/{name}{ending}.csv"):
-        found = re.search(_file_table(ending), path)
-        if found:
-            named.setdefault(found.group(1), []).append(path)
-    for paths in named.values():
-        header = tuple(header_names([n.strip() for n in _header(spark, paths[0])]))
-        groups.setdefault((header, _file_table(ending)), []).extend(paths)
+    groups: list[tuple[tuple[str, ...], str, list[str]]] = []
+    files = [_glob_literal(p) for p in _model_files(spark, f"{directory}/{name}{ending}.csv")]
+    if files:
+        groups += [(names, _file_table(ending), paths) for names, paths in _files_by_header(spark, files).items()]
     parts = f"{directory}/model={name}"
     if path_exists(spark, parts):
-        first = _files(spark, f"{parts}/*.csv")[:1]
-        header = tuple(header_names([n.strip() for n in _header(spark, first[0])]))
-        groups[(header, PARTITION_TABLE)] = [parts]
+        groups += [(names, PARTITION_TABLE, paths) for names, paths in _by_header(spark, parts).items()]
     if not groups:
         raise FileNotFoundError(f"{directory}/{name}{ending}.csv")
+    for names, _, paths in groups:
+        if missing := [c for c in required if c not in names]:
+            raise ValueError(f"missing column(s) {missing}, found {list(names)} in {paths[:3]}")
     result = None
-    for (names, pattern), paths in groups.items():
+    for names, pattern, paths in groups:
         model_name = F.regexp_extract(decode_uri(F.col("_metadata.file_path")), pattern, 1)
         if pattern == PARTITION_TABLE:
             model_name = decode_uri(model_name)
@@ -157,15 +215,14 @@ def load_truth(spark: SparkSession, path: str) -> DataFrame:
 
 def scan_outputs(spark: SparkSession, directory: str, model: str | None = None) -> DataFrame:
     """Outputs of all models below a directory, or of one; duplicate rows are kept."""
-    table = scan_tables(spark, directory, model)
-    _require_columns(table, ("image_name", "batch_id"))
+    table = scan_tables(spark, directory, model, required=("image_name", "batch_id"))
     text = F.col("inference") if "inference" in table.columns else F.lit("")
     return table.select("model", "image_name", "batch_id", text.alias("inference"), POSITION)
 
 
 def load_scores(spark: SparkSession, directory: str, model: str | None = None) -> DataFrame:
     """Per-image scores of ``<model>_cer.csv`` files as one long table."""
-    table = scan_tables(spark, directory, model, ending=SCORE_SUFFIX)
+    table = scan_tables(spark, directory, model, ending=SCORE_SUFFIX, required=("image_name", "batch_id", "cer"))
     return table.select("model", "image_name", "batch_id", to_number(F.col("cer")).alias("cer"))
 
 
