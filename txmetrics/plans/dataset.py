@@ -78,7 +78,8 @@ def lay_out(annotations: DataFrame, images: DataFrame, path: str) -> str:
     rows = joined.select(
         "image_name", "batch_id", "transcript", F.coalesce("_content", missing.cast("binary")).alias("content")
     )
-    return write_partitioned(rows, path, ["batch_id"])
+    # the join has just dealt the bytes out; a rebalance would move them all once more
+    return write_partitioned(rows, path, ["batch_id"], rebalance=False)
 
 
 def source_images(spark: SparkSession, root: str) -> DataFrame:

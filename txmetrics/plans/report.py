@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from txmetrics.functions.columns import col, model_of, score_columns
 from txmetrics.functions.text import is_blank, strip
 from txmetrics.operators.aggregates import pairs_by_group
-from txmetrics.operators.joins import attach, reconcile
+from txmetrics.operators.joins import Reconciled, attach, reconcile
 from txmetrics.operators.wide import KEYS, ordered_columns, widen_scores
 from txmetrics.plans.metadata import consolidate, rarity_column
 from txmetrics.sinks.csv import export_csv
@@ -20,14 +20,21 @@ def attach_scores(merged: DataFrame, evaluation: DataFrame) -> DataFrame:
     return attach(merged, evaluation, KEYS)
 
 
-def coverage(report: DataFrame) -> DataFrame:
-    """How many report rows have a script name and a score of the first model."""
+def coverage(report: DataFrame, split: Reconciled | None = None) -> DataFrame:
+    """How many report rows have a script name and a score of the first model; with ``split`` also its three sizes."""
     scores = score_columns(report)
     named = F.count_if(F.col("script_name").isNotNull()) if "script_name" in report.columns else F.lit(0)
     scored = F.count_if(col(scores[0]).isNotNull()) if scores else F.lit(0)
-    return report.agg(
-        F.count("*").alias("row_count"), named.alias("script_matches"), scored.alias("scored_rows")
-    )
+    counts = report.agg(F.count("*").alias("row_count"), named.alias("script_matches"), scored.alias("scored_rows"))
+    if split is None:
+        return counts
+    sizes = {"in_both": split.merged, "only_in_catalog": split.only_in_catalog, "only_in_benchmark": split.only_in_benchmark}
+    one = None
+    for name, part in sizes.items():
+        row = part.select(F.lit(name).alias("part"))
+        one = row if one is None else one.unionByName(row)
+    totals = one.agg(*[F.count_if(F.col("part") == n).alias(n) for n in sizes])
+    return counts.withColumn("_one", F.lit(1)).join(totals.withColumn("_one", F.lit(1)), "_one").drop("_one")
 
 
 def _group_value(report: DataFrame, column: str) -> Column:

@@ -43,7 +43,15 @@ def image_listing(
     deeper directories are not images. Spark leaves out names that start with ``_`` or ``.``.
     """
     columns = ["path", "length"] + (["content"] if content else [])
-    files = _tree(spark, f"{root}/images/{batch_id or '*'}/*", columns)
+    return _images(_tree(spark, f"{root}/images/{batch_id or '*'}/*", columns), columns)
+
+
+def images_of(manifest: DataFrame) -> DataFrame:
+    """The same from a table of ``path`` and ``length``, without listing a tree: for trees too large for one driver."""
+    return _images(manifest, ["path", "length"])
+
+
+def _images(files: DataFrame, columns: list[str]) -> DataFrame:
     name = F.col("image_name")
     return (
         files.select(*split_path("path", "images"), *columns)
@@ -110,6 +118,7 @@ __all__ = [
     "CACHE_SCHEMA",
     "image_bytes",
     "image_listing",
+    "images_of",
     "plain_cache",
     "split_path",
     "structured_cache",
