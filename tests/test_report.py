@@ -103,7 +103,7 @@ def test_wide_scores(spark):
 
 def test_wide_scores_with_repeats(spark):
     data = [("m", "a", "1", 0.1), ("m", "a", "1", 0.2), ("n", "a", "1", 0.3), ("n", "a", "1", 0.4), ("n", "b", "1", 0.5), ("o", "c", "1", 0.6), ("o", "c", "1", 0.6)]
-    wide = widen_scores(spark.createDataFrame(data, SCORES))
+    wide = widen_scores(spark.createDataFrame(data, SCORES), duplicates="multiply")
     assert rows(wide, *wide.columns) == [
         ("a", "1", 0.1, 0.3, None), ("a", "1", 0.1, 0.4, None), ("a", "1", 0.2, 0.3, None), ("a", "1", 0.2, 0.4, None),
         ("b", "1", None, 0.5, None), ("c", "1", None, None, 0.6), ("c", "1", None, None, 0.6),
