@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import defaultdict
 
+SF = "/root/testdata/sf0.001"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -120,3 +121,11 @@ def rule_counts(text):
         windows[tuple(w[i : i + 8])].append(i)
     covered = {i + k for at in windows.values() if len(at) > 1 for i in at for k in range(8)}
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered)
+
+
+def prose(seed, n):
+    """``n`` invented words, always the same for a seed."""
+    import random
+
+    r = random.Random(seed)
+    return " ".join("".join(r.choice("abdeghilmnorstu") for _ in range(r.randint(2, 8))) for _ in range(n))

@@ -5,16 +5,9 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-SF = "/root/testdata/sf0.001"
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, quality int, words string, ids string, node long, bucket long"
-
+from brute import SF, prose  # noqa: E402
 
-def prose(seed, n):
-    """``n`` invented words, always the same for a seed."""
-    import random
-
-    r = random.Random(seed)
-    return " ".join("".join(r.choice("abdeghilmnorstu") for _ in range(r.randint(2, 8))) for _ in range(n))
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, quality int, words string, ids string, node long, bucket long"
 
 
 @pytest.fixture(scope="session")

@@ -4,8 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from brute import words
-from conftest import SF, prose
+from brute import SF, prose, words
 
 from txmetrics.llm import language_id, maxent_lm, quality, queries
 from txmetrics.llm.ftrl import Settings, train_logistic
@@ -82,13 +81,16 @@ def test_quality_held_out_accuracy(spark):
 
 def test_quality_corner_cases(spark, corner, empty):
     rows = [(i, prose(i, 30) if i % 2 else "### $$$ " * 9, i % 2) for i in range(60)] + [(99, None, 1), (100, "", None)]
-    model = quality.train(spark.createDataFrame(rows, "doc_id long, text string, quality int"))
+    table = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = quality.train(table, table)
+    again = quality.train(table, table.union(table))  # repeated labels count once
+    assert (again.weights == model.weights).all() and again.bias == model.bias
     got = [(r["doc_id"], r["score"]) for r in quality.score(corner, model).collect()]
     assert len(got) == corner.count() and all(0 <= s <= 1 for _, s in got)
     blank = [s for i, s in got if i in (4, 5, 6)]
     assert max(blank) == min(blank)
     assert quality.score(empty, model).count() == 0
-    assert len({r["score"] for r in quality.score(corner, quality.train(empty)).collect()}) == 1
+    assert len({r["score"] for r in quality.score(corner, quality.train(empty, empty)).collect()}) == 1
 
 
 def test_lm_counts_against_brute_force(spark, document_rows):

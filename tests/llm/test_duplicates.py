@@ -1,6 +1,5 @@
 import numpy as np
-from brute import components, contained, repeated_words, shingles, words
-from conftest import prose
+from brute import components, contained, prose, repeated_words, shingles, words
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

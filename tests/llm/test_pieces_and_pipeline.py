@@ -4,8 +4,7 @@ import struct
 import public_tokenizers
 import pytest
 import sentencepiece
-from brute import components, contained, personal
-from conftest import SF
+from brute import SF, components, contained, personal
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

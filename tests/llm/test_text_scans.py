@@ -1,8 +1,7 @@
 import hashlib
 
 import pytest
-from brute import personal, rule_counts, secrets
-from conftest import SF, prose
+from brute import SF, personal, prose, rule_counts, secrets
 from pyspark.sql import functions as F
 
 from txmetrics.llm import pii, quality_rules, queries, secret_scan

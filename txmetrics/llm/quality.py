@@ -47,38 +47,41 @@ def rows_of(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def train(
-    labelled: DataFrame,
+    docs: DataFrame,
+    labels: DataFrame,
     label: str = "quality",
     id_column: str = "doc_id",
     text_column: str = "text",
     rows_per_label: int = 2_500,
     settings: Settings = Settings(alpha=1.0, l1=0.002, l2=0.01, epochs=5),
 ) -> QualityModel:
-    """Fit on rows with label 0 or 1; rows with another or no label are left out.
+    """Fit on the texts of ``docs`` whose id has label 0 or 1 in ``labels``; other labels are left out.
 
-    ``rows_per_label`` bounds the rows: about so many of each label, drawn by a hash of their ids,
-    whole texts. The intercept restores the share of label 1 among all labelled rows. Without rows
-    of both labels the model scores every text by that share alone.
+    ``rows_per_label`` bounds the rows: about so many of each label are drawn by a hash of their
+    ids, and only then are their whole texts fetched, so the texts of all others stay where they
+    are. The ids drawn are bounded by the same number, repeats counting once. The intercept
+    restores the share of label 1 among all labelled ids. Without rows of both labels the model
+    scores every text by that share alone.
     """
-    rows = labelled.select(
-        col(id_column).alias("doc_id"), col(text_column).alias("text"), col(label).cast("int").alias("label")
-    ).where(F.col("label").isin(0, 1))
-    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    marks = labels.select(col(id_column).alias("doc_id"), col(label).cast("int").alias("label"))
+    marks = marks.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).distinct()
+    sizes = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     share = (n1 + 1) / (n0 + n1 + 2)
     prior = float(np.log(share / (1 - share)))
     if not (n0 and n1):
         return QualityModel(np.zeros(1 << BITS), prior)
     rates = {k: min(1.0, 0.9 * rows_per_label / n) for k, n in sizes.items()}
-    drawn = rows.where(
+    drawn = marks.where(
         F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / F.lit(1 << 30)
         < F.when(F.col("label") == 1, rates[1]).otherwise(rates[0])
     )
-    found = _collect_rows(drawn)
+    texts = pick(docs, id_column, text_column)
+    found = _collect_rows(texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "label"))
     if len({y for y, _, _ in found}) < 2:
         return QualityModel(np.zeros(1 << BITS), prior)
     y = np.array([y for y, _, _ in found])
-    # index 0 of an extra feature is the intercept
+    # one feature more is the intercept
     x = [(np.append(index, 1 << BITS), np.append(value, 1.0)) for _, index, value in found]
     weights = train_logistic(x, y, (1 << BITS) + 1, settings)
     drawn_odds = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
@@ -100,7 +103,7 @@ def _collect_rows(drawn: DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
                     }
                 )
 
-    found = drawn.mapInArrow(each, "key string, label int, feature binary, value binary").collect()
+    found = drawn.mapInArrow(each, "key string, label int, feature binary, value binary").distinct().collect()
     found.sort(key=lambda r: (r["key"], bytes(r["feature"])))
     return [
         (r["label"], np.frombuffer(r["feature"], np.int32), np.frombuffer(r["value"], np.float32).astype(np.float64))

@@ -35,9 +35,8 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of every document, learnt from the labels of two folds of three."""
     docs = table(spark, sf_dir, "documents")
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     held_out = fold(F.col("doc_id"), 3) == 1
-    model = quality.train(docs.select("doc_id", "text").where(~held_out).join(labels, "doc_id"))
+    model = quality.train(docs, table(spark, sf_dir, "labels").where(~held_out))
     scored = quality.score(docs, model)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
