@@ -147,7 +147,7 @@ def _rows(drawn: DataFrame, idf: np.ndarray) -> list[tuple[str, np.ndarray, np.n
                     }
                 )
 
-    found = drawn.mapInArrow(each, "key string, label string, feature binary, value binary").collect()
+    found = drawn.mapInArrow(each, "key string, label string, feature binary, value binary").distinct().collect()
     found.sort(key=lambda r: (r["key"], bytes(r["feature"])))
     return [
         (r["label"], np.frombuffer(r["feature"], np.int32), np.frombuffer(r["value"], np.float32).astype(np.float64))
