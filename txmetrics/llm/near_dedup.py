@@ -7,8 +7,8 @@ miss probability. The rest is verified on the full sets.
 
 Pairs inside a bucket are never listed. First every class in a bucket is compared with one leader,
 a few times over with other leaders, which joins the members of dense groups. What then still lies
-in different components of a bucket is compared in blocks of bounded size, and only pairs that
-survive pruning leave a block.
+in different components of a bucket is compared in blocks of bounded size, and only links that join
+components leave a block.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ class Settings:
     band_rows: int = 5
     band_miss: float = 1e-8
     prune_miss: float = 1e-9
-    leader_rounds: int = 3
+    leader_rounds: int = 2
     block: int = 512
 
     @property
@@ -180,42 +180,71 @@ def _verify(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame
     return joined.mapInArrow(each, f"a {kind}, b {kind}")
 
 
-def _in_blocks(live: DataFrame, signed: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs of classes of one bucket but different components that their signatures do not rule out.
+def _in_blocks(live: DataFrame, held: DataFrame, settings: Settings) -> DataFrame:
+    """Verified links between classes that share a bucket but lie in different components.
 
     A bucket of m classes is cut by hash into about m / block parts, and each two parts meet in one
-    group of about two blocks, so no group grows with the bucket.
+    group of about two blocks, so no group grows with the bucket. A pair is looked at only in the
+    first band that it shares, pruned by its signatures and verified on the full sets. What leaves a
+    group is a spanning forest of its links, never all of them.
     """
-    plan, hashes, share = settings.least_matches(), settings.hashes, settings.percent / 100
+    plan, hashes, percent = settings.least_matches(), settings.hashes, settings.percent
     kind = live.schema["node"].dataType.simpleString()
 
     def each(key, rows):
-        same = key[1].as_py() == key[2].as_py()
+        same, band = key[1].as_py() == key[2].as_py(), rows.column("band")[0].as_py()
         node, component, part, size = (rows.column(c).to_numpy() for c in ("node", "component", "part", "n_shingles"))
         signature = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint32).reshape(-1, hashes)
+        earlier = signature[:, : band * settings.band_rows].reshape(len(node), band, settings.band_rows)
+        text, sets = rows.column("text"), {}
+        _, joined = np.unique(component, return_inverse=True)
+
+        def own(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = shingle_fingerprints(text[k].as_py())
+            return sets[k]
+
         lefts, rights = [], []
         for k in range(len(node)):
-            others = np.flatnonzero((component != component[k]) & (size >= size[k]) & (share * size <= size[k]))
+            others = np.flatnonzero((joined != joined[k]) & (size >= size[k]) & (percent * size <= 100 * size[k]))
             others = others[(size[others] > size[k]) | (others > k)]
             if not same:
                 others = others[part[others] != part[k]]
-            if len(others):
-                keep = others[_survives(np.broadcast_to(signature[k], (len(others), hashes)), signature[others], plan)]
-                lefts.append(np.full(len(keep), k))
-                rights.append(keep)
-        none = np.zeros(0, np.int64)
-        a, b = node[np.concatenate([none, *lefts])], node[np.concatenate([none, *rights])]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)}, schema=pa.schema([("a", rows.schema.field("node").type), ("b", rows.schema.field("node").type)]))
+            others = others[_survives(np.broadcast_to(signature[k], (len(others), hashes)), signature[others], plan)]
+            others = others[~(earlier[others] == earlier[k]).all(axis=2).any(axis=1)]
+            for other in others.tolist():
+                if joined[other] == joined[k]:
+                    continue
+                shared = _in_common(own(k), own(other))
+                if 100 * shared >= percent * (size[k] + size[other] - shared):
+                    lefts.append(k)
+                    rights.append(other)
+                    joined[joined == joined[other]] = joined[k]
+        a, b = node[np.array(lefts, np.int64)], node[np.array(rights, np.int64)]
+        id_type = rows.schema.field("node").type
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)}, schema=pa.schema([("a", id_type), ("b", id_type)]))
 
     sizes = live.groupBy("bucket").agg(F.ceil(F.count("*") / settings.block).cast("int").alias("parts"))
     cut = live.join(sizes, "bucket").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     meet = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "bucket", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "node", "component", "part"
+        "bucket", "band", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "node", "component", "part"
     )
-    rows = meet.join(signed, "node")
+    rows = meet.join(held, "node")
     return rows.groupBy("bucket", "lo", "hi").applyInArrow(each, f"a {kind}, b {kind}").distinct()
 
 
+def shingle_fingerprints(text: str) -> np.ndarray:
+    """The whole shingle set of a text as sorted 64-bit fingerprints."""
+    cut = words.split([text])
+    return np.unique(words.shingles(cut, cut.hashes())[0])
+
+
+def _in_common(x: np.ndarray, y: np.ndarray) -> int:
+    """Members that two sorted sets share."""
+    both = np.sort(np.concatenate([x, y]))
+    return int((both[1:] == both[:-1]).sum())
+
+
 def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` for every row of ``docs``.
 
@@ -245,15 +274,14 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_column:
 
 def _links(chosen: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
     """Verified links that connect all classes that similarity connects."""
-    buckets = chosen.select("node", F.explode("bands").alias("bucket")).distinct()
+    buckets = chosen.select("node", F.posexplode("bands").alias("band", "bucket")).distinct()
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     live = materialise(buckets.join(shared, "bucket"), "near-buckets")
     nodes = live.select("node").distinct()
-    held = materialise(chosen.select("node", "n_shingles", "signature").join(nodes, "node"), "near-held")
+    signed = materialise(chosen.select("node", "n_shingles", "signature").join(nodes, "node"), "near-held")
     whole = materialise(
         texts.join(nodes, texts["doc_id"] == nodes["node"]).select("node", "text").where(F.col("text").isNotNull()), "near-texts"
     )
-    signed = held.select("node", "signature")
     live = live.withColumn("component", F.col("node"))
     links = None
     for k in range(settings.leader_rounds):
@@ -265,20 +293,19 @@ def _links(chosen: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame
         pairs = live.join(leaders, "bucket").where("component <> led").select(
             F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")
         ).distinct()
-        new = materialise(_verify(_prune(pairs, signed, settings), whole, settings), "near-round")
+        new = materialise(_verify(_prune(pairs, signed.select("node", "signature"), settings), whole, settings), "near-round")
         if new.isEmpty():
             break
         links = new if links is None else links.unionByName(new)
         live = _still_apart(live, components(links, "near-step"))
-    pairs = _in_blocks(live, held, settings)
-    rest = _verify(pairs, whole, settings)
+    rest = _in_blocks(live, signed.join(whole, "node"), settings)
     return rest if links is None else links.unionByName(rest)
 
 
 def _still_apart(live: DataFrame, found: DataFrame) -> DataFrame:
     """Memberships with the components as now known, without buckets that lie in one component."""
-    named = live.select("bucket", "node").join(found, "node", "left").select(
-        "bucket", "node", F.coalesce("component", "node").alias("component")
+    named = live.drop("component").join(found, "node", "left").select(
+        "bucket", "band", "node", F.coalesce("component", "node").alias("component")
     )
     named = materialise(named, "near-live")
     apart = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
