@@ -201,7 +201,11 @@ def predict(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", te
 
 
 def language(model: LanguageModel, text_column: str = "text") -> Column:
-    """The same as a column of ``lang_pred`` and ``score``, for use beside other columns."""
+    """The same as a column of ``lang_pred`` and ``score``, for use beside other columns.
+
+    Marked as nondeterministic, though it is not, so that a filter on it does not make Spark compute
+    it a second time, in a second Python worker beside the first.
+    """
 
     @F.pandas_udf("lang_pred string, score double")
     def found(texts):
@@ -209,4 +213,4 @@ def language(model: LanguageModel, text_column: str = "text") -> Column:
 
         return pd.DataFrame([guess(t, model) for t in texts], columns=["lang_pred", "score"])
 
-    return found(col(text_column).cast("string"))
+    return found.asNondeterministic()(col(text_column).cast("string"))
