@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from brute import components, contained, prose, repeated_words, shingles, words
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -139,6 +140,23 @@ def test_a_passage_that_many_documents_share_over_many_tasks(spark):
         assert covered(passages.repeated_passages(docs, setting).collect()) == repeated_words(rows)
 
 
+@pytest.mark.parametrize("twice", [1, 2, 3])
+def test_every_copy_inside_a_document_meets_the_other_document(spark, twice):
+    passage = prose(1, 300)
+    once, copies = f"{prose(2, 20)} {passage} {prose(3, 20)}", f"{prose(4, 20)} {passage} {prose(5, 30)} {passage} {prose(6, 20)}"
+    rows = [(i, copies if i == twice else once) for i in ((1, 2) if twice < 3 else (1, 2, 3))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for setting in (passages.Settings(), passages.Settings(task_rows=2)):
+        assert covered(passages.repeated_passages(docs, setting).collect()) == repeated_words(rows)
+
+
+def test_runs_longer_than_a_task_meet_the_other_document(spark):
+    passage = prose(1, 200)
+    rows = [(1, passage), (2, " ".join([passage] * 9)), (3, prose(2, 200))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert covered(passages.repeated_passages(docs, passages.Settings(task_rows=2)).collect()) == repeated_words(rows)
+
+
 def test_passage_corner_cases(spark, corner, corner_rows, empty):
     rows = [(i, t) for i, t in corner_rows if i is not None]
     assert covered(passages.repeated_passages(corner).collect()) == repeated_words(rows)

@@ -131,28 +131,67 @@ def _agree(x: bytes, y: bytes) -> int:
 
 
 class _Neighbours:
-    """Compares sorted suffixes with the nearest ones of other documents, one after another."""
+    """Compares sorted suffixes with the nearest ones of other documents on both sides, one after another.
+
+    A run is neighbouring suffixes of one seed and one document. ``held`` is the latest run and ``above``
+    the row before it, if that has its seed.
+    """
 
     def __init__(self, least: int):
         self.least = least
-        self.seed = None
-        self.held: list[tuple] = []  # the latest suffixes, all of one document
+        self.above: tuple | None = None
+        self.held: list[tuple] = []
         self.found: list[tuple] = []
 
-    def add(self, row: tuple) -> None:
-        """``row``: seed, doc_id, at, after, before."""
-        if row[0] != self.seed:
-            self.seed, self.held = row[0], [row]
-            return
-        if row[1] == self.held[-1][1]:
+    def add(self, row: tuple) -> bool:
+        """``row``: seed, doc_id, at, after, before. Whether it begins a run."""
+        if self.held and row[:2] == self.held[-1][:2]:
             self.held.append(row)
-            return
-        for other in self.held:
-            right, left = _agree(other[3], row[3]), _agree(other[4], row[4])
-            if left + right >= self.least:
-                self.found.append((other[1], other[2] - left, other[2] + right, row[1]))
-                self.found.append((row[1], row[2] - left, row[2] + right, other[1]))
+            if self.above:
+                self.compare(self.above, row)
+            return False
+        same = bool(self.held) and row[0] == self.held[-1][0]
+        if same:
+            for other in self.held:
+                self.compare(other, row)
+        self.above = self.held[-1] if same else None
         self.held = [row]
+        return True
+
+    def compare(self, one: tuple, two: tuple) -> None:
+        right, left = _agree(one[3], two[3]), _agree(one[4], two[4])
+        if left + right >= self.least:
+            self.found.append((one[1], one[2] - left, one[2] + right, two[1]))
+            self.found.append((two[1], two[2] - left, two[2] + right, one[1]))
+
+
+#: What a row of ``_matches`` is, in ``edge``: null for a match, or of a task's rows the first run and the last
+#: run, and the first row, the last row and the foreign rows of one seed next to these runs.
+_HEAD, _TAIL, _FIRST, _LAST, _BELOW_HEAD, _ABOVE_TAIL = range(6)
+
+
+def _foreign(tasks: dict[int, dict[int, tuple]]) -> dict[tuple[int, int], tuple]:
+    """For the first and the last run of each task: the nearest row of another document in tasks before or after.
+
+    ``tasks``: for each task its row of each kind from _FIRST on. A task that is one run passes on
+    what its neighbour sees.
+    """
+    out: dict[tuple[int, int], tuple] = {}
+    for run, order, near, far, beyond in (
+        (_HEAD, sorted(tasks), _FIRST, _LAST, _ABOVE_TAIL),
+        (_TAIL, sorted(tasks, reverse=True), _LAST, _FIRST, _BELOW_HEAD),
+    ):
+        for last, part in zip(order, order[1:]):
+            own, met = tasks[part][near], tasks[last][far]
+            if own[0] != met[0]:
+                continue
+            if own[1] != met[1]:
+                out[part, run] = met
+            elif beyond in tasks[last]:
+                out[part, run] = tasks[last][beyond]
+            elif tasks[last][near][:2] == met[:2] and (last, run) in out:  # one run from end to end
+                out[part, run] = out[last, run]
+    return out
 
 
 def _matches(suffixes: DataFrame, side: str, settings: Settings) -> DataFrame:
@@ -160,19 +199,20 @@ def _matches(suffixes: DataFrame, side: str, settings: Settings) -> DataFrame:
 
     The sort is by range over the whole key, down to document and position, so that even one passage
     that a third of all documents share is spread evenly. What lies on both sides of a border between
-    tasks is compared afterwards: each task hands on its first and last run of rows.
+    tasks is compared afterwards: each task writes its first and last run of rows, and hands on at most
+    four rows, which tell the driver the nearest row of another document for every such run.
     """
-    spark = suffixes.sparkSession
     kind = suffixes.schema["doc_id"].dataType.simpleString()
     n = suffixes.count()
     parts = max(1, -(-n // settings.task_rows))
     names = ["seed", "doc_id", "at", "after", "before"]
     key = ["seed", side, "doc_id", "at"]
-    schema = f"doc_id {kind}, start int, stop int, other {kind}, edge int, seed long, at int, after binary, before binary"
+    schema = f"doc_id {kind}, start int, stop int, other {kind}, edge int, part int, seed long, at int, after binary, before binary"
     doc_type = pa.int64() if kind == "bigint" else None
 
     def each(batches):
-        work, first, part = _Neighbours(settings.least), [], None
+        work, head, part = _Neighbours(settings.least), [], None
+        edges: dict[int, tuple] = {}
         for batch in batches:
             if part is None:
                 from pyspark import TaskContext
@@ -180,36 +220,59 @@ def _matches(suffixes: DataFrame, side: str, settings: Settings) -> DataFrame:
                 part = TaskContext.get().partitionId()
             columns = [batch.column(k).to_pylist() for k in range(5)]
             for row in zip(*columns, strict=True):
-                if not first:
-                    first = [row]
-                work.add(row)
+                begins = work.add(row)
+                if not head:
+                    edges[_FIRST] = row
+                elif begins and _LAST not in edges:
+                    edges[_LAST] = row  # the first run is over
+                    if row[0] == head[0][0]:
+                        edges[_BELOW_HEAD] = row
+                if _LAST not in edges:
+                    head.append(row)
             yield _batch(work.found, [], part)
             work.found = []
         if part is not None:
-            yield _batch([], [(2 * part, first[0]), (2 * part + 1, work.held[-1])], part)
+            edges[_LAST] = work.held[-1]
+            if work.above:
+                edges[_ABOVE_TAIL] = work.above
+            runs = [*((_HEAD, row) for row in head), *((_TAIL, row) for row in work.held)]
+            for lo in range(0, len(runs), 4096):
+                yield _batch([], runs[lo : lo + 4096], part)
+            yield _batch([], list(edges.items()), part)
 
     def _batch(found, edges, part):
-        out = {c: [] for c in ("doc_id", "start", "stop", "other", "edge", "seed", "at", "after", "before")}
+        out = {c: [] for c in ("doc_id", "start", "stop", "other", "edge", "part", "seed", "at", "after", "before")}
         for doc, start, stop, other in found:
-            for c, v in zip(out, (doc, start, stop, other, None, None, None, None, None), strict=True):
+            for c, v in zip(out, (doc, start, stop, other, None, None, None, None, None, None), strict=True):
                 out[c].append(v)
         for edge, (seed, doc, at, after, before) in edges:
-            for c, v in zip(out, (doc, None, None, None, edge, seed, at, after, before), strict=True):
+            for c, v in zip(out, (doc, None, None, None, edge, part, seed, at, after, before), strict=True):
                 out[c].append(v)
-        types = {"start": pa.int32(), "stop": pa.int32(), "edge": pa.int32(), "seed": pa.int64(), "at": pa.int32(), "after": pa.binary(), "before": pa.binary()}
+        types = {"start": pa.int32(), "stop": pa.int32(), "edge": pa.int32(), "part": pa.int32(), "seed": pa.int64(), "at": pa.int32(), "after": pa.binary(), "before": pa.binary()}
         return pa.RecordBatch.from_pydict({c: pa.array(v, types.get(c, doc_type)) for c, v in out.items()})
 
     ordered = suffixes.select(*names).repartitionByRange(parts, *key).sortWithinPartitions(*key)
     found = materialise(ordered.mapInArrow(each, schema), "passages-matches")
-    border = _Neighbours(settings.least)
-    edges = found.where("edge is not null").select("edge", "seed", "doc_id", "at", "after", "before").collect()  # two a task
-    for r in sorted(edges, key=lambda r: r["edge"]):
-        if r["edge"] % 2 == 0:
-            border.add(tuple(r)[1:])
-        else:
-            border.seed, border.held = r["seed"], [tuple(r)[1:]]
+    tasks: dict[int, dict[int, tuple]] = {}
+    for r in found.where(F.col("edge") >= _FIRST).select("part", "edge", *names).collect():  # four a task
+        tasks.setdefault(r["part"], {})[r["edge"]] = (r["seed"], r["doc_id"], r["at"], bytes(r["after"]), bytes(r["before"]))
+    foreign = _foreign(tasks)
+
+    def across(batches):
+        for batch in batches:
+            work = _Neighbours(settings.least)
+            for part, edge, *row in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                if (part, edge) in foreign:
+                    work.compare(foreign[part, edge], tuple(row))
+            columns = zip(*work.found, strict=True) if work.found else ([],) * 4
+            types = (doc_type, pa.int32(), pa.int32(), doc_type)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "start", "stop", "other"])
+
+    border = found.where(F.col("edge") < _FIRST).select("part", "edge", *names)
     matches = found.where("edge is null").select("doc_id", "start", "stop", "other")
-    return matches.unionByName(spark.createDataFrame(border.found, matches.schema)) if border.found else matches
+    if not foreign:
+        return matches
+    return matches.unionByName(border.mapInArrow(across, f"doc_id {kind}, start int, stop int, other {kind}"))
 
 
 def repeated_passages(
