@@ -157,6 +157,13 @@ def test_runs_longer_than_a_task_meet_the_other_document(spark):
     assert covered(passages.repeated_passages(docs, passages.Settings(task_rows=2)).collect()) == repeated_words(rows)
 
 
+def test_an_id_with_a_long_and_a_short_text(spark):
+    passage, other = prose(1, 60), prose(2, 60)
+    rows = [(1, f"{prose(3, 400)} {passage}"), (1, f"{other} {prose(4, 20)}"), (2, f"{prose(5, 30)} {passage} {prose(6, 9)} {other}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert covered(passages.repeated_passages(docs).collect()) == repeated_words(rows)
+
+
 def test_passage_corner_cases(spark, corner, corner_rows, empty):
     rows = [(i, t) for i, t in corner_rows if i is not None]
     assert covered(passages.repeated_passages(corner).collect()) == repeated_words(rows)

@@ -64,7 +64,7 @@ def minimisers(seeds: np.ndarray, window: int) -> np.ndarray:
 
 
 def _suffixes(docs: DataFrame, settings: Settings) -> DataFrame:
-    """``row``, ``doc_id``, ``seed`` and ``at`` of every kept suffix."""
+    """``doc_id``, ``copy`` (its text's hash), ``seed`` and ``at`` of every kept suffix."""
 
     def each(rows, texts):
         cut = words.split(texts)
@@ -80,12 +80,15 @@ def _suffixes(docs: DataFrame, settings: Settings) -> DataFrame:
             found.append(own[places])
         none = np.zeros(0, np.int64)
         return {
-            "doc_id": rows.take(pa.array(np.concatenate([none, *owner]))),
+            "doc_id": rows.field("doc_id").take(own := pa.array(np.concatenate([none, *owner]))),
+            "copy": rows.field("copy").take(own),
             "seed": np.concatenate([none.view(np.uint64), *found]).view(np.int64),
             "at": np.concatenate([none, *at]).astype(np.int32),
         }
 
-    return map_texts(docs, "doc_id, seed long, at int", each)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    keyed = docs.select(F.struct("doc_id", "copy").alias("doc_id"), "text")
+    return map_texts(keyed, f"doc_id {kind}, copy long, seed long, at int", each)
 
 
 def _contexts(docs: DataFrame, settings: Settings) -> DataFrame:
@@ -283,13 +286,15 @@ def repeated_passages(
     One row for each passage of a document after joining matches that overlap: ``doc_id``,
     ``start_word``, ``end_word`` (exclusive), ``n_words`` and ``other_doc_id``, the smallest id among
     the documents it was matched with. Null, empty and short texts have none. Rows that repeat an id
-    count as one document; rows with a null id are left out, since no other document can be named.
+    count as one document: each text is searched by itself, and the places found in any of them are
+    those of the id, as in the SQL twin. Rows with a null id are left out, since no other document can be named.
     """
     texts = pick(docs, id_column, text_column).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    texts = texts.withColumn("copy", F.xxhash64("text"))  # an id may be repeated with another text
     kept = materialise(_suffixes(texts, settings), "passages-suffixes")
     shared = kept.groupBy("seed").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y").select("seed")
-    places = kept.join(shared, "seed").groupBy("doc_id").agg(F.collect_set("at").alias("places"))
-    suffixes = materialise(_contexts(texts.join(places, "doc_id"), settings), "passages-contexts")
+    places = kept.join(shared, "seed").groupBy("doc_id", "copy").agg(F.collect_set("at").alias("places"))
+    suffixes = materialise(_contexts(texts.join(places, ["doc_id", "copy"]), settings), "passages-contexts")
     matches = _matches(suffixes, "after", settings).unionByName(_matches(suffixes, "before", settings))
     return _joined(matches)
 
