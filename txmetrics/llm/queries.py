@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txmetrics.llm import (
     decontamination,
+    divergence,
     language_id,
     maxent_lm,
     near_dedup,
@@ -16,8 +19,11 @@ from txmetrics.llm import (
     quality_rules,
     secret_scan,
     sentencepieces,
+    token_counts,
+    whitening,
 )
 from txmetrics.llm.frames import fold
+from txmetrics.sinks.tables import shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -249,6 +255,66 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four whitened components of every vector."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every source of a language from the others, and the terms that mark it."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH d AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents
+), t AS MATERIALIZED (
+    SELECT r, lang, source, unnest(terms) AS term FROM d
+), kept AS MATERIALIZED (
+    SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 3
+), grp AS MATERIALIZED (
+    SELECT DISTINCT lang, source FROM d
+), used AS MATERIALIZED (
+    SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY lang, source, term
+), filled AS (
+    SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n
+    FROM grp g JOIN kept k USING (lang) LEFT JOIN used u ON u.lang = g.lang AND u.source = g.source AND u.term = k.term
+), scored AS MATERIALIZED (
+    SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER w + count(*) OVER w)::HUGEINT AS p
+    FROM filled WINDOW w AS (PARTITION BY lang, source)
+), whole AS (
+    SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER w + count(*) OVER w)::HUGEINT AS q
+    FROM (SELECT lang, term, sum(n) AS n FROM filled GROUP BY lang, term) WINDOW w AS (PARTITION BY lang)
+), pair AS (
+    SELECT a.lang, a.source, b.source AS item, coalesce(v.value, 0) AS value
+    FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+        SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value
+        FROM scored x JOIN scored y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source
+        GROUP BY x.lang, x.source, y.source
+    ) v ON v.lang = a.lang AND v.source = a.source AND v.item = b.source
+), term AS (
+    SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value
+    FROM scored JOIN whole USING (lang, term) WHERE n > 0 AND p > q
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+    FROM (SELECT *, 'pair' AS part FROM pair UNION ALL SELECT *, 'term' AS part FROM term)
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, through a cache that is new with each run."""
+    import public_tokenizers
+
+    cache_path = f"{shared_folder(spark)}/token-cache-{uuid.uuid4().hex}"
+    counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cache_path)
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -262,6 +328,9 @@ QUERIES = {
         op8_lm_scores,
         op9_sentencepiece,
         op10_pii,
+        op11_whitening,
+        op12_source_divergence,
+        op13_token_counts,
     )
 }
 ORACLE = {
@@ -269,4 +338,5 @@ ORACLE = {
     "op5_quality_rules": OP5_SQL,
     "op6_near_duplicates": OP6_SQL,
     "op7_decontamination": OP7_SQL,
+    "op12_source_divergence": OP12_SQL,
 }
