@@ -12,6 +12,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
@@ -35,9 +36,12 @@ SOURCE_BLOCK = 1024
 #: Elements of one numpy step over pairs.
 PAIR_STEP = 1 << 19
 
+#: Postings of a run that travel as one row, and that a merge holds before it settles what is complete.
+CHUNK, AT_ONCE = 1 << 14, 1 << 18
+
 _TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
 _GAP = re.compile(rb"[^A-Za-z\x80-\xff]")
-RUN_SCHEMA = "shard int, lang string, first binary, terms array<binary>, sources array<string>, counts array<long>, docs array<long>"
+RUN_SCHEMA = "shard int, first binary, keys array<binary>, sources array<string>, counts array<long>, docs array<long>"
 FREQUENCY_SCHEMA = "lang string, term string, source string, n long, total long, n_sources int, head int"
 
 
@@ -66,47 +70,45 @@ class Block:
         counts, docs = self.groups[lang, source]
         distinct: set[bytes] = set()
         for part in terms_of(text):
-            own = set(part)
-            self.held += sum(POSTING_BYTES + len(t) for t in own if t not in counts)
+            before = len(counts)
             counts.update(part)
+            own = set(part)
+            if new := len(counts) - before:
+                self.held += new * (POSTING_BYTES + max(map(len, own)))
             distinct |= own
         docs.update(distinct)
 
-    def spill(self, shards: int) -> Iterator[pa.RecordBatch]:
-        """The block as runs sorted by term and source, one for each language and shard."""
-        by_lang: dict[str, list[str]] = {}
-        for lang, source in sorted(self.groups):
-            by_lang.setdefault(lang, []).append(source)
-        for lang, sources in by_lang.items():
-            terms, of, counts, docs = [], [], [], []
-            for k, source in enumerate(sources):
-                n, m = self.groups[lang, source]
-                terms += n
-                of += [k] * len(n)
-                counts += n.values()
-                docs += [m[t] for t in n]
-            shard = np.fromiter((zlib.crc32(t) % shards for t in terms), np.int32, len(terms))
-            rows = pa.table({"shard": shard, "term": pa.array(terms, pa.binary()), "source": np.array(of, np.int32)})
-            order = pc.sort_indices(rows, [("shard", "ascending"), ("term", "ascending"), ("source", "ascending")])
-            rows = rows.take(order).combine_chunks()
-            at = order.to_numpy()
-            shard = rows.column("shard").to_numpy()
-            edges = np.concatenate([np.flatnonzero(np.diff(shard, prepend=-1)), [len(shard)]]).astype(np.int32)
-            offsets = pa.array(edges)
-            term = rows.column("term").chunk(0)
-            of_name = pa.array(sources, pa.string()).take(rows.column("source").chunk(0))
-            nested = lambda values: pa.ListArray.from_arrays(offsets, values)  # noqa: B023, E731
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "shard": pa.array(shard[edges[:-1]]),
-                    "lang": pa.array([lang] * (len(edges) - 1), pa.string()),
-                    "first": term.take(pa.array(edges[:-1])),
-                    "terms": nested(term),
-                    "sources": nested(of_name),
-                    "counts": nested(pa.array(np.array(counts, np.int64)[at])),
-                    "docs": nested(pa.array(np.array(docs, np.int64)[at])),
-                }
-            )
+    def spill(self, shards: int) -> pa.RecordBatch:
+        """The block as runs sorted by key (language, null byte, term) and source, one for each shard."""
+        keys, hashes, names, of, counts, docs = [], [], [], [], [], []
+        for k, ((lang, source), (n, m)) in enumerate(self.groups.items()):
+            before = lang.encode() + b"\0"
+            keys += [before + t for t in n]
+            hashes += map(zlib.crc32, n)
+            names.append(source)
+            of += [k] * len(n)
+            counts += n.values()
+            docs += map(m.__getitem__, n)
+        rows = pa.table(
+            {
+                "shard": (np.array(hashes, np.int64) % shards).astype(np.int32),
+                "key": pa.array(keys, pa.binary()),
+                "source": pa.array(names, pa.string()).take(pa.array(of, pa.int32())),
+                "count": pa.array(counts, pa.int64()),
+                "docs": pa.array(docs, pa.int64()),
+            }
+        )
+        rows = rows.sort_by([("shard", "ascending"), ("key", "ascending"), ("source", "ascending")]).combine_chunks()
+        shard = rows.column("shard").to_numpy()
+        begun = np.diff(shard, prepend=-1) != 0
+        at = np.arange(len(shard)) - np.maximum.accumulate(np.where(begun, np.arange(len(shard)), 0))
+        edges = np.append(np.flatnonzero(at % CHUNK == 0), len(shard)).astype(np.int32)
+        first = pa.array(edges[:-1])
+        nested = [pa.ListArray.from_arrays(pa.array(edges), rows.column(c).chunk(0)) for c in ("key", "source", "count", "docs")]
+        return pa.RecordBatch.from_arrays(
+            [rows.column("shard").chunk(0).take(first), rows.column("key").chunk(0).take(first), *nested],
+            ["shard", "first", "keys", "sources", "counts", "docs"],
+        )
 
 
 def runs(docs: DataFrame, shards: int, block_bytes: int) -> DataFrame:
@@ -118,35 +120,55 @@ def runs(docs: DataFrame, shards: int, block_bytes: int) -> DataFrame:
             for row in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 block.add(*row)
                 if block.held >= block_bytes:
-                    yield from block.spill(shards)
+                    yield block.spill(shards)
                     block = Block()
-        yield from block.spill(shards)
+        if block.groups:
+            yield block.spill(shards)
 
     return docs.select("lang", "source", "text").mapInArrow(each, RUN_SCHEMA)
 
 
-def merged(chunks: Iterator[tuple[bytes, Iterator[tuple]]]) -> Iterator[tuple[bytes, str, int, int]]:
-    """Postings of runs in order of term and source, by a heap; a run is opened when its first term is due."""
-    heap: list[tuple] = []
-
-    def advance() -> tuple:
-        (term, source, count, docs), number, rest = heap[0]
-        following = next(rest, None)
-        if following is None:
-            heapq.heappop(heap)
-        else:
-            heapq.heapreplace(heap, (following, number, rest))
-        return term, source, count, docs
-
-    for number, (first, postings) in enumerate(chunks):
-        while heap and heap[0][0][0] < first:
-            yield advance()
-        heapq.heappush(heap, (next(postings), number, postings))
-    while heap:
-        yield advance()
-
+def merged(chunks: Iterator[tuple[bytes, pa.Table]]) -> Iterator[pa.Table]:
+    """Postings of sorted runs in order of key and source, in tables that never part a key.
 
-def frequencies(run_rows: DataFrame, least_docs: int) -> DataFrame:
+    ``chunks`` of all runs come in order of their first key. Those that have begun wait in a heap; what
+    lies before the first key still to come is complete and is merged in one go.
+    """
+    heap: list[tuple[bytes, int, pa.Table]] = []
+    held, most = 0, AT_ONCE
+    for number, (first, chunk) in enumerate(chunks):
+        if held > most:
+            due = list(_due(heap, first))
+            if due:
+                held -= sum(len(x) for x in due)
+                yield _merge(due)
+            most = max(AT_ONCE, 2 * held)
+        heapq.heappush(heap, (first, number, chunk))
+        held += len(chunk)
+    if heap:
+        yield _merge([chunk for _, _, chunk in heap])
+
+
+def _due(heap: list[tuple[bytes, int, pa.Table]], bound: bytes) -> Iterator[pa.Table]:
+    """The postings before ``bound``; the heap keeps the rest."""
+    later = []
+    while heap and heap[0][0] < bound:
+        _, number, chunk = heapq.heappop(heap)
+        keys = chunk.column("key")
+        cut = bisect_left(range(len(keys)), bound, key=lambda k: keys[k].as_py())  # noqa: B023
+        yield chunk.slice(0, cut)
+        if cut < len(keys):
+            later.append((keys[cut].as_py(), number, chunk.slice(cut)))
+    for entry in later:
+        heapq.heappush(heap, entry)
+
+
+def _merge(parts: list[pa.Table]) -> pa.Table:
+    table = pa.concat_tables(parts).group_by(["key", "source"], use_threads=False).aggregate([("count", "sum"), ("docs", "sum")])
+    return table.sort_by([("key", "ascending"), ("source", "ascending")]).combine_chunks()
+
+
+def frequencies(run_rows: DataFrame, shards: int, least_docs: int) -> DataFrame:
     """Occurrences by language, term and source of the terms in ``least_docs`` documents of the language.
 
     ``total`` is the language's, ``n_sources`` the number of sources that use the term and ``head``
@@ -154,50 +176,50 @@ def frequencies(run_rows: DataFrame, least_docs: int) -> DataFrame:
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-
         def chunks() -> Iterator[tuple]:
             for batch in batches:
-                shard, lang, first = (batch.column(k).to_pylist() for k in range(3))
+                shard, first = (batch.column(k).to_pylist() for k in range(2))
                 for k in range(batch.num_rows):
-                    yield (shard[k], lang[k]), first[k], [batch.column(c)[k].values for c in range(3, 7)]
-
-        for (_, lang), parts in _grouped(chunks()):
-            opened = ((first, zip(*(v.to_pylist() for v in lists), strict=True)) for first, lists in parts)
-            for term, postings in _grouped(merged(opened)):
-                by_source: dict[str, int] = {}
-                in_docs = 0
-                for source, count, docs in postings:
-                    by_source[source] = by_source.get(source, 0) + count
-                    in_docs += docs
-                if not term:
-                    out += [(lang, "", source, 0, 0, 0, 0) for source in by_source]
-                elif in_docs >= least_docs:
-                    total, name = sum(by_source.values()), term.decode()
-                    out += [(lang, name, s, n, total, len(by_source), int(k == 0)) for k, (s, n) in enumerate(by_source.items())]
-                if len(out) >= 20_000:
-                    yield _batch(out)
-                    out.clear()
-        if out:
-            yield _batch(out)
-
-    dealt = run_rows.repartition("shard").sortWithinPartitions("shard", "lang", "first")
-    return dealt.mapInArrow(each, FREQUENCY_SCHEMA)
-
+                    lists = [batch.column(c)[k].values for c in range(2, 6)]
+                    yield shard[k], first[k], pa.table(lists, ["key", "source", "count", "docs"])
 
-_FREQUENCY = pa.schema(
-    [("lang", pa.string()), ("term", pa.string()), ("source", pa.string()), ("n", pa.int64()), ("total", pa.int64()), ("n_sources", pa.int32()), ("head", pa.int32())]
-)
+        for _, parts in groupby(chunks(), lambda c: c[0]):
+            for table in merged((first, chunk) for _, first, chunk in parts):
+                yield from _kept(table, least_docs)
 
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _FREQUENCY, strict=True)], schema=_FREQUENCY)
+    dealt = run_rows.repartitionById(shards, "shard").sortWithinPartitions("shard", "first")
+    return dealt.mapInArrow(each, FREQUENCY_SCHEMA)
 
 
-def _grouped(rows: Iterator[tuple]) -> Iterator[tuple[object, Iterator[tuple]]]:
-    """Consecutive rows with the same first value, without it; a group must be read before the next."""
-    for key, group in groupby(rows, lambda r: r[0]):
-        yield key, (r[1:] for r in group)
+def _kept(table: pa.Table, least_docs: int) -> Iterator[pa.RecordBatch]:
+    """Rows of the terms of a merged table that are in enough documents, and of the groups themselves."""
+    key = table.column("key").combine_chunks()
+    start = np.append(0, 1 + np.flatnonzero(pc.not_equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False)))
+    size = np.diff(np.append(start, len(key)))
+    n, docs = (table.column(c).to_numpy() for c in ("count_sum", "docs_sum"))
+    names = [k.rpartition(b"\0") for k in key.take(pa.array(start)).to_pylist()]
+    real = np.array([bool(term) for _, _, term in names])
+    wanted = ~real | (np.add.reduceat(docs, start) >= least_docs)
+    chosen = np.flatnonzero(wanted)
+    rows = np.flatnonzero(np.repeat(wanted, size))
+    times, own = size[chosen], real[chosen]
+    spread = lambda values: np.repeat(values, times)
+    of = pa.array(spread(np.arange(len(chosen))))
+    head = np.zeros(len(rows), np.int32)
+    head[np.cumsum(times) - times] = own
+    out = pa.RecordBatch.from_pydict(
+        {
+            "lang": pa.array([names[k][0].decode() for k in chosen], pa.string()).take(of),
+            "term": pa.array([names[k][2].decode() for k in chosen], pa.string()).take(of),
+            "source": table.column("source").combine_chunks().take(pa.array(rows)),
+            "n": pa.array(n[rows]),
+            "total": pa.array(spread(np.add.reduceat(n, start)[chosen])),
+            "n_sources": pa.array(spread((times * own).astype(np.int32))),
+            "head": pa.array(head),
+        }
+    )
+    for lo in range(0, len(rows), 50_000):
+        yield out.slice(lo, 50_000)
 
 
 def probability(n: Column, total: Column, size: Column) -> Column:
@@ -249,15 +271,16 @@ def audit(
     long texts are cut into terms part by part.
 
     ``block_bytes``: postings that a task holds before it spills them; one document may exceed it.
-    ``shards``: hash shards, 16 a shuffle partition by default; a task merges one at a time. A sum of
-    divergences fits 64 bits as long as a language keeps fewer than 10^9 terms.
+    ``shards``: hash shards of terms, each merged by one task; as many as shuffle partitions by
+    default. A task holds the begun chunks of its shard, so shards should grow with the data. A sum of divergences
+    fits 64 bits as long as a language keeps fewer than 10^9 terms.
     """
     spark = docs.sparkSession
-    shards = shards or 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(
         *[F.coalesce(col(c).cast("string"), F.lit("")).alias(n) for n, c in (("lang", lang_column), ("source", source_column), ("text", text_column))]
     )
-    used = materialise(frequencies(runs(texts, shards, block_bytes), least_docs), "divergence-frequencies")
+    used = materialise(frequencies(runs(texts, shards, block_bytes), shards, least_docs), "divergence-frequencies")
     of_group = used.groupBy("lang", "source").agg(F.sum("n").alias("n_group"), F.sum("head").alias("heads"))
     of_lang = of_group.groupBy("lang").agg(F.sum("n_group").alias("n_lang"), F.sum("heads").alias("size"), F.count("*").alias("sources"))
     groups = of_group.join(of_lang, "lang").select(

@@ -77,7 +77,7 @@ def _summed(rows: DataFrame, size: int, length: int, kind: type, part: Callable[
             total += part(_matrix(batch.column(0), size))
         yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int64()), "block": pa.array([total.tobytes()], pa.binary())})
 
-    def fold(key, table: pa.Table) -> pa.Table:
+    def fold(key, table):
         return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "block": pa.array([_added(table, kind, length).tobytes()], pa.binary())})
 
     at_once = max(2, FOLD_BYTES // (8 * length))
