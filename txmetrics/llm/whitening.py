@@ -141,7 +141,7 @@ def _factor(fit: DataFrame, size: int, n: int, mean: np.ndarray) -> tuple[np.nda
         rounding = 11 * (n * size + size * (size + 1)) * np.finfo(float).eps / 2
         # directions that the rows do not have stay without length; all others have length one in the end
         near_one, empty = abs(values - 1) < 0.5, values < max(rounding, 1e-12)
-        if k and (near_one | empty).all():
+        if k + 1 == MOST_PASSES or k and (near_one | empty).all():
             break
         try:
             factors.append(_cholesky(found, rounding * float(values[-1]) if not k else 0.0))
