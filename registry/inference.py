@@ -10,18 +10,17 @@ from registry import tables as t
 from txmetrics.functions import explode_lines, structured_text as page_text, vision_text as full_text
 from txmetrics.plans import Provider, batch_infer, plan_work, split_cached
 
-INCOMPLETE = '{"lines":[{"raw_transcription":"a","confidence_score":0.5}]}'
-OUT_OF_RANGE = (
-    '{"lines":[{"raw_transcription":"a","normalized_text":"a","confidence_score":2,'
-    '"orientation":"horizontal","bounding_box":[0,0,1,1]}]}'
-)
+def digit(*key):
+    """A hexadecimal digit that depends on a key only, the same in Spark and in SQL."""
+    return F.substring(F.md5(F.concat_ws("-", *[F.col(k).cast("string") for k in key])), 1, 1)
 
 
 def vision_text(spark, sf_dir):
     turns = t.read(spark, sf_dir, "conversations")
     padded = F.concat(F.lit("\n "), F.col("text"), F.lit(" \n"))
     full = F.to_json(F.struct(F.struct(padded.alias("text")).alias("fullTextAnnotation")))
-    response = F.when(F.col("role") == "assistant", full).otherwise(F.lit('{"responses": []}'))
+    other = F.to_json(F.struct(F.array(padded).alias("responses")))
+    response = F.when(F.col("role") == "assistant", full).otherwise(other)
     return turns.select("conv_id", "turn", full_text(response).alias("text"))
 
 
@@ -39,11 +38,21 @@ def _pages(spark, sf_dir):
         ),
     )
     page = F.to_json(F.struct(lines.alias("lines")))
+    raw = F.col("text").alias("raw_transcription")
+    incomplete = F.to_json(F.struct(F.array(F.struct(raw, F.lit(0.5).alias("confidence_score"))).alias("lines")))
+    too_sure = F.struct(
+        raw,
+        F.col("text").alias("normalized_text"),
+        F.lit(2).alias("confidence_score"),
+        F.lit("horizontal").alias("orientation"),
+        F.array(*map(F.lit, (0, 0, 1, 1))).alias("bounding_box"),
+    )
+    out_of_range = F.to_json(F.struct(F.array(too_sure).alias("lines")))
     first = (F.col("role") == "user") & (F.col("turn") == 0)
     response = (
-        F.when(first & (F.length("text") > 200), F.lit(INCOMPLETE))
-        .when(first, F.lit(OUT_OF_RANGE))
-        .when(F.length("text") < 100, F.col("text"))
+        F.when(first & (digit("conv_id") < "8"), incomplete)
+        .when(first, out_of_range)
+        .when(digit("conv_id", "turn") < "4", F.col("text"))
         .otherwise(page)
     )
     return turns.select("conv_id", "turn", response.alias("response"))
@@ -146,7 +155,8 @@ QUERIES = {
     )
 }
 
-_VALID = "NOT (role = 'user' AND turn = 0) AND length(text) >= 100"
+_FIRST = "role = 'user' AND turn = 0"
+_VALID = f"NOT ({_FIRST}) AND substr(md5(conv_id || '-' || turn), 1, 1) >= '4'"
 _LINES = f"""
 numbered AS (
   SELECT conv_id, turn, string_split(text, chr(10)) AS parts, unnest(range(len(string_split(text, chr(10))))) AS i
@@ -175,8 +185,10 @@ _STRIPPED = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
 ORACLE = {
     "vision_text": f"SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN {_STRIPPED.format('text')} ELSE '' END AS text FROM conversations",
     "structured_text": f"""
-SELECT conv_id, turn, CASE WHEN role = 'user' AND turn = 0 THEN CASE WHEN length(text) > 200 THEN '{INCOMPLETE}' ELSE '{OUT_OF_RANGE}' END
-  ELSE text END AS text FROM conversations""",
+SELECT conv_id, turn, CASE WHEN NOT ({_FIRST}) THEN text
+  WHEN substr(md5(conv_id::VARCHAR), 1, 1) < '8' THEN '{{"lines":[{{"raw_transcription":' || to_json(text) || ',"confidence_score":0.5}}]}}'
+  ELSE '{{"lines":[{{"raw_transcription":' || to_json(text) || ',"normalized_text":' || to_json(text)
+    || ',"confidence_score":2,"orientation":"horizontal","bounding_box":[0,0,1,1]}}]}}' END AS text FROM conversations""",
     "structured_lines": f"WITH {_LINES} SELECT * FROM lines",
     "line_quality": f"WITH {_LINES} SELECT CAST(floor(confidence_score * 10) AS INTEGER) AS band, count(*) AS lines,"
     " CAST(sum(length(raw_transcription)) AS BIGINT) AS chars FROM lines GROUP BY 1",

@@ -28,7 +28,7 @@ def script_enrich_literal_nan(spark, sf_dir):
     nations = t.read(spark, sf_dir, "nation")
     code = F.when(F.col("n_regionkey") > 0, F.concat(F.lit("src"), F.col("n_nationkey").cast("string")))
     scripts = nations.select(code.alias("script_id"), F.col("n_name").alias("script_name"))
-    multi = nations.select(code.alias("script_id"), F.lower("n_name").alias("script_name")).where("script_id IS NOT NULL")
+    multi = nations.select(code.alias("script_id"), F.lower("n_name").alias("script_name"))
     return join_script_metadata(catalog, scripts, multi, null_key="literal_nan")
 
 
@@ -62,7 +62,7 @@ ORACLE = {
     + ", dim AS (SELECT CASE WHEN n_regionkey > 0 THEN 'src' || n_nationkey END AS id, n_name FROM nation)"
     " SELECT c.technology, c.file_name, coalesce(trim(c.script_id), 'nan') AS script_id, coalesce(s.n_name, lower(m.n_name)) AS script_name"
     " FROM raw_catalog c LEFT JOIN dim s ON coalesce(trim(c.script_id), 'nan') = coalesce(s.id, 'nan')"
-    " LEFT JOIN dim m ON trim(c.script_id) = m.id",
+    " LEFT JOIN dim m ON coalesce(trim(c.script_id), 'nan') = coalesce(m.id, 'nan')",
     "technology_counts": _C + "SELECT technology, count(*) AS count FROM raw_catalog GROUP BY technology",
     "technology_distinct": _C
     + "SELECT count(DISTINCT technology) AS technologies, count(DISTINCT script_id) AS script_ids FROM raw_catalog",

@@ -121,7 +121,16 @@ _WIDE = (
     + " FROM scores GROUP BY image_name, batch_id)"
 )
 _CER = ", ".join(f'w."{m}_cer"' for m in t.MODELS)
-_AVG = ", ".join(f'round_even(avg("{m}_cer"), 6) AS "{m}_avg_cer"' for m in t.MODELS)
+
+
+def _exact_average(column):
+    """Average of six-decimal numbers, half to even, in whole numbers: a sum of doubles depends on the order of rows."""
+    total, n = f"sum(CAST(round({column} * 1000000) AS HUGEINT))", f"count({column})"
+    up = f"2 * ({total} % {n}) > {n} OR 2 * ({total} % {n}) = {n} AND {total} // {n} % 2 = 1"
+    return f"CASE WHEN {n} > 0 THEN ({total} // {n} + CASE WHEN {up} THEN 1 ELSE 0 END)::DOUBLE / 1000000 END"
+
+
+_AVG = ", ".join(f'{_exact_average(f'"{m}_cer"')} AS "{m}_avg_cer"' for m in t.MODELS)
 _REPORT = (
     f"{_R}, {t.SCORES_SQL}, {_MERGED}, {_WIDE}, report AS (SELECT m.*, {_CER} FROM merged m LEFT JOIN wide w"
     " ON m.image_name = w.image_name AND m.batch_id = w.batch_id)"

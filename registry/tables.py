@@ -112,10 +112,15 @@ scores AS (
 """
 
 
+def _digit(place: int):
+    """A hexadecimal digit of a hash of the document's id, the same in SQL."""
+    return F.substring(F.md5(F.col("doc_id").cast("string")), place, 1)
+
+
 def sheets(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Raw catalog sheets: one per language, untidy headers, different columns, padding rows."""
     docs = read(spark, sf_dir, "documents")
-    script = F.when(F.col("n_chars") >= 300, F.col("source"))
+    script = F.when(_digit(1) >= "4", F.col("source"))
     image = image_of("doc_", "doc_id")
 
     def sheet(lang: str, columns: dict) -> DataFrame:
@@ -131,7 +136,7 @@ def sheets(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
             " Script ID ": F.concat(script, F.lit(" ")),
             "Note": F.concat(F.lit("n"), F.col("n_chars").cast("string")),
             "Unnamed: 3": F.lit("x"),
-            "Legibility": F.when(F.col("n_chars") > 1500, F.lit("good")),
+            "Legibility": F.when(_digit(2) < "8", F.lit("good")),
         },
     ).unionByName(padding, allowMissingColumns=True)
     return {
@@ -143,26 +148,26 @@ def sheets(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "es": sheet("es", {"FILE NAME": image, "Script ID": script, "Color": F.lit("bw"), "Period": F.lit("  ")}),
         "fr": sheet(
             "fr",
-            {"File name": image, "Script id": script, "3_types": F.when(F.col("n_chars") > 2000, F.lit("long page"))},
+            {"File name": image, "Script id": script, "3_types": F.when(_digit(3) < "8", F.lit("display"))},
         ),
     }
 
 
 CATALOG_SQL = """
 doc AS (
-  SELECT 'doc_' || doc_id || '.png' AS image, lang, n_chars, source,
-         CASE WHEN n_chars >= 300 THEN source END AS script
+  SELECT 'doc_' || doc_id || '.png' AS image, lang, n_chars, source, md5(doc_id::VARCHAR) AS hash,
+         CASE WHEN substr(hash, 1, 1) >= '4' THEN source END AS script
   FROM documents
 ),
 raw_catalog AS (
   SELECT lang AS technology, CASE WHEN lang = 'en' THEN ' ' || image || ' ' ELSE image END AS file_name,
          CASE WHEN lang = 'en' THEN script || ' ' ELSE script END AS script_id,
          CASE WHEN lang = 'en' THEN 'n' || n_chars END AS notes,
-         CASE WHEN lang = 'en' AND n_chars > 1500 THEN 'good' END AS legibility,
+         CASE WHEN lang = 'en' AND substr(hash, 2, 1) < '8' THEN 'good' END AS legibility,
          CASE WHEN lang = 'de' THEN upper(source) END AS exact_font,
          CASE WHEN lang = 'es' THEN 'bw' END AS color,
          CASE WHEN lang = 'es' THEN '  ' END AS period,
-         CASE WHEN lang = 'fr' AND n_chars > 2000 THEN 'long page' END AS "3_types"
+         CASE WHEN lang = 'fr' AND substr(hash, 3, 1) < '8' THEN 'display' END AS "3_types"
   FROM doc WHERE lang IN ('en', 'de', 'es', 'fr')
 )
 """

@@ -143,3 +143,28 @@ def test_hot_image_is_split_at_run_time(spark):
     finally:
         for k in names:
             spark.conf.unset(k)
+
+
+def test_averages_do_not_depend_on_the_order_of_rows(spark):
+    from txmetrics.plans import score_map
+
+    values = [(f"m{k % 2}", f"i{k}", f"b{k % 3}", (k * 7919 % 1009) / (1 + k % 97)) for k in range(3000)]
+    schema = "model string, image_name string, batch_id string, cer double"
+    jobs = (by_batch, overall, grouped_scores, model_summary, score_map)
+    found = []
+    for parts, rows in ((1, values), (8, values[::-1]), (64, sorted(values, key=lambda r: r[3]))):
+        scores = spark.createDataFrame(rows, schema).repartition(parts)
+        found.append([sorted(map(repr, job(scores).collect())) for job in jobs])
+    assert found[0] == found[1] == found[2]
+
+
+def test_average_of_a_tie_and_of_odd_numbers(spark):
+    from txmetrics.operators.aggregates import average6
+
+    def mean(values):
+        return spark.createDataFrame([(v,) for v in values], "v double").agg(average6(F.col("v"))).first()[0]
+
+    assert mean([0.105996, 0.105997]) == 0.105996 and mean([0.105997, 0.105998]) == 0.105998  # half to even
+    assert mean([]) is None and mean([None, None]) is None and mean([None, 0.5]) == 0.5
+    assert mean([1e300, 1.0]) == 5e299 and mean([float("inf"), 1.0]) == float("inf")
+    assert mean([float("nan"), 1.0]) != mean([float("nan"), 1.0])

@@ -214,7 +214,7 @@ def test_image_with_a_third_of_all_scores(eager_skew):
         F.lit("1").alias("batch_id"),
         (F.col("id") / 60000).alias("cer"),
     )
-    wide = widen_scores(scores, ["m", "n"])
+    wide = widen_scores(scores, ["m", "n"], duplicates="multiply")
     by_name = wide.groupBy("image_name").count()
     got = {r.image_name: r["count"] for r in by_name.where("image_name = 'hot'").collect()}
     assert got == {"hot": 10000}

@@ -9,16 +9,48 @@ from txmetrics.functions.columns import col, distinct_values
 from txmetrics.functions.distance import round6
 
 
+#: Scores below this size are summed exactly, in steps of 10^-18; no real one is as large.
+EXACT_BELOW = 2**20
+#: The two columns of a sum: the exact part, and the part that is too large or not finite (null if there is none).
+SUM_PARTS = ("_exact", "_rest")
+
+
+def exact_sums(value: Column) -> list[Column]:
+    """The sum of ``value`` as SUM_PARTS. The exact part is the same in whatever order rows and tasks come."""
+    small = F.abs(value) < EXACT_BELOW
+    exact = F.sum(F.when(small, value).cast("decimal(38,18)"))
+    rest = F.sum(F.when(small, F.lit(None)).otherwise(value))
+    return [c.alias(n) for c, n in zip((exact, rest), SUM_PARTS)]
+
+
+def add_sums(prefix: str = "") -> list[Column]:
+    """Sums of sums."""
+    return [F.sum(prefix + n).alias(n) for n in SUM_PARTS]
+
+
+def mean6(exact: Column, rest: Column, count: Column) -> Column:
+    """Average of a sum's parts to six decimals, half to even on the exact quotient."""
+    count = F.nullif(count, F.lit(0))
+    whole = (F.coalesce(exact.cast("double"), F.lit(0.0)) + rest) / count
+    return F.when(rest.isNull(), F.bround(exact / count, 6).cast("double")).otherwise(round6(whole))
+
+
+def average6(value: Column) -> Column:
+    """Average of ``value`` to six decimals that does not depend on the order of rows; null without values."""
+    exact, rest = exact_sums(value)
+    return mean6(exact, rest, F.count(value))
+
+
 def overall(scores: DataFrame, models: list[str] | None = None) -> DataFrame:
     """Macro average per model, of unrounded scores. Listed models without rows get 0."""
     spark = scores.sparkSession
-    result = scores.groupBy("model").agg(F.avg("cer").alias("cer"), F.count("*").alias("count"))
+    result = scores.groupBy("model").agg(average6(F.col("cer")).alias("cer"), F.count("*").alias("count"))
     if models is not None:
         listed = spark.createDataFrame([(m,) for m in models], "model STRING")
         result = listed.join(result, "model", "left")
     return result.select(
         "model",
-        round6(F.coalesce("cer", F.lit(0.0))).alias("overall_cer"),
+        F.coalesce("cer", F.lit(0.0)).alias("overall_cer"),
         F.coalesce("count", F.lit(0)).alias("count"),
     )
 
@@ -26,7 +58,7 @@ def overall(scores: DataFrame, models: list[str] | None = None) -> DataFrame:
 def by_batch(scores: DataFrame) -> DataFrame:
     """Macro average and number of images per model and batch."""
     return scores.groupBy("model", "batch_id").agg(
-        round6(F.avg("cer")).alias("cer"), F.count("*").alias("count")
+        average6(F.col("cer")).alias("cer"), F.count("*").alias("count")
     )
 
 
@@ -36,7 +68,7 @@ def grouped_scores(scores: DataFrame) -> DataFrame:
         scores.groupingSets([["model", "batch_id"], ["model"]], "model", "batch_id")
         .agg(
             F.grouping("batch_id").cast("int").alias("is_overall"),
-            round6(F.avg("cer")).alias("cer"),
+            average6(F.col("cer")).alias("cer"),
             F.count("*").alias("count"),
         )
     )
@@ -50,14 +82,10 @@ def model_summary(scores: DataFrame, batches: list[str] | None = None) -> DataFr
     """
     if batches is None:
         batches = distinct_values(scores, "batch_id")
-    parts = scores.groupBy("model", "batch_id").agg(F.sum("cer").alias("_sum"), F.count("*").alias("_count"))
-    cells = [
-        round6(F.max(F.when(F.col("batch_id") == b, F.col("_sum") / F.col("_count")))).alias(f"cer_{b}")
-        for b in sorted(batches)
-    ]
-    return parts.groupBy("model").agg(
-        round6(F.sum("_sum") / F.sum("_count")).alias("overall_cer"), *cells
-    )
+    parts = scores.groupBy("model", "batch_id").agg(*exact_sums(F.col("cer")), F.count("cer").alias("_count"))
+    parts = parts.withColumn("_mean", mean6(*map(F.col, SUM_PARTS), F.col("_count")))
+    cells = [F.max(F.when(F.col("batch_id") == b, F.col("_mean"))).alias(f"cer_{b}") for b in sorted(batches)]
+    return parts.groupBy("model").agg(mean6(*add_sums(), F.sum("_count")).alias("overall_cer"), *cells)
 
 
 def micro_average(scores: DataFrame, by: tuple[str, ...] = ("model",)) -> DataFrame:
@@ -102,5 +130,5 @@ def pairs_by_group(
         )
         wide = wide.unionByName(empty, allowMissingColumns=True)
     return wide.groupBy("category", "group").agg(
-        F.sum("_weight").alias("image_count"), *[round6(F.avg(col(n))).alias(n) for n in averages]
+        F.sum("_weight").alias("image_count"), *[average6(col(n)).alias(n) for n in averages]
     )

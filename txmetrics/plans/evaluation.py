@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from txmetrics.functions.columns import same_key
 from txmetrics.functions.distance import cer, edit_distance, round6
 from txmetrics.functions.text import normalise
-from txmetrics.operators.aggregates import by_batch, model_summary, overall
+from txmetrics.operators.aggregates import SUM_PARTS, add_sums, by_batch, exact_sums, mean6, model_summary, overall
 from txmetrics.operators.joins import last_wins
 from txmetrics.sinks.csv import export_csv
 from txmetrics.sinks.tables import write_partitioned
@@ -107,11 +107,11 @@ def result_map(per_batch: DataFrame, totals: DataFrame, no_batch: str = NO_BATCH
 
 def score_map(scores: DataFrame, no_batch: str = NO_BATCH) -> DataFrame:
     """The same straight from the scores, in one pass over them: what is kept of them is a sum per model and batch."""
-    parts = scores.groupBy("model", "batch_id").agg(F.sum("cer").alias("_sum"), F.count("*").alias("count"))
-    value = F.struct(round6(F.col("_sum") / F.col("count")).alias("cer"), "count")
+    parts = scores.groupBy("model", "batch_id").agg(*exact_sums(F.col("cer")), F.count("*").alias("count"))
+    value = F.struct(mean6(*map(F.col, SUM_PARTS), F.col("count")).alias("cer"), "count")
     entries = F.collect_list(F.struct(F.coalesce("batch_id", F.lit(no_batch)), value))
     return parts.groupBy("model").agg(
-        round6(F.sum("_sum") / F.sum("count")).alias("overall_cer"), F.map_from_entries(F.sort_array(entries)).alias("per_batch")
+        mean6(*add_sums(), F.sum("count")).alias("overall_cer"), F.map_from_entries(F.sort_array(entries)).alias("per_batch")
     )
 
 
