@@ -170,3 +170,40 @@ def test_passage_corner_cases(spark, corner, corner_rows, empty):
     assert passages.repeated_passages(empty).count() == 0
     alone = spark.createDataFrame([(1, prose(1, 60) + " " + prose(1, 60))], "doc_id long, text string")
     assert passages.repeated_passages(alone).count() == 0  # within one document only
+
+
+def test_ids_that_are_repeated_with_other_texts(spark):
+    a, b, c, d = (prose(k, 60) for k in (1, 2, 3, 4))
+    near = " ".join(["other"] + c.split()[1:])
+    cases = [
+        [(1, a), (5, a), (5, b), (9, b)],
+        [(5, a), (5, b), (9, b), (7, c), (8, near), (8, d), (6, d)],
+        [(3, a), (3, b), (3, c), (2, near), (4, d), (4, "")],
+    ]
+    for rows in cases:
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        for setting in (near_dedup.Settings(percent=85), near_dedup.Settings(percent=85, leader_rounds=0, block=2)):
+            got = near_dedup.near_duplicates(docs, setting).collect()
+            want = components(rows, 85)
+            assert sorted((r["doc_id"], r["component_id"]) for r in got) == sorted((i, want[i]) for i, _ in rows)
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "decimal(10,0)"])
+def test_ids_of_other_types(corner, kind):
+    from pyspark.sql import functions as F
+
+    def renamed(frame):
+        key = F.lpad(F.col("doc_id").cast("string"), 4, "0") if kind == "string" else F.col("doc_id").cast(kind)
+        return frame.withColumn("doc_id", key)
+
+    def rows(frame, *ids):
+        plain = [F.col(c).cast("long").alias(c) if c in ids else F.col(c) for c in frame.columns]
+        return sorted(map(repr, frame.select(*plain).collect()))
+
+    other = renamed(corner)
+    assert rows(near_dedup.near_duplicates(other), "doc_id", "component_id") == rows(near_dedup.near_duplicates(corner))
+    assert rows(passages.repeated_passages(other), "doc_id", "other_doc_id") == rows(passages.repeated_passages(corner))
+    items = corner.where("doc_id in (7, 9, 13)")
+    found = decontamination.find_items(other, renamed(items), item_id="doc_id")
+    plain = decontamination.find_items(corner, items, item_id="doc_id")
+    assert rows(found, "doc_id", "item_id") == rows(plain)

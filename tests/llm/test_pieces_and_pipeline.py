@@ -4,7 +4,7 @@ import struct
 import public_tokenizers
 import pytest
 import sentencepiece
-from brute import SF, components, contained, personal
+from brute import SF, components, contained, personal, prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -137,3 +137,17 @@ def test_stage_corner_cases(spark, corner, empty, name):
     if name != "sentencepiece":
         assert sorted(out.columns) == sorted(docs.columns)
     assert dict(corpus_pipeline.STAGES)[name](spark, empty, SF).count() == 0
+
+
+def test_one_row_of_each_group_stays_whatever_its_ids(spark):
+    a, b, c = (prose(k, 60) for k in (1, 2, 3))
+    rows = [
+        (1, a, "en", "x"), (5, a, "en", "y"), (5, b, "en", "x"), (9, b, "en", "x"),  # 5 is a copy of 1 and 9 one of 5
+        (7, c, "de", "y"), (7, c, "de", "x"), (7, c, "de", None),  # copies that differ in other columns
+        (8, "", None, None), (8, prose(4, 9), "fr", None), (2, None, None, "x"), (2, " ", None, "x"), (None, a, "en", "x"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for parts in (1, 5):
+        out = corpus_pipeline.without_near_duplicates(spark, docs.repartition(parts), SF).collect()
+        got = sorted((r["doc_id"] or 0, r["text"] or "", r["source"] or "") for r in out)
+        assert got == sorted([(1, a, "x"), (7, c, "y"), (8, prose(4, 9), ""), (2, " ", "x"), (0, a, "x")])

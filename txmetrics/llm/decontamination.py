@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from txmetrics.functions.columns import col
 from txmetrics.llm import words
@@ -148,6 +149,7 @@ def find_items(
     documents give a match each; repeated rows of items count once.
     """
     kind = items.schema[item_id].dataType.simpleString()
+    pa_type = to_arrow_type(items.schema[item_id].dataType)
     texts = pick(docs, id_column, text_column)
     schema = f"doc_id, item_id {kind}, shared long, item_shingles long"
     out = None
@@ -162,7 +164,6 @@ def find_items(
                 "item_shingles": pa.array([len(block.shingles[i]) for _, i, _ in found], pa.int64()),
             }
 
-        pa_type = pa.array([r[0] for r in rows]).type
         part = map_texts(texts, schema, each, lambda rows=rows: Items(rows, settings))
         out = part if out is None else out.unionByName(part)
     if out is None:

@@ -215,8 +215,9 @@ def _in_blocks(live: DataFrame, held: DataFrame, settings: Settings) -> DataFram
             for other in others.tolist():
                 if joined[other] == joined[k]:
                     continue
-                shared = _in_common(own(k), own(other))
-                if 100 * shared >= percent * (size[k] + size[other] - shared):
+                x, y = own(k), own(other)
+                shared = _in_common(x, y)
+                if 100 * shared >= percent * (len(x) + len(y) - shared):
                     lefts.append(k)
                     rights.append(other)
                     joined[joined == joined[other]] = joined[k]
@@ -252,15 +253,17 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_column:
     ``percent`` hundredths or more in common; a component is what links connect, and its smallest id
     names it. Fewer than five words are one shingle. A document without words, null text included,
     has an empty set and is a component of its own. Rows that repeat an id are judged each by its
-    text; if the texts differ, links of either count for the id. A null id takes part in its exact
-    class only, and is kept only as the sole kind of id in it.
+    shingles; if their texts differ, links of either count for the id, so all its rows with words have one
+    component. A null id takes part in its exact class only, and is kept only as the sole kind of id
+    in it. An empty table gives no rows. Other columns than id and text are not read.
     """
     texts = pick(docs, id_column, text_column)
     signed = materialise(signatures(texts, settings), "near-signatures")
     key = ["set1", "set2", "n_shingles"]
     classes = signed.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("node"))
     chosen = signed.join(classes, key).where(F.col("doc_id") == F.col("node"))
-    found = materialise(_links(chosen, texts, settings), "near-links")
+    links = _links(chosen, texts, settings).unionByName(_same_id(signed, classes, key))
+    found = materialise(links, "near-links")
     named = classes.join(components(found, "near-components"), "node", "left").select(
         *key, F.coalesce("component", "node").alias("component_id")
     )
@@ -272,6 +275,17 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_column:
     )
 
 
+def _same_id(signed: DataFrame, classes: DataFrame, key: list[str]) -> DataFrame:
+    """Links between the classes of ids that are repeated with different texts."""
+    held = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    differ = " OR ".join(f"min({k}) <> max({k})" for k in key)
+    repeated = held.groupBy("doc_id").agg(F.expr(differ).alias("differ")).where("differ").select("doc_id")
+    of = held.select("doc_id", *key).join(repeated, "doc_id").join(classes, key).select("doc_id", "node").distinct()
+    of = materialise(of, "near-repeated-ids")
+    least = of.groupBy("doc_id").agg(F.min("node").alias("a"))
+    return of.join(least, "doc_id").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+
+
 def _links(chosen: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
     """Verified links that connect all classes that similarity connects."""
     buckets = chosen.select("node", F.posexplode("bands").alias("band", "bucket")).distinct()

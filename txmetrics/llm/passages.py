@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from txmetrics.llm import words
 from txmetrics.llm.frames import map_texts, pick
@@ -211,7 +212,7 @@ def _matches(suffixes: DataFrame, side: str, settings: Settings) -> DataFrame:
     names = ["seed", "doc_id", "at", "after", "before"]
     key = ["seed", side, "doc_id", "at"]
     schema = f"doc_id {kind}, start int, stop int, other {kind}, edge int, part int, seed long, at int, after binary, before binary"
-    doc_type = pa.int64() if kind == "bigint" else None
+    doc_type = to_arrow_type(suffixes.schema["doc_id"].dataType)
 
     def each(batches):
         work, head, part = _Neighbours(settings.least), [], None

@@ -170,21 +170,24 @@ sets AS MATERIALIZED (
 ), classes AS MATERIALIZED (
     SELECT whole, min(n) AS n, min(r) AS r, min(doc_id) AS node FROM sets JOIN d USING (r) GROUP BY whole
 ), parts AS MATERIALIZED (
-    SELECT node, n, shingle FROM classes JOIN s USING (r)
+    SELECT r AS c, n, shingle FROM classes JOIN s USING (r)
+), held AS MATERIALIZED (
+    SELECT DISTINCT doc_id, classes.r AS c FROM d JOIN sets ON sets.r = d.r JOIN classes ON classes.whole = sets.whole
 ), links AS MATERIALIZED (
-    SELECT a.node AS x, b.node AS y FROM parts a JOIN parts b ON a.shingle = b.shingle AND a.node <> b.node
+    SELECT a.c AS x, b.c AS y FROM parts a JOIN parts b ON a.shingle = b.shingle AND a.c <> b.c
     WHERE 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n
-    GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+    GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+    UNION SELECT a.c, b.c FROM held a JOIN held b ON a.doc_id = b.doc_id AND a.c <> b.c
 ), reach AS (
-    SELECT node, node AS other FROM classes
+    SELECT r AS c, r AS other FROM classes
     UNION
-    SELECT reach.node, links.y FROM reach JOIN links ON reach.other = links.x
+    SELECT reach.c, links.y FROM reach JOIN links ON reach.other = links.x
 ), named AS (
-    SELECT node, min(other) AS component FROM reach GROUP BY node
+    SELECT reach.c, min(node) AS component FROM reach JOIN classes ON other = r GROUP BY reach.c
 )
 SELECT doc_id, coalesce(sets.n, 0)::BIGINT AS n_shingles, coalesce(component, doc_id) AS component_id,
     doc_id = coalesce(component, doc_id) AS kept
-FROM d LEFT JOIN sets USING (r) LEFT JOIN classes USING (whole) LEFT JOIN named ON classes.node = named.node
+FROM d LEFT JOIN sets ON sets.r = d.r LEFT JOIN classes ON classes.whole = sets.whole LEFT JOIN named ON classes.r = named.c
 """
 
 
