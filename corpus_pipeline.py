@@ -35,12 +35,21 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each group with a similarity of 0.8 or more.
 
-    Of rows that repeat id and text one stays. Documents without words are no one's duplicates. A
-    row with a null id cannot be told from others and stays.
+    Rows that repeat an id are one document: it stays if none of them is a near-copy of a smaller id,
+    and then as one row, one with words if there is any, of those the first by text and then by the other columns.
+    Documents without words are no one's duplicates. A row with a null id cannot be told from others and stays.
     """
-    kept = near_dedup.near_duplicates(docs).where(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id")
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    found = near_dedup.near_duplicates(docs).where(F.col("doc_id").isNotNull())
+    kept = materialise(found.groupBy("doc_id").agg(F.every("kept").alias("kept"), F.count("*").alias("n")).where("kept"), "corpus-kept")
+    stay = docs.join(kept.where("n = 1").select("doc_id"), "doc_id", "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    repeated = kept.where("n > 1").select("doc_id")
+    if repeated.isEmpty():
+        return stay
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    order = F.struct(wordless, F.col("text"), F.to_json(row))
+    first = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, order).alias("row"))
+    return stay.unionByName(first.select("row.*"))
 
 
 def without_benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
