@@ -47,7 +47,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
         return stay
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    order = F.struct(wordless, F.col("text"), F.to_json(row))
+    order = F.struct(wordless, F.col("text").isNull(), F.col("text"), F.to_json(row))
     first = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, order).alias("row"))
     return stay.unionByName(first.select("row.*"))
 
