@@ -1,4 +1,6 @@
+import os
 import sys
+from collections import Counter
 
 import pytest
 from pyspark import cloudpickle
@@ -97,3 +99,52 @@ def test_latest_response_wins(spark, images):
     work, _ = plan_work(images, {"p": MODELS["p"]}, PROVIDERS)
     done, pending = split_cached(work, cache)
     assert {r.text for r in done.collect()} == {"new"} and done.count() == 2 and pending.count() == 1
+
+
+def fragile(image, settings, state):
+    """Notes each call in a file; kills its worker at one image the first time."""
+    with open(settings["calls"], "a") as log:
+        log.write(f"{image['image_name']} {len(image.get('content') or b'')}\n")
+    if image["image_name"] == settings["deadly"] and not os.path.exists(settings["killed"]):
+        open(settings["killed"], "w").close()
+        os._exit(1)
+    if image["image_name"] == "i3.png":
+        raise ValueError("unreadable")
+    return "text of " + image["image_name"]
+
+
+@pytest.mark.parametrize("content", [False, True])
+def test_a_killed_run_goes_on_from_its_journal(spark, tmp_path, content):
+    names = [f"i{k}.png" for k in range(24)]
+    images = spark.createDataFrame([(n, None if n == "i5.png" else "b", n.encode()) for n in names], "image_name STRING, batch_id STRING, content BINARY")
+    images = images if content else images.drop("content")
+    log, journal = tmp_path / "calls", str(tmp_path / "journal")
+    models = {"m": {"provider": "fragile", "calls": str(log), "killed": str(tmp_path / "killed"), "deadly": "i7.png"}}
+    providers = {"fragile": Provider(fragile, kind=None)}
+    run = lambda: batch_infer(images, models, providers, journal=journal, chunk_rows=5)
+    with pytest.raises(Exception) as failure:
+        run()
+    before = Counter(line.split()[0] for line in log.read_text().splitlines())
+    held = spark.read.parquet(journal) if os.path.isdir(journal) else None
+    committed = {r.image_name for r in held.collect()} if held is not None else set()
+    assert "i7.png" not in committed and len(before) < 24 and str(journal) in "".join(failure.value.__notes__)
+    result = run()
+    after = Counter(line.split()[0] for line in log.read_text().splitlines())
+    assert all(after[n] == before[n] == 1 for n in committed) and set(after) == set(names)
+    assert {(r.image_name, r.inference) for r in result.outputs.collect()} == {(n, "" if n == "i3.png" else "text of " + n) for n in names}
+    assert result.status.first()["answered"] == 24
+    assert run().outputs.count() == 24 and Counter(line.split()[0] for line in log.read_text().splitlines()) == after
+    if content:
+        assert all(int(line.split()[1]) == len(line.split()[0]) for line in log.read_text().splitlines())
+    fewer = batch_infer(images.where("image_name < 'i2'"), models, providers, journal=journal)
+    assert {r.image_name for r in fewer.outputs.collect()} == {n for n in names if n < "i2"}
+
+
+def test_a_model_that_did_not_start_is_pending_again_in_its_journal(spark, images, tmp_path):
+    journal = str(tmp_path / "journal")
+    models = {"x": {"provider": "broken", "tag": "x"}, "p": {"provider": "plain", "tag": "p"}}
+    first = batch_infer(images, models, PROVIDERS, journal=journal)
+    assert {r.model: (r.answered, r.unanswered) for r in first.status.collect()} == {"x": (0, 3), "p": (3, 0)}
+    again = batch_infer(images, models, PROVIDERS | {"broken": PROVIDERS["plain"]}, journal=journal)
+    assert {r.model: (r.answered, r.unanswered) for r in again.status.collect()} == {"x": (3, 0), "p": (3, 0)}
+    assert texts(again.outputs)[("x", "a.png")] == "x:a.png"

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from txmetrics.functions.columns import same_key
 from txmetrics.functions.text import file_name, stem
+from txmetrics.operators.joins import attach
 from txmetrics.sinks.csv import export_csv
-from txmetrics.sinks.tables import write_partitioned
+from txmetrics.sinks.tables import materialise, write_partitioned
 from txmetrics.sources.csv import scan_outputs
+from txmetrics.sources.storage import read_files
 
 # Batch names that were written in two ways.
 BATCH_NAMES = {"b1": "batch-1", "batch-05": "batch-5"}
@@ -59,27 +61,47 @@ def stats_document(images: DataFrame) -> DataFrame:
     )
 
 
-def lay_out(annotations: DataFrame, images: DataFrame, path: str) -> str:
+#: Bytes of images and transcripts that one file of a laid-out benchmark should hold.
+TARGET_BYTES = 256 << 20
+
+
+def lay_out(annotations: DataFrame, images: DataFrame, path: str, target_bytes: int = TARGET_BYTES) -> str:
     """Benchmark table with image bytes, partitioned by batch.
 
-    ``annotations`` holds ``task_name, batch_id, task_transcript``; ``images`` the listing with
-    ``content``. An annotated image without file is an error.
+    ``annotations`` holds ``task_name, batch_id, task_transcript``. An annotated image without file is an error.
+
+    ``images`` is a listing with ``path`` and ``length``, whose bytes never go through a shuffle: rows
+    are dealt to writers first, and each reads the files that it writes. A batch gets one writer for
+    every ``target_bytes`` of images, so the number of files follows from the bytes and not
+    from the number of tasks. A listing with ``content`` instead has its bytes joined as they are.
     """
     tasks = annotations.select(
         F.col("task_name").alias("image_name"),
         canonical_batch(F.col("batch_id")).alias("batch_id"),
         F.col("task_transcript").alias("transcript"),
     )
+    late = "content" not in images.columns
+    held = ["path", "length"] if late else ["content"]
     files = images.select(
-        F.col("batch_id").alias("_batch"), F.col("image_name").alias("_image"), F.col("content").alias("_content")
+        F.col("batch_id").alias("_batch"), F.col("image_name").alias("_image"), *[F.col(c).alias(f"_{c}") for c in held]
     )
     joined = tasks.join(files, same_key(tasks, files, ["batch_id", "image_name"], ["_batch", "_image"]), "left")
     missing = F.raise_error(F.concat(F.lit("no image "), "batch_id", F.lit("/"), "image_name"))
+    found = F.col(f"_{held[0]}")
     rows = joined.select(
-        "image_name", "batch_id", "transcript", F.coalesce("_content", missing.cast("binary")).alias("content")
+        "image_name", "batch_id", "transcript", *[F.col(f"_{c}").alias(c) for c in held[1:]],
+        F.coalesce(found, missing.cast("string" if late else "binary")).alias(held[0]),
     )
-    # the join has just dealt the bytes out; a rebalance would move them all once more
-    return write_partitioned(rows, path, ["batch_id"], rebalance=False)
+    if not late:
+        # the join has just dealt the bytes out; a rebalance would move them all once more
+        return write_partitioned(rows, path, ["batch_id"], rebalance=False)
+    writers = F.ceil((F.sum("length") + 1) / target_bytes).cast("int").alias("_writers")
+    slots = materialise(rows.groupBy("batch_id").agg(writers), "benchmark-writers")
+    total = slots.agg(F.coalesce(F.sum("_writers"), F.lit(1))).first()[0]
+    slot = F.pmod(F.xxhash64("image_name"), F.col("_writers"))
+    dealt = attach(rows, slots, ["batch_id"]).repartition(int(total), "batch_id", slot)
+    whole = read_files(dealt.drop("_writers", "length")).select("image_name", "batch_id", "transcript", "content")
+    return write_partitioned(whole, path, ["batch_id"], rebalance=False)
 
 
 def source_images(spark: SparkSession, root: str) -> DataFrame:

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any, NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txmetrics.functions.columns import same_key
 from txmetrics.functions.responses import structured_text, vision_text
 from txmetrics.functions.text import stem
 from txmetrics.operators.joins import attach, last_wins, spread_join
-from txmetrics.sinks.tables import materialise
+from txmetrics.sinks.tables import materialise, shared_folder
 
 CACHE_KEYS = ["model", "batch_id", "stem", "kind"]
 DEFAULT_PROVIDER = "local"
@@ -151,6 +154,70 @@ def _runner(models: dict[str, dict], providers: dict[str, Provider], attempts: i
     return run
 
 
+#: What tells one call from another.
+CALL = ["model", "batch_id", "image_name"]
+#: Calls in a task, where rows have no bytes by which Spark could size tasks.
+CALLS_PER_TASK = 64
+
+
+def read_journal(spark: SparkSession, journal: str) -> DataFrame | None:
+    """Answers that are committed in a journal, and the run that made them; None if there are none yet."""
+    try:
+        return spark.read.schema(f"{RESULT_SCHEMA}, run STRING").parquet(journal)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _only(rows: DataFrame, calls: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join on CALL in which null keys match."""
+    side = calls.select(*[F.col(c).alias(f"_call_{c}") for c in CALL])
+    return rows.join(side, same_key(rows, side, CALL, [f"_call_{c}" for c in CALL]), how)
+
+
+def answer(
+    pending: DataFrame,
+    images: DataFrame | None,
+    models: dict[str, dict],
+    providers: dict[str, Provider],
+    journal: str,
+    chunk_rows: int,
+    max_parallel: int | None,
+    attempts: int,
+) -> DataFrame:
+    """Run ``pending`` in chunks of about ``chunk_rows`` calls, each committed to ``journal`` before the next begins.
+
+    Calls that the journal has an answer for are not made. ``images`` has the bytes, if any. Returns
+    the answers of all pending calls, and for those without one why their model did not start.
+    """
+    spark, run = pending.sparkSession, uuid.uuid4().hex
+    asked = materialise(pending, "inference-pending")
+    held = read_journal(spark, journal)
+    left = asked if held is None else _only(asked, held.where("model_error IS NULL"), "left_anti")
+    rows = left.count()
+    chunks = math.ceil(rows / chunk_rows)
+    of_chunk = F.pmod(F.xxhash64(*CALL), F.lit(max(chunks, 1)))
+    for k in range(chunks):
+        part = left.where(of_chunk == k) if chunks > 1 else left
+        tasks = max_parallel or max(1, min(math.ceil(rows / chunks / CALLS_PER_TASK), 4 * spark.sparkContext.defaultParallelism))
+        if images is not None:
+            part = with_content(part, images)
+        if images is None or max_parallel is not None:
+            part = part.repartition(tasks)
+        answers = part.sortWithinPartitions("model").mapInPandas(_runner(models, providers, attempts), RESULT_SCHEMA)
+        try:
+            answers.withColumn("run", F.lit(run)).write.mode("append").parquet(journal)
+        except Exception as error:
+            error.add_note(f"{k} of {chunks} chunks of calls are committed: pass journal={journal!r} to go on from there")
+            raise
+    answered = read_journal(spark, journal)
+    if answered is None:
+        return spark.createDataFrame([], RESULT_SCHEMA)
+    answered = answered.where((F.col("run") == run) | F.col("model_error").isNull()).drop("run")
+    return answered if held is None else _only(answered, asked, "left_semi")
+
+
 def batch_infer(
     images: DataFrame,
     models: dict[str, dict],
@@ -160,6 +227,8 @@ def batch_infer(
     cache_failures: bool = False,
     max_parallel: int | None = None,
     start_attempts: int = 3,
+    journal: str | None = None,
+    chunk_rows: int = 100_000,
 ) -> Inference:
     """Run every model on every image that has no stored response.
 
@@ -167,9 +236,15 @@ def batch_infer(
     most ``start_attempts`` times; where it cannot start, the rows of that task have no output and
     are pending again in the next run. Stored responses and the answers of other tasks stay. A
     model is not ok only if it started nowhere and nothing is stored for it. Each task holds one
-    model at a time. Fresh results are written to the shared folder before anything reads them,
-    so no call is repeated for a second output. ``max_parallel`` bounds concurrent tasks for
-    rate-limited services.
+    model at a time. ``max_parallel`` bounds concurrent tasks for rate-limited services.
+
+    Calls are made in chunks of about ``chunk_rows``, one job each, and the answers of a chunk are
+    committed to ``journal`` before the next chunk begins; outputs are read from there, so no
+    call is repeated for a second output. A run that fails or is killed is started again with the same
+    ``journal`` and repeats only calls of the chunk it was in; failed calls that are committed count as made.
+    The journal is a folder that all machines share, for one run at a time; by default it is a new
+    one in the shared folder, which the error of a failed run names. Images with bytes are joined to each
+    chunk anew, by a scan of their keys.
 
     ``status`` has a row per model: ``ok``, its ``error`` (also of a partial failure), and how many
     rows were ``answered`` and ``unanswered`` in this run. ``cache_rows`` are the new responses to
@@ -183,12 +258,8 @@ def batch_infer(
     pending = work
     if cache is not None:
         done, pending = split_cached(work, cache)
-    if content:
-        pending = with_content(pending, images) if cache is not None else plan_work(images, models, providers)[0]
-    if max_parallel is not None:
-        pending = pending.repartition(max_parallel)
-    pending = pending.sortWithinPartitions("model")
-    fresh = materialise(pending.mapInPandas(_runner(models, providers, start_attempts), RESULT_SCHEMA), "inference")
+    journal = journal or f"{shared_folder(spark)}/inference-{uuid.uuid4().hex}"
+    fresh = answer(pending, images if content else None, models, providers, journal, chunk_rows, max_parallel, start_attempts)
     columns = ["model", "image_name", "batch_id", F.col("text").alias("inference")]
     outputs = fresh.where("model_error IS NULL").select(*columns)
     if done is not None:

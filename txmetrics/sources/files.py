@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from txmetrics.functions.text import decode_uri, is_native, mime_type, stem, suffix
 from txmetrics.sources.csv import path_exists
+from txmetrics.sources.storage import read_files
 
 
 def split_path(path: str, tree: str, names: tuple[str, str] = ("batch_id", "image_name")) -> list:
@@ -60,15 +61,31 @@ def _images(files: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def image_bytes(spark: SparkSession, root: str, service: str, batch_id: str | None = None) -> DataFrame:
-    """Listing with file content, MIME type and ``native``: whether the service takes the format."""
-    listing = image_listing(spark, root, batch_id, content=True)
+def image_bytes(
+    spark: SparkSession, root: str, service: str, batch_id: str | None = None, manifest: DataFrame | None = None
+) -> DataFrame:
+    """Listing with file content, MIME type and ``native``: whether the service takes the format.
+
+    With a ``manifest`` of the tree nothing is listed, and each file is read by the task of its row.
+    """
+    if manifest is None:
+        listing = image_listing(spark, root, batch_id, content=True)
+    else:
+        listing = images_of(manifest)
+        listing = read_files(listing if batch_id is None else listing.where(F.col("batch_id") == batch_id))
     return listing.withColumn("native", is_native(F.col("image_name"), service))
 
 
-def transcript_files(spark: SparkSession, root: str) -> DataFrame:
-    """Whole-file transcripts at ``<root>/transcripts/<batch>/<stem>.txt``."""
-    files = _tree(spark, f"{root}/transcripts/*/*.txt", ["path", "content"])
+def _contents(spark: SparkSession, pattern: str, manifest: DataFrame | None) -> DataFrame:
+    """``path`` and ``content`` of the files of a pattern, or of a manifest."""
+    if manifest is None:
+        return _tree(spark, pattern, ["path", "content"])
+    return read_files(manifest.select("path"))
+
+
+def transcript_files(spark: SparkSession, root: str, manifest: DataFrame | None = None) -> DataFrame:
+    """Whole-file transcripts at ``<root>/transcripts/<batch>/<stem>.txt``, or those of a manifest of that tree."""
+    files = _contents(spark, f"{root}/transcripts/*/*.txt", manifest)
     return (
         files.select(*split_path("path", "transcripts", ("batch_id", "_file")), F.decode("content", "UTF-8").alias("transcript"))
         .where("batch_id != ''")
@@ -102,15 +119,15 @@ def vision_cache(spark: SparkSession, root: str, model: str) -> DataFrame:
     return _cache(files, F.col("value"), model, "vision", r"\.json\.gz$")
 
 
-def structured_cache(spark: SparkSession, root: str, model: str) -> DataFrame:
-    """Stored structured responses ``<root>/<model>/<batch>/<stem>.json``."""
-    files = _tree(spark, f"{root}/{model}/*/*.json", ["path", "content"])
+def structured_cache(spark: SparkSession, root: str, model: str, manifest: DataFrame | None = None) -> DataFrame:
+    """Stored structured responses ``<root>/<model>/<batch>/<stem>.json``, or those of a manifest of ``<root>/<model>``."""
+    files = _contents(spark, f"{root}/{model}/*/*.json", manifest)
     return _cache(files, F.decode("content", "UTF-8"), model, "structured", r"\.json$")
 
 
-def plain_cache(spark: SparkSession, root: str, model: str) -> DataFrame:
-    """Stored plain responses ``<root>/<model>/<batch>/<stem>.txt``, taken verbatim."""
-    files = _tree(spark, f"{root}/{model}/*/*.txt", ["path", "content"])
+def plain_cache(spark: SparkSession, root: str, model: str, manifest: DataFrame | None = None) -> DataFrame:
+    """Stored plain responses ``<root>/<model>/<batch>/<stem>.txt``, taken verbatim, or those of a manifest of ``<root>/<model>``."""
+    files = _contents(spark, f"{root}/{model}/*/*.txt", manifest)
     return _cache(files, F.decode("content", "UTF-8"), model, "plain", r"\.txt$")
 
 
