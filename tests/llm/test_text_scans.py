@@ -57,6 +57,40 @@ def test_novelty_reports_random_strings_after_sensitive_words_only():
         assert all(text[a:b] == random for _, a, b in found)
 
 
+KEY = "q7Zx9LmP2vRt8KsWd4YbN6hJc3GfT5uEa1QoViXk"
+
+
+@pytest.mark.parametrize(
+    "text",
+    [f'"SecretAccessKey": "{KEY}"', f"authToken -> {KEY}", f"clientSecret {KEY}", f"dbPassword is {KEY}", f"tokens: {KEY}"[:6] + f" of today {KEY}", f"{KEY} is the secret",
+     f"DB_PASSWORDS ({KEY})", f"private key {KEY}", f"the privateKey {KEY}", f"api-keys <{KEY}>"],
+)
+def test_sensitive_words_inside_identifiers_and_on_both_sides(text):
+    novelty = secret_scan.Novelty(secret_scan.Settings())
+    base = secret_scan.base_spans(text)
+    found = base + secret_scan.novel_spans(text, base, novelty)
+    assert any(text[a:b].endswith(KEY) for _, a, b in found)
+
+
+@pytest.mark.parametrize("text", [f"secretary {KEY}", f"TOKENIZER {KEY}", f"tokenize {KEY}", f"unauthentic {KEY}", f"author {KEY}", f"mytoken {KEY}", f"a{'b' * 200} secret {'c' * 100} {KEY}"])
+def test_other_words_are_not_sensitive(text):
+    assert secret_scan.novel_spans(text, [], secret_scan.Novelty(secret_scan.Settings())) == []
+
+
+def test_planted_random_keys_are_found_near_all_sensitive_words():
+    import random
+
+    r = random.Random(4)
+    novelty = secret_scan.Novelty(secret_scan.Settings())
+    hits = 0
+    for k in range(300):
+        key = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(r.randint(20, 64)))
+        word = r.choice(secret_scan.SENSITIVE)
+        text = f"{prose(k, 20)} {word} {prose(k + 999, 2)} {key} {prose(k + 5000, 20)}"
+        hits += ("novel", text.index(key), text.index(key) + len(key)) in secret_scan.novel_spans(text, [], novelty)
+    assert hits >= 295
+
+
 def test_secret_scan_corner_cases(corner, empty):
     got = secret_scan.scan(corner).collect()
     assert len(got) == corner.count()

@@ -9,7 +9,7 @@ strings seen nearby cost almost nothing; random strings cost most of their entro
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from itertools import accumulate
 from dataclasses import dataclass, field
 
@@ -28,15 +28,28 @@ _ASSIGN = re.compile(
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 
-#: Words that make the text after them sensitive.
+#: Words that make the text near them sensitive; the parts of one may be joined by ``_``, ``-``, a space or a capital.
 SENSITIVE = (
-    "password passwd passphrase pwd secret token api_key apikey api-key access_key private_key privatekey client_secret "
-    "credential credentials auth authorization bearer signature signing_key encryption_key session_id cookie jwt "
-    "connection_string account_key"
+    "password passwd passphrase pwd secret token api_key access_key private_key credential auth authorization bearer "
+    "signature signing_key encryption_key session_id cookie jwt connection_string account_key"
 ).split()
-_SENSITIVE = re.compile(r"(?<![a-z])(?:" + "|".join(sorted(SENSITIVE, key=len, reverse=True)) + r")(?![a-z])", re.IGNORECASE | re.ASCII)
+# a word of an identifier begins after no letter or where the case changes, and may be plural
+_SENSITIVE = re.compile(
+    r"(?:(?<![A-Za-z])|(?<=[a-z0-9])(?=[A-Z]))(?i:"
+    + "|".join(w.replace("_", "[-_\\x20]?") for w in sorted(SENSITIVE, key=len, reverse=True))
+    + r")(?i:s)?(?![a-z])",
+    re.ASCII,
+)
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]+")
 
+
+def sensitive_words(text: str) -> list[tuple[int, int]]:
+    """Where sensitive words stand, also inside identifiers: ``authToken``, ``DB_PASSWORDS``, ``private key``."""
+    found = (m.span() for m in _SENSITIVE.finditer(text))
+    # a word in capitals ends where the capitals do: TOKENIZER holds none
+    return [(a, b) for a, b in found if not (text[a:b].isupper() and text[b : b + 1].isupper())]
+
+
 #: Text that code and configuration are full of; strings made of such pieces are not secrets.
 IDENTIFIERS = (
     "import from return class function const let var public private static void string int float double boolean null true "
@@ -54,8 +67,8 @@ IDENTIFIERS = (
 
 @dataclass(frozen=True)
 class Settings:
-    """``reach``: characters before a candidate in which a sensitive word counts, and of context on
-    either side that prime the compressor. ``least``: the shortest candidate. ``novelty``: marginal
+    """``reach``: characters on either side of a candidate in which a sensitive word counts, and of context
+    that prime the compressor. ``least``: the shortest candidate. ``novelty``: marginal
     compressed bytes per character from which a candidate is reported (random letters and digits
     cost about 0.75, random hex digits 0.5)."""
 
@@ -98,24 +111,22 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def novel_spans(text: str, taken: list[tuple[str, int, int]], novelty: Novelty) -> list[tuple[str, int, int]]:
-    """Candidates after a sensitive word that overlap no span of ``taken`` and that compress badly."""
+    """Candidates near a sensitive word, on either side, that overlap no span of ``taken`` and that compress badly."""
     settings, out = novelty.settings, []
-    words = [m.end() for m in _SENSITIVE.finditer(text)]
+    words = sensitive_words(text)
     if not words:
         return out
+    starts, ends = [a for a, _ in words], [b for _, b in words]
     begins = sorted((a, b) for _, a, b in taken)
     furthest = list(accumulate((b for _, b in begins), max))
-    done = 0
-    for end in words:
-        # candidates that begin within reach of this word; those of earlier words are done
-        for m in _CANDIDATE.finditer(text, max(done, end)):
-            if m.start() - end > settings.reach:
-                break
-            done = m.end()
-            if m.end() - m.start() < settings.least or _overlaps(begins, furthest, *m.span()):
-                continue
-            if novelty.of(text, *m.span()) >= settings.novelty:
-                out.append(("novel", *m.span()))
+    for m in _CANDIDATE.finditer(text):
+        start, end = m.span()
+        if end - start < settings.least:
+            continue
+        before, after = bisect_right(ends, start) - 1, bisect_left(starts, end)
+        near = before >= 0 and start - ends[before] <= settings.reach or after < len(starts) and starts[after] - end <= settings.reach
+        if near and not _overlaps(begins, furthest, start, end) and novelty.of(text, start, end) >= settings.novelty:
+            out.append(("novel", start, end))
     return out
 
 
@@ -134,7 +145,8 @@ def scan(docs: DataFrame, settings: Settings = Settings(), id_column: str = "doc
 
     Returns ``doc_id`` and ``secrets``, an array of (kind, start, end, novelty) by start, then kind;
     positions are code points, end exclusive. Base patterns have no novelty. A null or empty text
-    has an empty array. Rows are judged one by one, so repeated rows and null ids stay.
+    has an empty array. Rows are judged one by one, so repeated rows and null ids stay; an empty table
+    gives no rows. Other columns are not read, so their names and nulls do not matter.
     """
 
     def each(ids, texts, novelty: Novelty):
