@@ -16,7 +16,7 @@ from txmetrics.sinks import export_csv
 
 
 def _numbered(table):
-    """Rows of a scan with their number in the files, from 1."""
+    """Rows of a small scan with their number in the files, from 1."""
     return table.withColumn("line", F.row_number().over(Window.orderBy("_pos"))).drop("_pos")
 
 
@@ -27,9 +27,12 @@ def _placed(table, keys, columns):
 
 
 def benchmark_file(spark, sf_dir):
-    """The benchmark file, line by line."""
+    """The benchmark file: the place of each batch, and of each line in its batch."""
     path = write_benchmark(t.truth(spark, sf_dir), _folder(spark, "benchmark"))
-    return _numbered(scan_csv(spark, path, position=True))
+    table = scan_csv(spark, path, position=True)
+    lines = table.withColumn("line", F.row_number().over(Window.partitionBy("batch_id").orderBy("_pos"))).drop("_pos")
+    begun = table.groupBy("batch_id").agg(F.min("_pos").alias("_pos"))
+    return lines.join(_numbered(begun).withColumnRenamed("line", "batch_place"), "batch_id")
 
 
 def summary_cells(spark, sf_dir):
@@ -109,7 +112,8 @@ _REPORT_COLUMNS = [
 
 ORACLE = {
     "benchmark_file": f"SELECT 'doc_' || doc_id || '.png' AS image_name, {t.BATCH_SQL} AS batch_id, nullif(text, '') AS transcript,"
-    f" CAST(row_number() OVER (ORDER BY {t.BATCH_SQL}, 'doc_' || doc_id || '.png') AS INTEGER) AS line FROM documents",
+    f" CAST(row_number() OVER (PARTITION BY {t.BATCH_SQL} ORDER BY 'doc_' || doc_id || '.png') AS INTEGER) AS line,"
+    f" CAST(dense_rank() OVER (ORDER BY {t.BATCH_SQL}) AS INTEGER) AS batch_place FROM documents",
     "summary_cells": f"""WITH {t.SCORES_SQL},
 batches AS (SELECT batch_id, row_number() OVER (ORDER BY batch_id) AS place FROM (SELECT DISTINCT batch_id FROM scores)),
 models AS (SELECT model, row_number() OVER (ORDER BY model) AS line FROM (SELECT DISTINCT model FROM scores))
