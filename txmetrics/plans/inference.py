@@ -94,13 +94,15 @@ def split_cached(work: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFram
 def with_content(pending: DataFrame, images: DataFrame) -> DataFrame:
     """Pending rows with the columns of their images; the bytes of an image are moved once, for all its models.
 
-    The rows of an image are its models, so their list is as short as the list of models.
+    The rows of an image are its models, so their list is as short as the list of models. The join is
+    asked to be a sort-merge join: a broadcast of few keys would leave all calls in as many tasks as
+    the images have files, and calls cost far more than moving bytes.
     """
     keys = [c for c in ("batch_id", "image_name", "path") if c in images.columns]
     wanted = pending.groupBy(*keys).agg(F.collect_list(F.struct("model", "kind", "stem")).alias("_models"))
     names = {k: f"_key_{k}" for k in keys}
     side = wanted.select(*[F.col(k).alias(n) for k, n in names.items()], "_models")
-    joined = images.join(side, same_key(images, side, keys, list(names.values())), "inner").drop(*names.values())
+    joined = images.join(side.hint("merge"), same_key(images, side, keys, list(names.values())), "inner").drop(*names.values())
     return joined.withColumn("_m", F.explode(F.array_distinct("_models"))).drop("_models").select("_m.*", "*").drop("_m")
 
 
