@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from brute import SF, prose, words
+from pyspark.sql import functions as F
 
 from txmetrics.llm import language_id, maxent_lm, quality, queries
 from txmetrics.llm.ftrl import Settings, train_logistic
@@ -121,19 +122,88 @@ def test_lm_looks_rare_words_up_by_join_alike(documents):
 
 
 def test_lm_is_a_distribution_and_beats_its_start(spark):
-    settings = maxent_lm.Settings(bits=8, classes=4)
-    rows = [(i, "alpha beta gamma delta " * 20) for i in range(40)]
+    settings = maxent_lm.Settings(bits=8, classes=4, anchors=6)
+    rows = [(i, "alpha beta gamma delta " * 20 + f"once{i}") for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     model, counts = maxent_lm.train(docs, settings)
     seen = {r["word"]: r["n"] for r in counts.collect()}
-    share = np.zeros(4)
-    for w, n in seen.items():
-        k = int(maxent_lm.word_class(np.array([w], np.int64).view(np.uint64), settings)[0])
+    kind = model.known.classes(np.array(list(seen), np.int64).view(np.uint64))
+    share = np.zeros(5)
+    for k, n in zip(kind, seen.values()):
         share[k] += (n + 0.5) / 10 ** model.total[k]
-    share += 0.5 / 10**model.total  # one new word of each class
-    assert np.allclose(share, 1)
+    share[4] += 0.5 / 10 ** model.total[4]  # a new word
+    assert np.allclose(share[np.unique([*kind, 4])], 1)
     r = maxent_lm.score(docs.limit(1), model, counts).first()
-    assert r["score"] > r["base_score"]
+    assert r["score"] > r["base_score"] / 2  # the order of the words is learnt
+
+
+def test_lm_score_against_a_loop_over_its_tables(spark, documents):
+    """Every token by itself: features, softmax and share written out with plain numbers."""
+    model, counts = maxent_lm.train(documents)
+    n_of = {r["word"] % 2**64: r["n"] for r in counts.collect()}
+    class_of = dict(zip(model.known.words.tolist(), model.known.kind.tolist()))
+    mask, shift = 2**64 - 1, 64 - model.bits
+
+    def mix(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & mask
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & mask
+        return x ^ (x >> 31)
+
+    some = documents.orderBy("doc_id").limit(12)
+    got = {r["doc_id"]: r["score"] for r in maxent_lm.score(some, model, counts).collect()}
+    for row in some.collect():
+        past = [int(maxent_lm.BEFORE)] * 3
+        total = 0.0
+        for h in maxent_lm.tokens([row["text"]]).hashes.tolist():
+            three, two, one = past
+            bigram = mix((two * 5 + one) & mask)
+            features = [mix(x & mask) >> shift for x in (one * 3, bigram, two * 7, three * 11)]
+            z = [math.exp(model.bias[k] + sum(float(model.weights[f, k]) for f in features)) for k in range(len(model.bias))]
+            k = class_of.get(h, model.known.rare)
+            total += math.log10(z[k] / sum(z)) + math.log10(n_of.get(h, 0) + 0.5) - model.total[k]
+            past = [two, one, h]
+        assert math.isclose(got[row["doc_id"]], total, rel_tol=1e-4)
+
+
+def test_lm_sums_of_a_round_against_a_loop(spark):
+    """Counts of features with classes, and what the model foresees, summed over tasks and token by token."""
+    texts = [f"a b c a{i % 3} b a" for i in range(50)] + [None, ""]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(7)
+    model, _ = maxent_lm.train(docs.withColumn("doc_id", F.lit(1)), maxent_lm.Settings(bits=6, classes=2, anchors=3))
+    known, bits, classes = model.known, model.bits, len(model.bias)
+    size = classes << bits
+    weights, bias = model.weights, model.bias.astype(np.float32)
+    seen = maxent_lm._total(docs, lambda t, out: maxent_lm.observed(t, out, known, bits), size)
+    foreseen = maxent_lm._total(docs, lambda t, out: maxent_lm.expected(t, out, weights, bias, bits), size, np.float32)
+    own_seen, own_foreseen = np.zeros((1 << bits, classes)), np.zeros((1 << bits, classes))
+    for text in texts:
+        t = maxent_lm.tokens([text])
+        for kind, *features in zip(known.classes(t.hashes), *maxent_lm.context_features(t, bits)):
+            z = np.exp(model.bias + sum(weights[f].astype(float) for f in features))
+            for f in features:
+                own_seen[f, kind] += 1
+                own_foreseen[f] += z / z.sum()
+    assert (seen.reshape(own_seen.shape) == own_seen).all()
+    assert np.allclose(foreseen.reshape(own_seen.shape), own_foreseen, rtol=1e-4, atol=1e-4)
+
+
+def test_lm_does_not_depend_on_tasks(documents):
+    scores = []
+    for tasks in (1, 8, 64):
+        model, counts = maxent_lm.train(documents.repartition(tasks))
+        scores.append({r["doc_id"]: r["score"] for r in maxent_lm.score(documents, model, counts).collect()})
+    for i, value in scores[0].items():
+        assert all(math.isclose(value, other[i], rel_tol=1e-5) for other in scores[1:])
+
+
+def test_lm_held_out_gain_grows_with_the_corpus(spark):
+    """The gain a token over the unigrams on held-out documents, and the part of them that gain."""
+    gains = []
+    for directory in (SF, SF.replace("sf0.001", "sf0.01")):
+        rows = [r for r in queries.op8_lm_scores(spark, directory).collect() if r["held_out"]]
+        gains.append(sum(r["score"] - r["base_score"] for r in rows) / sum(r["n_tokens"] for r in rows))
+        assert sum(r["score"] > r["base_score"] for r in rows) > 0.6 * len(rows)
+    assert gains[0] > 0.05 and gains[1] > 0.15
 
 
 def test_lm_corner_cases(corner, empty):
