@@ -41,14 +41,14 @@ BEFORE = np.uint64(0x5BE0CD19137E2179)
 class Settings:
     """``frequent``: words whose counts and classes go to every task; all others are looked up by a join.
     ``anchors``: words that classes are made of. ``reach``: how far a neighbour may be away. ``rounds``:
-    gradient updates. ``prior``: occurrences that a feature needs to be half believed. ``bits`` and
+    gradient updates after the first, which starts from no weights and so needs the counts alone. ``prior``: occurrences that a feature needs to be half believed. ``bits`` and
     ``classes`` fix the size of the model; by default it follows the corpus, see :func:`sizes`, up to ``most_bits``
     and ``most_classes``, since the table goes to every task (268 MB; reached at some 10^11 tokens)."""
 
     frequent: int = 1 << 18
     anchors: int = 512
     reach: int = 4
-    rounds: int = 2
+    rounds: int = 1
     prior: float = 16.0
     most_bits: int = 20
     most_classes: int = 64
@@ -58,9 +58,9 @@ class Settings:
 
 def sizes(train_tokens: int, distinct: int, settings: Settings) -> tuple[int, int]:
     """Bits of the feature table, whose rows are 128 times the cube root of the tokens, and the number of learnt
-    classes, the fourth root of the vocabulary. So the tables that tasks hand on grow more slowly than the input."""
+    classes, the fifth root of the vocabulary. So the tables that tasks hand on grow more slowly than the input."""
     bits = settings.bits or min(7 + round(np.log2(train_tokens + 1) / 3), settings.most_bits)
-    return bits, settings.classes or min(1 << max(int(np.log2(distinct + 1) / 4), 2), settings.most_classes)
+    return bits, settings.classes or min(1 << max(round(np.log2(distinct + 1) / 5), 2), settings.most_classes)
 
 
 @dataclass
@@ -115,8 +115,9 @@ def _before(t: Tokens, k: int, values: np.ndarray, outside) -> np.ndarray:
     """For every token the value of the one ``k`` places before it in its text, or ``outside``."""
     out = np.full(len(values), outside, values.dtype)
     out[k:] = values[:-k]
-    place = np.arange(len(values)) - np.repeat(t.first[:-1], np.diff(t.first))
-    out[place < k] = outside
+    starts = t.first[:-1]
+    for d in range(k):
+        out[starts[np.diff(t.first) > d] + d] = outside
     return out
 
 
@@ -196,13 +197,17 @@ def votes(texts: list[str | None], out: np.ndarray, known: Known, company: np.nd
     classes = company.shape[1]
     at, hit = known.find(t.hashes)
     kind = np.where(hit, known.kind[at], known.rare)
-    total = np.zeros((len(kind) + 1, classes))
-    np.cumsum(company.take(kind, axis=0), axis=0, out=total[1:])
     todo = np.flatnonzero(hit & (kind == known.rare))
     owner = np.repeat(np.arange(len(texts)), np.diff(t.first))[todo]
     low, high = np.maximum(todo - reach, t.first[owner]), np.minimum(todo + reach + 1, t.first[owner + 1])
-    # sums of differences are rounded, so that the same neighbours give the same vote at any place of a step
-    vote = (total[high] - total[low]).round(6).argmax(axis=1)
+    vote = np.empty(len(todo), np.int64)
+    for lo in range(0, len(todo), 1 << 13):  # a bounded part of a very long text at a time
+        part = slice(lo, lo + (1 << 13))
+        base, end = low[part].min(), high[part].max()
+        total = np.zeros((end - base + 1, classes))
+        np.cumsum(company.take(kind[base:end], axis=0), axis=0, out=total[1:])
+        # sums of differences are rounded, so that the same neighbours give the same vote at any place
+        vote[part] = (total.take(high[part] - base, axis=0) - total.take(low[part] - base, axis=0)).round(6).argmax(axis=1)
     place, n = np.unique(at[todo] * classes + vote, return_counts=True)
     out[place] += n
 
