@@ -98,6 +98,8 @@ def train(
     ``rows_per_language`` bounds the labelled rows, drawn by a hash of their ids: about so many of
     each language, whole texts. More than ``max_languages`` is an error, since the model's size
     grows with them. Without any labelled text that has a letter the model knows no language.
+    Rows that share an id, also a null one, are drawn together or not at all: a language above the
+    bound whose rows all have null ids may contribute all of them or none.
     """
     texts = docs.select(col(id_column).alias("doc_id"), col(text_column).alias("text"), col(language).alias("label"))
     labelled = texts.where(F.col("label").isNotNull() & F.col("text").isNotNull())
@@ -186,7 +188,9 @@ def predict(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", te
     """``doc_id``, ``lang_pred`` and ``score`` (calibrated, 0 to 1) of every row of ``docs``.
 
     A null text, or one without a letter, is ``und`` with score 0; so is every text if the model
-    knows no language. Equal scores go to the language that comes first in the alphabet.
+    knows no language. Equal scores go to the language that comes first in the alphabet. Rows are
+    judged one by one and whole, so repeated rows, null ids and very long texts need no rule of their
+    own; an empty table gives no rows. Other columns are not read.
     """
 
     def each(ids, texts):

@@ -114,7 +114,9 @@ def _collect_rows(drawn: DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
 def score(docs: DataFrame, model: QualityModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id`` and ``score`` (the probability of label 1) of every row of ``docs``.
 
-    A null or empty text has no features and gets the model's intercept alone.
+    A null or empty text has no features and gets the model's intercept alone. Rows are scored one by
+    one and whole, so repeated rows, null ids and very long texts need no rule of their own; an empty
+    table gives no rows. Other columns are not read.
     """
 
     def each(ids, texts):
