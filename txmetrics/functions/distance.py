@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 BUILTIN_CELLS = 512 * 512
 BAND_FROM = 5120
 SEGMENT = 128
-SAMPLE = 512
+SAMPLE = 1024
 COUNTER = (1 << 40) - 1
 TOGETHER = 16
 
@@ -110,13 +110,18 @@ def band_distances(patterns: list[str], text: str, bounds: list[int]) -> list[in
 
 
 def _guess(pattern: str, text: str) -> int:
-    """A likely bound: characters without a partner, or the error rate of the first part."""
+    """A likely bound: characters without a partner, or the error rate of the first part.
+
+    The first part is the same share of both texts, so that a reading which leaves out much is not
+    taken for one that differs everywhere.
+    """
     a, b = Counter(pattern), Counter(text)
     surplus = max((a - b).total(), (b - a).total())
     size = max(len(pattern), len(text))
-    sample = full_distances([pattern[:SAMPLE]], text[:SAMPLE])[0] * size // SAMPLE
+    part = min(SAMPLE, size)
+    sample = full_distances([pattern[: part * len(pattern) // size]], text[: part * len(text) // size])[0] * size // part
     guess = max(surplus, sample)
-    return max(guess + guess // 4, abs(len(text) - len(pattern))) + 32
+    return max(guess + guess // 8, abs(len(text) - len(pattern))) + 32
 
 
 def very_long_distances(patterns: list[str], text: str) -> list[int]:
