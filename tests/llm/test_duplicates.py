@@ -1,3 +1,4 @@
+import random
 import numpy as np
 import pytest
 from brute import components, contained, prose, repeated_words, shingles, words
@@ -157,6 +158,41 @@ def test_runs_longer_than_a_task_meet_the_other_document(spark):
     assert covered(passages.repeated_passages(docs, passages.Settings(task_rows=2)).collect()) == repeated_words(rows)
 
 
+def test_nearest_foreign_rows_at_borders_against_a_loop(spark):
+    rng = random.Random(5)
+    keys = sorted((rng.randint(1, 4), rng.randint(1, 3), at) for at in range(60))
+    rng.shuffle(keys)  # neighbours of one seed in any order of documents, as a sort by what follows leaves them
+    keys.sort(key=lambda k: k[0])
+    cuts = sorted({0, len(keys), *(rng.randrange(len(keys)) for _ in range(25))})
+    edges, want = [], set()
+    for part, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+        head = next((k for k in range(lo, hi) if keys[k][:2] != keys[lo][:2]), hi)
+        tail = next((k for k in range(hi - 1, lo - 1, -1) if keys[k][:2] != keys[hi - 1][:2]), lo - 1)
+        places = {passages._FIRST: lo, passages._LAST: hi - 1}
+        if head < hi and keys[head][0] == keys[lo][0]:
+            places[passages._BELOW_HEAD] = head
+        if tail >= lo and keys[tail][0] == keys[hi - 1][0]:
+            places[passages._ABOVE_TAIL] = tail
+        edges += [(part, edge, *keys[k], b"a", b"b") for edge, k in places.items()]
+        before = next((k for k in range(lo - 1, -1, -1) if keys[k][:2] != keys[lo][:2]), None)
+        after = next((k for k in range(hi, len(keys)) if keys[k][:2] != keys[hi - 1][:2]), None)
+        for run, own, far in ((passages._HEAD, lo, before), (passages._TAIL, hi - 1, after)):
+            if far is not None and keys[far][0] == keys[own][0]:
+                want.add((part, run, *keys[far][1:]))
+    frame = spark.createDataFrame(edges, "part int, edge int, seed long, doc_id long, at int, after binary, before binary")
+    got = passages._foreign(frame).collect()
+    assert {(r["part"], r["edge"], r["far_doc"], r["far_at"]) for r in got} == want and len(got) == len(want) > 10
+
+
+def test_suffixes_of_hot_and_rare_seeds(spark, monkeypatch):
+    rows = [(d, d, 1, 0) for d in range(60)] + [(d, d, 2 + d // 2, 1) for d in range(20)] + [(7, 7, 99, k) for k in range(30)]
+    kept = spark.createDataFrame(rows, "doc_id long, copy long, seed long, at int")
+    for hot in (1, 2, 1000):  # no seed is hot, one is, all are
+        monkeypatch.setattr(passages, "HOT", hot)
+        got = passages._in_several(kept).select("doc_id", "copy", "seed", "at").collect()
+        assert sorted(map(tuple, got)) == sorted(r for r in rows if r[2] != 99)
+
+
 def test_an_id_with_a_long_and_a_short_text(spark):
     passage, other = prose(1, 60), prose(2, 60)
     rows = [(1, f"{prose(3, 400)} {passage}"), (1, f"{other} {prose(4, 20)}"), (2, f"{prose(5, 30)} {passage} {prose(6, 9)} {other}")]

@@ -23,6 +23,10 @@ from txmetrics.llm.frames import map_texts, pick
 from txmetrics.sinks.tables import materialise
 
 
+#: A seed is hot if this part of all suffixes or more begins with it, so there are no more hot ones than this.
+HOT = 1000
+
+
 @dataclass(frozen=True)
 class Settings:
     """``least``: words of the shortest passage reported. ``seed``: words hashed at a position to choose
@@ -174,28 +178,34 @@ class _Neighbours:
 _HEAD, _TAIL, _FIRST, _LAST, _BELOW_HEAD, _ABOVE_TAIL = range(6)
 
 
-def _foreign(tasks: dict[int, dict[int, tuple]]) -> dict[tuple[int, int], tuple]:
-    """For the first and the last run of each task: the nearest row of another document in tasks before or after.
+def _foreign(edges: DataFrame) -> DataFrame:
+    """For the first and the last run of each task (``part``, ``edge``): the nearest row of another document
+    of the same seed in tasks before or after, as ``far_doc``, ``far_at``, ``far_after`` and ``far_before``.
 
-    ``tasks``: for each task its row of each kind from _FIRST on. A task that is one run passes on
-    what its neighbour sees.
+    ``edges``: the rows of a task from _FIRST on. In the order of tasks, where the document of a seed changes
+    the row passed last is the foreign one of all rows up to the next change. A seed's window has at most three
+    rows for each task that it fills, which is its share of all rows divided by ``task_rows``.
     """
-    out: dict[tuple[int, int], tuple] = {}
-    for run, order, near, far, beyond in (
-        (_HEAD, sorted(tasks), _FIRST, _LAST, _ABOVE_TAIL),
-        (_TAIL, sorted(tasks, reverse=True), _LAST, _FIRST, _BELOW_HEAD),
-    ):
-        for last, part in zip(order, order[1:]):
-            own, met = tasks[part][near], tasks[last][far]
-            if own[0] != met[0]:
-                continue
-            if own[1] != met[1]:
-                out[part, run] = met
-            elif beyond in tasks[last]:
-                out[part, run] = tasks[last][beyond]
-            elif tasks[last][near][:2] == met[:2] and (last, run) in out:  # one run from end to end
-                out[part, run] = out[last, run]
-    return out
+    far = F.struct("doc_id", "at", "after", "before")
+    found = []
+    for run, kinds, turn in ((_HEAD, [_FIRST, _ABOVE_TAIL, _LAST], 1), (_TAIL, [_LAST, _BELOW_HEAD, _FIRST], -1)):
+        place = F.array_position(F.lit(kinds), F.col("edge"))
+        order = Window.partitionBy("seed").orderBy(turn * F.col("part"), place)
+        passed = edges.where(F.col("edge").isin(kinds)).withColumn("passed", F.lag(far).over(order))
+        changed = F.when(F.col("passed.doc_id") != F.col("doc_id"), F.col("passed"))
+        nearest = F.last(changed, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+        rows = passed.withColumn("far", nearest).where((F.col("edge") == kinds[0]) & F.col("far").isNotNull())
+        found.append(
+            rows.select(
+                "part",
+                F.lit(run).alias("edge"),
+                F.col("far.doc_id").alias("far_doc"),
+                F.col("far.at").alias("far_at"),
+                F.col("far.after").alias("far_after"),
+                F.col("far.before").alias("far_before"),
+            )
+        )
+    return found[0].unionByName(found[1])
 
 
 def _matches(suffixes: DataFrame, side: str, settings: Settings) -> DataFrame:
@@ -203,8 +213,8 @@ def _matches(suffixes: DataFrame, side: str, settings: Settings) -> DataFrame:
 
     The sort is by range over the whole key, down to document and position, so that even one passage
     that a third of all documents share is spread evenly. What lies on both sides of a border between
-    tasks is compared afterwards: each task writes its first and last run of rows, and hands on at most
-    four rows, which tell the driver the nearest row of another document for every such run.
+    tasks is compared afterwards: each task writes its first and last run of rows and at most four rows
+    more, from which a window finds the nearest row of another document for every such run.
     """
     kind = suffixes.schema["doc_id"].dataType.simpleString()
     n = suffixes.count()
@@ -257,26 +267,37 @@ def _matches(suffixes: DataFrame, side: str, settings: Settings) -> DataFrame:
 
     ordered = suffixes.select(*names).repartitionByRange(parts, *key).sortWithinPartitions(*key)
     found = materialise(ordered.mapInArrow(each, schema), "passages-matches")
-    tasks: dict[int, dict[int, tuple]] = {}
-    for r in found.where(F.col("edge") >= _FIRST).select("part", "edge", *names).collect():  # four a task
-        tasks.setdefault(r["part"], {})[r["edge"]] = (r["seed"], r["doc_id"], r["at"], bytes(r["after"]), bytes(r["before"]))
-    foreign = _foreign(tasks)
+    foreign = _foreign(found.where(F.col("edge") >= _FIRST).select("part", "edge", *names))
 
     def across(batches):
         for batch in batches:
             work = _Neighbours(settings.least)
-            for part, edge, *row in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
-                if (part, edge) in foreign:
-                    work.compare(foreign[part, edge], tuple(row))
+            for seed, doc, at, after, before, far_doc, far_at, far_after, far_before in zip(
+                *(batch.column(k).to_pylist() for k in range(9)), strict=True
+            ):
+                work.compare((seed, far_doc, far_at, far_after, far_before), (seed, doc, at, after, before))
             columns = zip(*work.found, strict=True) if work.found else ([],) * 4
             types = (doc_type, pa.int32(), pa.int32(), doc_type)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "start", "stop", "other"])
 
     border = found.where(F.col("edge") < _FIRST).select("part", "edge", *names)
+    met = border.join(foreign, ["part", "edge"]).drop("part", "edge")
     matches = found.where("edge is null").select("doc_id", "start", "stop", "other")
-    if not foreign:
-        return matches
-    return matches.unionByName(border.mapInArrow(across, f"doc_id {kind}, start int, stop int, other {kind}"))
+    return matches.unionByName(met.mapInArrow(across, f"doc_id {kind}, start int, stop int, other {kind}"))
+
+
+def _in_several(kept: DataFrame) -> DataFrame:
+    """The suffixes whose seed occurs in more than one document.
+
+    At most ``HOT`` seeds have a ``HOT``-th of all suffixes or more. Theirs are told by a broadcast of those seeds and
+    stay where they are; all others meet their seeds by a shuffle in which no seed is large.
+    """
+    counts = kept.groupBy("seed").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.count("*").alias("n"))
+    shared = materialise(counts.where("x <> y").select("seed", "n"), "passages-seeds")
+    often = F.col("n") * HOT >= kept.count()
+    hot = F.broadcast(shared.where(often).select("seed"))
+    rare = shared.where(~often).select("seed")
+    return kept.join(hot, "seed", "left_semi").unionByName(kept.join(hot, "seed", "left_anti").join(rare, "seed", "left_semi"))
 
 
 def repeated_passages(
@@ -293,8 +314,7 @@ def repeated_passages(
     texts = pick(docs, id_column, text_column).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     texts = texts.withColumn("copy", F.xxhash64("text"))  # an id may be repeated with another text
     kept = materialise(_suffixes(texts, settings), "passages-suffixes")
-    shared = kept.groupBy("seed").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y").select("seed")
-    places = kept.join(shared, "seed").groupBy("doc_id", "copy").agg(F.collect_set("at").alias("places"))
+    places = _in_several(kept).groupBy("doc_id", "copy").agg(F.collect_set("at").alias("places"))
     suffixes = materialise(_contexts(texts.join(places, ["doc_id", "copy"]), settings), "passages-contexts")
     matches = _matches(suffixes, "after", settings).unionByName(_matches(suffixes, "before", settings))
     return _joined(matches)
