@@ -1,4 +1,5 @@
 import random
+
 import numpy as np
 import pytest
 from brute import components, contained, prose, repeated_words, shingles, words
@@ -158,6 +159,34 @@ def test_runs_longer_than_a_task_meet_the_other_document(spark):
     assert covered(passages.repeated_passages(docs, passages.Settings(task_rows=2)).collect()) == repeated_words(rows)
 
 
+def test_many_items_in_many_blocks(spark):
+    items = [(i, prose(1000 + i, 6)) for i in range(10_000)]
+    rows = [(d, f"{prose(d, 30)} {items[37 * d][1]} {prose(d + 500, 30)}" if d % 2 else prose(d, 60)) for d in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    size = sum(len(t) for _, t in items)
+    setting = decontamination.Settings(block_chars=size // 3)
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.find_items(docs, bench, setting).collect()}
+    assert got == {(r["doc_id"], r["item_id"]) for r in decontamination.find_items(docs, bench).collect()}
+    assert got >= {(d, 37 * d) for d in range(1, 200, 2)}
+    hit = {d for d, _ in got}
+    for one in (setting, decontamination.Settings()):
+        assert {r["doc_id"] for r in decontamination.uncontaminated(docs, bench, one).collect()} == set(range(200)) - hit
+    with pytest.raises(ValueError, match="blocks"):
+        decontamination.is_contaminated(docs, bench, setting)
+
+
+def test_rows_without_items_stay(spark, corner, empty):
+    items = spark.createDataFrame([(1, "one two three four five six"), (None, "")], "item_id int, text string")
+    flagged = corner.where(~decontamination.is_contaminated(corner, items))
+    for setting in (decontamination.Settings(), decontamination.Settings(block_chars=5)):
+        left = decontamination.uncontaminated(corner, items, setting)
+        assert left.columns == corner.columns
+        assert sorted(map(repr, left.collect())) == sorted(map(repr, flagged.collect()))
+        assert decontamination.uncontaminated(empty, items, setting).count() == 0
+    assert decontamination.uncontaminated(corner, items.limit(0)).count() == corner.count()
+
+
 def test_nearest_foreign_rows_at_borders_against_a_loop(spark):
     rng = random.Random(5)
     keys = sorted((rng.randint(1, 4), rng.randint(1, 3), at) for at in range(60))

@@ -9,6 +9,7 @@ their shingles, and what is hit is verified on the exact shingles.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from txmetrics.functions.columns import col
 from txmetrics.llm import words
 from txmetrics.llm.frames import map_texts, pick, steps
+from txmetrics.sinks.tables import materialise
 
 #: Prefilter: a bit for each value of the leading bits of a sketch hash.
 _LEAD = np.uint64(64 - 20)
@@ -118,18 +120,24 @@ class Items:
         return sum(seen.values())
 
 
-def item_blocks(items: DataFrame, id_column: str, text_column: str, settings: Settings) -> list[list[tuple]]:
-    """The distinct items with a text, in blocks that each hold about ``block_chars`` characters."""
+def item_blocks(items: DataFrame, id_column: str, text_column: str, settings: Settings) -> tuple[int, Iterator[list[tuple]]]:
+    """The distinct items with a text: how many blocks of about ``block_chars`` characters they make, and the
+    blocks one after another, each fetched when it is asked for. Items of several blocks are written once, by block."""
     rows = items.select(col(id_column).alias("id"), col(text_column).cast("string").alias("text")).where(F.col("text").isNotNull()).distinct()
     total = rows.select(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     parts = total // settings.block_chars + 1
-    out = []
-    for k in range(parts):
-        block = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == k) if parts > 1 else rows
-        found = [(r["id"], r["text"]) for r in block.collect()]
-        if found:
-            out.append(sorted(found, key=lambda r: (str(r[0]), r[1])))
-    return out
+    if parts > 1:
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(parts)))
+        rows = materialise(rows.repartition("block").sortWithinPartitions("block"), "decontamination-items")
+
+    def fetch() -> Iterator[list[tuple]]:
+        for k in range(parts):
+            block = rows.where(F.col("block") == k) if parts > 1 else rows
+            found = [(r["id"], r["text"]) for r in block.collect()]
+            if found:
+                yield sorted(found, key=lambda r: (str(r[0]), r[1]))
+
+    return parts, fetch()
 
 
 def find_items(
@@ -146,14 +154,18 @@ def find_items(
     An item is contained if ``percent`` hundredths or more of its distinct five-word shingles (A-Z
     lower-cased) occur anywhere in the document. An item with fewer words is one shingle of its own
     length. Items without words and documents without words match nothing. Repeated rows of
-    documents give a match each; repeated rows of items count once.
+    documents give a match each; repeated rows of items count once. Null ids are ids like others, an
+    empty table of documents or items gives no rows, and of columns with clashing names only those named are read.
+    A very long text is a step of its own. Items of more than ``block_chars`` characters are searched block by
+    block: the matches of one block are written before the next is fetched.
     """
     kind = items.schema[item_id].dataType.simpleString()
     pa_type = to_arrow_type(items.schema[item_id].dataType)
     texts = pick(docs, id_column, text_column)
     schema = f"doc_id, item_id {kind}, shared long, item_shingles long"
     out = None
-    for rows in item_blocks(items, item_id, item_text, settings):
+    parts, blocks = item_blocks(items, item_id, item_text, settings)
+    for rows in blocks:
 
         def each(ids, texts, block):
             found = block.matches(texts)
@@ -165,6 +177,8 @@ def find_items(
             }
 
         part = map_texts(texts, schema, each, lambda rows=rows: Items(rows, settings))
+        if parts > 1:
+            part = materialise(part, "decontamination-found")
         out = part if out is None else out.unionByName(part)
     if out is None:
         doc_kind = texts.schema["doc_id"].dataType.simpleString()
@@ -172,12 +186,35 @@ def find_items(
     return out
 
 
+def uncontaminated(
+    docs: DataFrame, items: DataFrame, settings: Settings = Settings(), text_column: str = "text", item_id: str = "item_id", item_text: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` whose text contains no item, with all their columns.
+
+    Null and empty texts contain none; an empty table of items takes nothing away; repeated rows and rows with a null
+    id stay or go by their text. Items of more than ``block_chars`` characters are searched block by block: what one
+    block leaves is written before the next is fetched, so driver and tasks hold one block.
+    """
+    parts, blocks = item_blocks(items, item_id, item_text, settings)
+    for rows in blocks:
+        docs = docs.where(~_hit(rows, settings)(F.coalesce(col(text_column).cast("string"), F.lit(""))))
+        if parts > 1:
+            docs = materialise(docs, "decontamination-left")
+    return docs
+
+
 def is_contaminated(
     docs: DataFrame, items: DataFrame, settings: Settings = Settings(), text_column: str = "text", item_id: str = "item_id", item_text: str = "text"
 ) -> Column:
-    """A condition on ``docs``: the text contains an item. False for a null text."""
+    """A condition on ``docs``: the text contains an item. False for a null text and for no items.
+
+    A condition holds all items at once, so it is for those of one block; :func:`uncontaminated` takes any number.
+    """
+    parts, blocks = item_blocks(items, item_id, item_text, settings)
+    if parts > 1:
+        raise ValueError(f"the items are {parts} blocks of {settings.block_chars} characters: use uncontaminated")
     out = F.lit(False)
-    for rows in item_blocks(items, item_id, item_text, settings):
+    for rows in blocks:
         out = out | _hit(rows, settings)(F.coalesce(col(text_column).cast("string"), F.lit("")))
     return out
 
