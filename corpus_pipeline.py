@@ -55,7 +55,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def without_benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leave out documents that contain a benchmark item. Null and empty texts contain none."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return docs.where(~decontamination.is_contaminated(docs, items))
+    return decontamination.uncontaminated(docs, items)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
