@@ -150,6 +150,18 @@ def test_rule_counts_against_brute_force(spark, corner, corner_rows, document_ro
         assert not (judged[i]["kept"] and judged[i]["base_failed"])
 
 
+def test_an_expensive_rule_comes_late_in_every_run(spark):
+    slow = F.aggregate(F.sequence(F.lit(1), F.lit(20_000)), F.col("id"), lambda s, x: (s * 31 + x) % 1_000_003)
+    rules = [
+        quality_rules.Rule("slow", (F.col("__slow") >= 0) & (F.col("id") < 300)),
+        quality_rules.Rule("never", F.col("id") < 0),
+        quality_rules.Rule("cheap", F.col("id") < 300),
+    ]
+    sample = spark.range(1000)
+    orders = {tuple(r.name for r in quality_rules.plan_cascade(sample, rules, lambda df: df.withColumn("__slow", slow))) for _ in range(10)}
+    assert orders == {("cheap", "slow", "never")}
+
+
 def test_cascade_orders_by_rejections_per_cost(spark):
     sample = spark.range(1000)
     rules = [
