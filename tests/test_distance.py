@@ -91,3 +91,26 @@ def test_routes_agree_on_long_texts(spark):
     frame = spark.createDataFrame(rows, "a STRING, b STRING")
     got = frame.select(*[ds.edit_distance(F.col("a"), F.col("b"), m).alias(m) for m in ("auto", "builtin", "arrow")]).collect()
     assert all(r.auto == r.builtin == r.arrow for r in got)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("abc", min_size=1, max_size=300), min_size=1, max_size=4), st.text("abc", min_size=1, max_size=300), st.integers(1, 70))
+def test_bounds_hold(patterns, text, reach):
+    true = [brute(p, text) for p in patterns]
+    assert all(u >= d for u, d in zip(ds.path_bounds(patterns, text, reach), true))
+    assert all(low <= d <= high for (low, high), d in zip((ds._bounds(patterns, text)[p] for p in patterns), true))
+
+
+def test_bounds_settle_long_texts_or_give_a_tight_band(monkeypatch):
+    rng = random.Random(11)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(9000))
+    readings = [text.translate(str.maketrans("abc", "418")), text.replace("e", ""), text.replace("f", "ff"), "X" * 40 + text.replace("d", "4")]
+    asked = []
+    monkeypatch.setattr(ds, "full_distances", lambda *a: asked.append(a) or [])
+    monkeypatch.setattr(ds, "band_distances", lambda *a: asked.append(a) or [])
+    assert ds.text_distances(readings[:2], text) == [sum(map(text.count, "abc")), text.count("e")]
+    assert ds.text_distances(readings[2:], text) == [text.count("f"), 40 + text.count("d")] and not asked
+    monkeypatch.undo()
+    mixed = "".join(rng.choice(["", c + "x", "b", "a"]) if rng.random() < 0.08 else c for c in text)
+    true = ds.full_distances([mixed], text)
+    assert ds.text_distances([mixed], text) == true and ds.path_bounds([mixed], text)[0] <= true[0] + 50
