@@ -148,3 +148,18 @@ def test_a_model_that_did_not_start_is_pending_again_in_its_journal(spark, image
     again = batch_infer(images, models, PROVIDERS | {"broken": PROVIDERS["plain"]}, journal=journal)
     assert {r.model: (r.answered, r.unanswered) for r in again.status.collect()} == {"x": (3, 0), "p": (3, 0)}
     assert texts(again.outputs)[("x", "a.png")] == "x:a.png"
+
+
+def test_images_are_joined_once_for_all_chunks(spark, tmp_path, monkeypatch):
+    from txmetrics.plans import inference
+
+    rows = [(f"i{k}.png", None if k == 3 else "b", f"text {k}".encode()) for k in range(40)]
+    images = spark.createDataFrame([*rows, rows[0]], "image_name STRING, batch_id STRING, content BINARY")
+    each = Provider(lambda image, settings, state: image["content"].decode(), kind=None)
+    joins, join = [], inference.same_key
+    monkeypatch.setattr(inference, "same_key", lambda *a: joins.append(a) or join(*a))
+    found = batch_infer(images, {"m": {"provider": "each"}, "n": {"provider": "each"}}, {"each": each}, journal=str(tmp_path / "j"), chunk_rows=8)
+    assert len(joins) == 1
+    got = Counter((r.model, r.image_name, r.inference) for r in found.outputs.collect())
+    assert set(got) == {(m, n, c.decode()) for m in "mn" for n, _, c in rows}
+    assert {(r.model, r.answered) for r in found.status.collect()} == {("m", 41), ("n", 41)}

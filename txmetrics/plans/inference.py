@@ -98,12 +98,43 @@ def with_content(pending: DataFrame, images: DataFrame) -> DataFrame:
     asked to be a sort-merge join: a broadcast of few keys would leave all calls in as many tasks as
     the images have files, and calls cost far more than moving bytes.
     """
-    keys = [c for c in ("batch_id", "image_name", "path") if c in images.columns]
+    return _by_model(_wanted(pending, images))
+
+
+def _image_keys(images: DataFrame) -> list[str]:
+    return [c for c in ("batch_id", "image_name", "path") if c in images.columns]
+
+
+def _wanted(pending: DataFrame, images: DataFrame) -> DataFrame:
+    """The images that have pending rows, these as a list."""
+    keys = _image_keys(images)
     wanted = pending.groupBy(*keys).agg(F.collect_list(F.struct("model", "kind", "stem")).alias("_models"))
     names = {k: f"_key_{k}" for k in keys}
     side = wanted.select(*[F.col(k).alias(n) for k, n in names.items()], "_models")
-    joined = images.join(side.hint("merge"), same_key(images, side, keys, list(names.values())), "inner").drop(*names.values())
-    return joined.withColumn("_m", F.explode(F.array_distinct("_models"))).drop("_models").select("_m.*", "*").drop("_m")
+    return images.join(side.hint("merge"), same_key(images, side, keys, list(names.values())), "inner").drop(*names.values())
+
+
+def _by_model(wanted: DataFrame) -> DataFrame:
+    return wanted.withColumn("_m", F.explode(F.array_distinct("_models"))).drop("_models").select("_m.*", "*").drop("_m")
+
+
+#: Column of the chunk, by which the images of all chunks are laid out.
+CHUNK = "_chunk"
+
+
+def _lay_out_chunks(pending: DataFrame, images: DataFrame, chunks: int, tasks: int) -> DataFrame:
+    """The images of all chunks as one table with a partition for each, of about ``tasks`` files.
+
+    However many chunks there are, the bytes of an image are joined and written once; a chunk reads its own folder.
+    """
+    spark = images.sparkSession
+    place = F.xxhash64(*[F.col(k) for k in _image_keys(images)])
+    rows = _wanted(pending, images).withColumn(CHUNK, F.pmod(place, F.lit(chunks)).cast("int"))
+    # The files of a chunk are read by a task each, as Spark packs small files up to the number of cores.
+    rows = rows.repartition(chunks * tasks, CHUNK, F.pmod(F.floor(place / chunks), F.lit(tasks)))
+    path = f"{shared_folder(spark)}/inference-chunks-{uuid.uuid4().hex}"
+    rows.write.partitionBy(CHUNK).parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 RESULT_SCHEMA = (
@@ -200,11 +231,17 @@ def answer(
     rows = left.count()
     chunks = math.ceil(rows / chunk_rows)
     of_chunk = F.pmod(F.xxhash64(*CALL), F.lit(max(chunks, 1)))
+    tasks = max_parallel or max(1, min(math.ceil(rows / max(chunks, 1) / CALLS_PER_TASK), 4 * spark.sparkContext.defaultParallelism))
+    laid = None
+    if images is not None and chunks > 1:
+        laid = _lay_out_chunks(left, images, chunks, min(tasks, spark.sparkContext.defaultParallelism))
     for k in range(chunks):
-        part = left.where(of_chunk == k) if chunks > 1 else left
-        tasks = max_parallel or max(1, min(math.ceil(rows / chunks / CALLS_PER_TASK), 4 * spark.sparkContext.defaultParallelism))
-        if images is not None:
-            part = with_content(part, images)
+        if laid is not None:
+            part = _by_model(laid.where(F.col(CHUNK) == k).drop(CHUNK))
+        else:
+            part = left.where(of_chunk == k) if chunks > 1 else left
+            if images is not None:
+                part = with_content(part, images)
         if images is None or max_parallel is not None:
             part = part.repartition(tasks)
         answers = part.sortWithinPartitions("model").mapInPandas(_runner(models, providers, attempts), RESULT_SCHEMA)
@@ -245,8 +282,8 @@ def batch_infer(
     call is repeated for a second output. A run that fails or is killed is started again with the same
     ``journal`` and repeats only calls of the chunk it was in; failed calls that are committed count as made.
     The journal is a folder that all machines share, for one run at a time; by default it is a new
-    one in the shared folder, which the error of a failed run names. Images with bytes are joined to each
-    chunk anew, by a scan of their keys.
+    one in the shared folder, which the error of a failed run names. Where there are several chunks, images with
+    bytes are joined to their calls once and written by chunk to the shared folder; an image is in one chunk with all its models.
 
     ``status`` has a row per model: ``ok``, its ``error`` (also of a partial failure), and how many
     rows were ``answered`` and ``unanswered`` in this run. ``cache_rows`` are the new responses to
