@@ -208,3 +208,18 @@ def test_response_caches(spark, tmp_path):
     assert sources.structured_cache(spark, str(tmp_path / "g"), "m.1").first().raw == '{"lines":[]}'
     assert sources.structured_cache(spark, str(tmp_path / "g"), "absent").count() == 0
     assert sources.vision_cache(spark, str(tmp_path / "g2"), "m").count() == 0
+
+
+def test_json_documents_are_scanned_as_packed_texts(spark, tmp_path):
+    folder = tmp_path / "a b"
+    folder.mkdir()
+    (folder / "1.json").write_text('{\n "x": 1,\n "t": "é\\n"}\n', encoding="utf-8")
+    (folder / "2.json").write_text('\ufeff[{"x": 2.5}, {"x": 3,\n "u": {"v": [1]}}]', encoding="utf-8")
+    (folder / "3.json").write_text("")
+    found = sources.read_json(spark, f"{tmp_path}/*")
+    assert "FileScan json" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.columns == ["t", "u", "x"]
+    assert sorted((r.x, r.t, r.u and r.u.v) for r in found.collect()) == [(1.0, "é\n", None), (2.5, None, None), (3.0, None, [1])]
+    (tmp_path / "by" / "k=5").mkdir(parents=True)
+    (tmp_path / "by" / "k=5" / "1.json").write_text('{"x":\n 1}')
+    assert [(r.k, r.x) for r in sources.read_json(spark, f"{tmp_path}/by").collect()] == [(5, 1)]

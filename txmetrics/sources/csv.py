@@ -254,6 +254,14 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """Generic JSON reader for whole-document files; a missing path raises."""
+    """Generic JSON reader for whole-document files, in UTF-8; a missing path raises.
+
+    The multi-line source prepares every file on its own, one after another on the driver, so many small files are scanned
+    as whole texts, which are packed into tasks, and parsed as strings. Folders named ``key=value`` add columns,
+    which only the source itself can give.
+    """
     require_path(spark, path)
-    return spark.read.json(path, multiLine=True)
+    texts = spark.read.text(path, wholetext=True)
+    if texts.columns != ["value"]:
+        return spark.read.json(path, multiLine=True)
+    return spark.read.json(texts.rdd.map(lambda row: row.value.removeprefix("\ufeff")))
