@@ -210,6 +210,23 @@ def test_response_caches(spark, tmp_path):
     assert sources.vision_cache(spark, str(tmp_path / "g2"), "m").count() == 0
 
 
+def test_scans_of_trees_hold_no_paths_in_the_driver(spark, benchmark_tree, tmp_path):
+    import gzip
+
+    (benchmark_tree / "images" / "batch-1" / "void.bin").write_bytes(b"")
+    images = sources.image_listing(spark, str(benchmark_tree), content=True)
+    texts = sources.transcript_files(spark, f"file:{benchmark_tree}")
+    (tmp_path / "v" / "b 1").mkdir(parents=True)
+    (tmp_path / "v" / "b 1" / "x.y.json.gz").write_bytes(gzip.compress('{"a": "é"}'.encode()) + gzip.compress(b" "))
+    (tmp_path / "v" / "b 1" / "none.json.gz").write_bytes(b"")
+    (tmp_path / "v" / "b 1" / "other.json").write_text("{}")
+    cache = sources.vision_cache(spark, str(tmp_path / "v"), "m")
+    assert images.inputFiles() == texts.inputFiles() == cache.inputFiles() == []
+    assert {r.path for r in images.collect()} >= {f"file:{benchmark_tree}/images/batch-1/void.bin"} and images.count() == 4
+    assert {(r.batch_id, r.stem) for r in texts.collect()} == {("batch-1", "img_001"), ("batch-1", "img_002"), ("batch-2", "img_003")}
+    assert [tuple(r) for r in cache.collect()] == [("m", "b 1", "x.y", "vision", '{"a": "é"} ')]
+
+
 def test_json_documents_are_scanned_as_packed_texts(spark, tmp_path):
     folder = tmp_path / "a b"
     folder.mkdir()
@@ -223,3 +240,15 @@ def test_json_documents_are_scanned_as_packed_texts(spark, tmp_path):
     (tmp_path / "by" / "k=5").mkdir(parents=True)
     (tmp_path / "by" / "k=5" / "1.json").write_text('{"x":\n 1}')
     assert [(r.k, r.x) for r in sources.read_json(spark, f"{tmp_path}/by").collect()] == [(5, 1)]
+
+
+def test_a_listing_gives_spark_folders_and_takes_empty_files_from_tasks(spark, benchmark_tree):
+    (benchmark_tree / "images" / "batch-1" / "void é.bin").write_bytes(b"")
+    (benchmark_tree / "images" / "batch-1" / "sub").mkdir()
+    (benchmark_tree / "images" / "batch-1" / "sub" / "void.bin").write_bytes(b"")
+    for k in range(3):
+        (benchmark_tree / "images" / f"stray {k}.bin").write_bytes(b"x")
+    listing = sources.image_listing(spark, str(benchmark_tree))
+    plan = listing._jdf.queryExecution().executedPlan().toString()
+    assert "LocalTableScan" not in plan and "Location: InMemoryFileIndex(2 paths)" in plan
+    assert {r.image_name: r.length for r in listing.collect()}["void é.bin"] == 0 and listing.count() == 4

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import gzip
 import re
+from collections.abc import Iterator
 from urllib.parse import unquote
 
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txmetrics.functions.text import decode_uri, is_native, mime_type, stem, suffix
-from txmetrics.sources.csv import path_exists
-from txmetrics.sources.storage import read_files
+from txmetrics.functions.text import is_native, mime_type, stem, suffix
+from txmetrics.sources.csv import _glob_literal as glob_literal
+from txmetrics.sources.storage import file_system, list_files, list_folders, read_files
 
 
 def split_path(path: str, tree: str, names: tuple[str, str] = ("batch_id", "image_name")) -> list:
@@ -19,20 +23,71 @@ def split_path(path: str, tree: str, names: tuple[str, str] = ("batch_id", "imag
     return [F.regexp_extract(path, pattern, i + 1).alias(name) for i, name in enumerate(names)]
 
 
-def _tree(spark: SparkSession, pattern: str, columns: list[str]) -> DataFrame:
-    """Files under a two-level pattern; an absent tree is an empty table.
+def _tree(spark: SparkSession, root: str, columns: list[str], folder: str | None = None, ending: str = "") -> DataFrame:
+    """Files at ``<root>/<folder>/<file>`` whose names end with ``ending``; an absent tree is an empty table.
 
-    A Spark scan leaves out files of zero bytes, which are an image or a transcript like any
-    other here. Their names are in the file index that the driver holds for the scan anyway.
+    Tasks list the folders and read the files, so no path passes through the driver. Stores that only Spark
+    can reach are scanned by its own file source.
     """
-    if not path_exists(spark, pattern):
-        schema = {"path": "path STRING", "length": "length BIGINT", "content": "content BINARY"}
+    files = _listed(spark, root, folder, ending)
+    if files is None:
+        return _spark_tree(spark, root, columns, folder, ending)
+    if "content" in columns:
+        # A folder is listed by one task; its files are read by all.
+        files = read_files(files.repartition(4 * spark.sparkContext.defaultParallelism))
+    return files.select(*columns)
+
+
+def _folders(spark: SparkSession, root: str) -> DataFrame | None:
+    """The folders below ``root``; None if only Spark can reach the store."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    root = top.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(top).toString()
+    try:
+        file_system(root)
+    except (ValueError, OSError):  # a scheme that pyarrow does not know, or a store whose client is missing
+        return None
+    return list_folders(spark, root)
+
+
+def _listed(spark: SparkSession, root: str, folder: str | None, ending: str) -> DataFrame | None:
+    """``path`` and ``length`` as listed by tasks; None if only Spark can reach the store."""
+    folders = _folders(spark, root)
+    if folders is None:
+        return None
+    if folder is not None:
+        folders = folders.where(F.col("batch_id") == folder)
+    return list_files(folders, ending).select(F.regexp_replace("path", "^(file:)?/+", "file:/").alias("path"), "length")
+
+
+def _spark_tree(spark: SparkSession, root: str, columns: list[str], folder: str | None = None, ending: str = "") -> DataFrame:
+    """The same by Spark's file source, which holds all paths in the driver. Deeper files may be among them.
+
+    It is given the folders, not their files: a glob of many files is listed by a job that sends every one of them to the driver.
+    A Spark scan leaves out files of zero bytes, which are an image or a transcript like any other
+    here; tasks list them, or their names are taken from the index that the driver holds anyway.
+    """
+    schema = {"path": "path STRING", "length": "length BIGINT", "content": "content BINARY"}
+    paths = [f"{root}/{folder or '*'}"]
+    if folder is None and (folders := _folders(spark, root)) is not None:
+        # A glob would take files that lie beside the folders for folders as well.
+        paths = [glob_literal(f"{root}/{row.batch_id}") for row in folders.select("batch_id").collect()]
+    try:
+        files = spark.read.format("binaryFile").load(paths) if paths else None
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        files = None
+    if files is None:
         return spark.createDataFrame([], ", ".join(schema[c] for c in columns))
-    files = spark.read.format("binaryFile").load(pattern)
-    names = [(re.sub("^file:/+", "file:/", unquote(uri)),) for uri in files.inputFiles()]
-    empty = spark.createDataFrame(names, "path STRING").join(files.select("path"), "path", "left_anti")
+    listed = _listed(spark, root, folder, ending)
+    if listed is None:
+        names = [(re.sub("^file:/+", "file:/", unquote(uri)),) for uri in files.inputFiles()]
+        empty = spark.createDataFrame(names, "path STRING").join(files.select("path"), "path", "left_anti")
+    else:
+        empty = listed.where("length = 0")
     nothing = {"path": F.col("path"), "length": F.lit(0).cast("long"), "content": F.lit(b"")}
-    return files.select(*columns).unionByName(empty.select(*[nothing[c].alias(c) for c in columns]))
+    found = files.select(*columns).unionByName(empty.select(*[nothing[c].alias(c) for c in columns]))
+    return found.where(F.endswith("path", F.lit(ending))) if ending else found
 
 
 def image_listing(
@@ -40,11 +95,11 @@ def image_listing(
 ) -> DataFrame:
     """Images at ``<root>/images/<batch>/<file>``, any extension.
 
-    Without ``content`` the bytes are never read. Files at the root of ``images`` and files in
+    Without ``content`` the bytes are never read, and the listing is that of Spark's file source. Files at the root of ``images`` and files in
     deeper directories are not images. Spark leaves out names that start with ``_`` or ``.``.
     """
     columns = ["path", "length"] + (["content"] if content else [])
-    return _images(_tree(spark, f"{root}/images/{batch_id or '*'}/*", columns), columns)
+    return _images((_tree if content else _spark_tree)(spark, f"{root}/images", columns, batch_id), columns)
 
 
 def images_of(manifest: DataFrame) -> DataFrame:
@@ -76,16 +131,16 @@ def image_bytes(
     return listing.withColumn("native", is_native(F.col("image_name"), service))
 
 
-def _contents(spark: SparkSession, pattern: str, manifest: DataFrame | None) -> DataFrame:
-    """``path`` and ``content`` of the files of a pattern, or of a manifest."""
+def _contents(spark: SparkSession, root: str, ending: str, manifest: DataFrame | None) -> DataFrame:
+    """``path`` and ``content`` of the files of a tree, or of a manifest."""
     if manifest is None:
-        return _tree(spark, pattern, ["path", "content"])
+        return _tree(spark, root, ["path", "content"], ending=ending)
     return read_files(manifest.select("path"))
 
 
 def transcript_files(spark: SparkSession, root: str, manifest: DataFrame | None = None) -> DataFrame:
     """Whole-file transcripts at ``<root>/transcripts/<batch>/<stem>.txt``, or those of a manifest of that tree."""
-    files = _contents(spark, f"{root}/transcripts/*/*.txt", manifest)
+    files = _contents(spark, f"{root}/transcripts", ".txt", manifest)
     return (
         files.select(*split_path("path", "transcripts", ("batch_id", "_file")), F.decode("content", "UTF-8").alias("transcript"))
         .where("batch_id != ''")
@@ -108,26 +163,28 @@ def _cache(files: DataFrame, raw, model: str, kind: str, ending: str) -> DataFra
     )
 
 
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            yield pa.RecordBatch.from_pydict({"path": pa.array([path]), "content": pa.array([gzip.decompress(content)], pa.binary())})
+
+
 def vision_cache(spark: SparkSession, root: str, model: str) -> DataFrame:
-    """Stored vision responses ``<root>/<batch>/<stem>.json.gz`` (unpacked by the text scan's codec)."""
-    pattern = f"{root}/*/*.json.gz"
-    if not path_exists(spark, pattern):
-        return spark.createDataFrame([], CACHE_SCHEMA)
-    files = spark.read.text(pattern, wholetext=True).select(
-        decode_uri(F.col("_metadata.file_path")).alias("path"), "value"
-    )
-    return _cache(files, F.col("value"), model, "vision", r"\.json\.gz$")
+    """Stored vision responses ``<root>/<batch>/<stem>.json.gz``, unpacked by the tasks that read them; files of no bytes are none."""
+    files = _tree(spark, root, ["path", "content"], ending=".json.gz").where(F.length("content") > 0)
+    files = files.mapInArrow(_unpacked, "path STRING, content BINARY")
+    return _cache(files, F.decode("content", "UTF-8"), model, "vision", r"\.json\.gz$")
 
 
 def structured_cache(spark: SparkSession, root: str, model: str, manifest: DataFrame | None = None) -> DataFrame:
     """Stored structured responses ``<root>/<model>/<batch>/<stem>.json``, or those of a manifest of ``<root>/<model>``."""
-    files = _contents(spark, f"{root}/{model}/*/*.json", manifest)
+    files = _contents(spark, f"{root}/{model}", ".json", manifest)
     return _cache(files, F.decode("content", "UTF-8"), model, "structured", r"\.json$")
 
 
 def plain_cache(spark: SparkSession, root: str, model: str, manifest: DataFrame | None = None) -> DataFrame:
     """Stored plain responses ``<root>/<model>/<batch>/<stem>.txt``, taken verbatim, or those of a manifest of ``<root>/<model>``."""
-    files = _contents(spark, f"{root}/{model}/*/*.txt", manifest)
+    files = _contents(spark, f"{root}/{model}", ".txt", manifest)
     return _cache(files, F.decode("content", "UTF-8"), model, "plain", r"\.txt$")
 
 
