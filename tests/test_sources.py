@@ -252,3 +252,24 @@ def test_a_listing_gives_spark_folders_and_takes_empty_files_from_tasks(spark, b
     plan = listing._jdf.queryExecution().executedPlan().toString()
     assert "LocalTableScan" not in plan and "Location: InMemoryFileIndex(2 paths)" in plan
     assert {r.image_name: r.length for r in listing.collect()}["void é.bin"] == 0 and listing.count() == 4
+
+
+def test_json_documents_are_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameReader
+
+    def refused(*args, **options):
+        raise AssertionError("a file source would keep every path in the driver")
+
+    (tmp_path / "a [b]" / "deeper").mkdir(parents=True)
+    (tmp_path / "a [b]" / "é 1.json").write_text('{"x":\n 1}', encoding="utf-8")
+    (tmp_path / "a [b]" / "_hidden.json").write_text('{"x": 2}')
+    (tmp_path / "a [b]" / "void.json").write_text("")
+    (tmp_path / "a [b]" / "deeper" / "1.json").write_text('{"x": 3}')
+    (tmp_path / "packed.json.gz").write_bytes(gzip.compress(b'{"x": 4}'))
+    with monkeypatch.context() as only_tasks:
+        only_tasks.setattr(DataFrameReader, "load", refused)
+        only_tasks.setattr(DataFrameReader, "text", refused)
+        assert sorted(r.x for r in sources.read_json(spark, f"{tmp_path}/*").collect()) == [1, 4]
+        assert sources.read_json(spark, f"{tmp_path}/a \\[b\\]/deeper").collect() == [(3,)]
+        with pytest.raises(FileNotFoundError):
+            sources.read_json(spark, f"{tmp_path}/*.xml")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from txmetrics.functions.columns import SCORE_SUFFIX, col, score_columns, to_number
 from txmetrics.functions.text import NULL_TOKENS, decode_uri, null_tokens, strip
+from txmetrics.sources.storage import list_matches, read_files, unpacked
 
 POSITION = "_pos"
 CSV_OPTIONS = {"multiLine": True, "quote": '"', "escape": '"'}
@@ -256,10 +257,16 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """Generic JSON reader for whole-document files, in UTF-8; a missing path raises.
 
-    The multi-line source prepares every file on its own, one after another on the driver, so many small files are scanned
-    as whole texts, which are packed into tasks, and parsed as strings. Folders named ``key=value`` add columns,
-    which only the source itself can give.
+    Tasks list the files and read them as whole texts, which are parsed as strings: the multi-line source prepares every file on
+    its own, and any file source keeps all paths in the driver. Stores and packings that only Spark knows are left to its file
+    sources, and so are folders named ``key=value``, which add columns.
     """
+    matches = list_matches(spark, path)
+    if matches is not None and not matches.any:
+        raise FileNotFoundError(path)
+    if matches is not None and not matches.partitions and not matches.foreign:
+        files = read_files(matches.found.select("path").repartition(4 * spark.sparkContext.defaultParallelism))
+        return spark.read.json(files.rdd.map(lambda row: unpacked(row.path, bytes(row.content)).decode("utf-8", "replace").removeprefix("\ufeff")))
     require_path(spark, path)
     texts = spark.read.text(path, wholetext=True)
     if texts.columns != ["value"]:

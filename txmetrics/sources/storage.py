@@ -8,13 +8,18 @@ read by the task that needs them. Paths are those of the local file system or of
 
 from __future__ import annotations
 
+import bz2
+import gzip
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
+from typing import NamedTuple
 from urllib.parse import quote
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -106,6 +111,130 @@ def list_tree(spark: SparkSession, root: str, ending: str = "", hidden: bool = F
     return list_files(list_folders(spark, root), ending, hidden, tasks)
 
 
+GLOB = "{}[]*?\\"
+#: Endings by which Spark's file sources unpack a file, and those that tasks unpack as well.
+PACKED = (".bz2", ".deflate", ".gz", ".lz4", ".snappy", ".zst")
+_UNPACK = {".bz2": bz2.decompress, ".deflate": zlib.decompress, ".gz": gzip.decompress}
+
+
+class Matches(NamedTuple):
+    found: DataFrame
+    #: Whether there is any match, a folder named ``key=value`` below one, a file that only Spark unpacks.
+    any: bool
+    partitions: bool
+    foreign: bool
+
+
+def _visible(name: str) -> bool:
+    """Whether Spark's file sources read a file of this name."""
+    return not (name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_"))
+
+
+def _tops(spark: SparkSession, path: str) -> list[tuple[str, str | None]] | None:
+    """Folders with the pattern that names in them must match, or paths with none; None if tasks cannot tell.
+
+    Only what stands before the last part of a pattern is looked up by the driver.
+    """
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+
+    def whole(name: str) -> str:
+        top = hadoop.Path(name)
+        return top.getFileSystem(conf).makeQualified(top).toString()
+
+    if not any(c in GLOB for c in path):
+        return [(whole(path), None)]
+    parent, slash, last = path.rstrip("/").rpartition("/")
+    if not slash or not parent or re.search(r"\{[^}]*/", path) or parent.endswith("\\"):
+        return None
+    if any(c in GLOB for c in parent):
+        top = hadoop.Path(parent)
+        # a pattern whose folders do not exist gives null
+        parents = [e.getPath().toString() for e in top.getFileSystem(conf).globStatus(top) or [] if e.isDirectory()]
+    else:
+        parents = [whole(parent)]
+    try:
+        pattern = hadoop.GlobPattern(last).compiled().pattern()
+        re.compile(pattern)
+    except (Py4JJavaError, re.error):
+        return None
+    return [(p.rstrip("/"), pattern) for p in parents]
+
+
+def list_matches(spark: SparkSession, path: str) -> Matches | None:
+    """The files that a path or a pattern of Spark's file sources stands for, listed by tasks; None if only Spark can tell.
+
+    A file that matches, and the files directly in a folder that does. ``found`` has ``path`` and ``length``; files of zero bytes
+    and hidden names are left out, as Spark does.
+    """
+    try:
+        tops = _tops(spark, path)
+        for top in tops or []:
+            file_system(top[0])
+    except (ValueError, OSError):  # a store that pyarrow does not know, or whose client is missing
+        return None
+    if tops is None:
+        return None
+
+    def matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for top, pattern in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                system, inner = file_system(top)
+                if pattern is None:
+                    entries = [(top, system.get_file_info(inner))]
+                else:
+                    listed = system.get_file_info(fs.FileSelector(inner, allow_not_found=True))
+                    entries = [(f"{top}/{e.base_name}", e) for e in listed if re.fullmatch(pattern, e.base_name, re.DOTALL)]
+                entries = [(p, e) for p, e in entries if e.type in (fs.FileType.File, fs.FileType.Directory)]
+                for lo in range(0, len(entries), 10_000):
+                    part = entries[lo : lo + 10_000]
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "name": pa.array([e.base_name for _, e in part], pa.string()),
+                            "path": pa.array([p for p, _ in part], pa.string()),
+                            "length": pa.array([e.size for _, e in part], pa.int64()),
+                            "inside": pa.array([e.type == fs.FileType.Directory for _, e in part], pa.bool_()),
+                        }
+                    )
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            partitions = foreign = False
+            for name, top, inside in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3)), strict=True):
+                foreign |= not inside and _visible(name) and _foreign(name)
+                waiting, direct = [top] if inside else [], True
+                while waiting and not partitions:
+                    system, inner = file_system(folder := waiting.pop())
+                    for e in system.get_file_info(fs.FileSelector(inner, allow_not_found=True)):
+                        if e.type == fs.FileType.Directory and _visible(e.base_name):
+                            partitions |= "=" in e.base_name
+                            waiting.append(f"{folder}/{e.base_name}")
+                        foreign |= direct and e.type == fs.FileType.File and _visible(e.base_name) and _foreign(e.base_name)
+                    direct = False
+            flags = [pa.array([batch.num_rows > 0]), pa.array([partitions]), pa.array([foreign])]
+            yield pa.RecordBatch.from_arrays(flags, ["any", "partitions", "foreign"])
+
+    some = spark.createDataFrame(tops, "top STRING, pattern STRING")
+    matched = some.mapInArrow(matching, "name STRING, path STRING, length BIGINT, inside BOOLEAN")
+    flags = matched.repartition(4 * spark.sparkContext.defaultParallelism).mapInArrow(seen, "any BOOLEAN, partitions BOOLEAN, foreign BOOLEAN")
+    known = flags.agg(*[F.coalesce(F.bool_or(c), F.lit(False)) for c in flags.columns]).first()
+    folders = matched.where("inside").select(F.col("name").alias("batch_id"), F.col("path").alias("folder"), F.lit(None).cast("timestamp").alias("folder_modified"))
+    files = matched.where("NOT inside").unionByName(list_files(folders, hidden=True), allowMissingColumns=True)
+    hidden = F.expr("name LIKE '.%' OR (startswith(name, '_') AND NOT contains(name, '=')) OR endswith(name, '._COPYING_')")
+    return Matches(files.where(~hidden & (F.col("length") > 0)).select("path", "length"), *known)
+
+
+def _foreign(name: str) -> bool:
+    return name.endswith(PACKED) and not name.endswith(tuple(_UNPACK))
+
+
+def unpacked(path: str, content: bytes) -> bytes:
+    """Content of a file, unpacked as its ending says."""
+    for ending, unpack in _UNPACK.items():
+        if path.endswith(ending):
+            return unpack(content)
+    return content
+
+
 def read_manifest(spark: SparkSession, store: str) -> DataFrame | None:
     """The newest complete manifest of a store, None if there is none."""
     try:
@@ -221,6 +350,7 @@ __all__ = [
     "file_system",
     "list_files",
     "list_folders",
+    "list_matches",
     "list_tree",
     "read_files",
     "read_manifest",
