@@ -67,7 +67,7 @@ def images_in_tree(spark, sf_dir):
 
 
 def images_scanned(spark, sf_dir):
-    """The same by Spark's own file source."""
+    """The same by `image_listing`: Spark's own file source, or tasks where the tree is too large for its index in the driver."""
     root = _lay_images(_documents(spark, sf_dir), _folder(spark, "tree"))
     return image_listing(spark, root).select(*_IMAGE)
 

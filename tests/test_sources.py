@@ -273,3 +273,32 @@ def test_json_documents_are_listed_and_read_by_tasks(spark, tmp_path, monkeypatc
         assert sources.read_json(spark, f"{tmp_path}/a \\[b\\]/deeper").collect() == [(3,)]
         with pytest.raises(FileNotFoundError):
             sources.read_json(spark, f"{tmp_path}/*.xml")
+
+
+def test_a_large_tree_of_images_is_listed_by_tasks(spark, benchmark_tree, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameReader
+
+    from txmetrics.sources import files
+
+    for name in ("void é.bin", "a b.TIF", "_a=b.png", "_hidden.png", ".hidden.png", "half._COPYING_", "sub/deep.png"):
+        place = benchmark_tree / "images" / "batch-1" / name
+        place.parent.mkdir(exist_ok=True)
+        place.write_bytes(b"" if "void" in name else b"x" * 7)
+    (benchmark_tree / "images" / "_batch 3").mkdir()
+    (benchmark_tree / "images" / "_batch 3" / "x.png").write_bytes(b"xy")
+    (benchmark_tree / "images" / "stray.png").write_bytes(b"x")
+    monkeypatch.setattr(files, "INDEXED", 14)  # 3 folders, 11 entries directly in them, and 1 deeper
+    assert "Scan binaryFile" not in (plan := sources.image_listing(spark, str(benchmark_tree))._jdf.queryExecution().executedPlan().toString()), plan
+    monkeypatch.setattr(files, "INDEXED", 15)
+    small = sources.image_listing(spark, str(benchmark_tree))
+    assert "InMemoryFileIndex(3 paths)" in small._jdf.queryExecution().executedPlan().toString()
+    expected = rows(small, "path")
+    assert len(expected) == 7
+    monkeypatch.setattr(files, "INDEXED", 0)
+
+    def refused(*args, **options):
+        raise AssertionError("a file source would keep every path in the driver")
+
+    monkeypatch.setattr(DataFrameReader, "load", refused)
+    assert rows(sources.image_listing(spark, str(benchmark_tree)), "path") == expected
+    assert rows(sources.image_listing(spark, str(benchmark_tree), "batch-2"), "path") == [r for r in expected if "batch-2" in r]

@@ -14,7 +14,11 @@ from pyspark.sql import functions as F
 
 from txmetrics.functions.text import is_native, mime_type, stem, suffix
 from txmetrics.sources.csv import _glob_literal as glob_literal
-from txmetrics.sources.storage import file_system, list_files, list_folders, read_files
+from txmetrics.sources.storage import VISIBLE, count_entries, file_system, list_files, list_folders, read_files
+
+
+#: Files and folders of a tree that Spark's file index may keep in the driver.
+INDEXED = 10_000
 
 
 def split_path(path: str, tree: str, names: tuple[str, str] = ("batch_id", "image_name")) -> list:
@@ -49,14 +53,20 @@ def _folders(spark: SparkSession, root: str) -> DataFrame | None:
     return list_folders(spark, root)
 
 
+def _batches(spark: SparkSession, root: str, folder: str | None) -> DataFrame | None:
+    """The folders below ``root``, or the one; None if only Spark can reach the store."""
+    folders = _folders(spark, root)
+    return folders if folders is None or folder is None else folders.where(F.col("batch_id") == folder)
+
+
+def _located(files: DataFrame) -> DataFrame:
+    return files.select(F.regexp_replace("path", "^(file:)?/+", "file:/").alias("path"), "length")
+
+
 def _listed(spark: SparkSession, root: str, folder: str | None, ending: str) -> DataFrame | None:
     """``path`` and ``length`` as listed by tasks; None if only Spark can reach the store."""
-    folders = _folders(spark, root)
-    if folders is None:
-        return None
-    if folder is not None:
-        folders = folders.where(F.col("batch_id") == folder)
-    return list_files(folders, ending).select(F.regexp_replace("path", "^(file:)?/+", "file:/").alias("path"), "length")
+    folders = _batches(spark, root, folder)
+    return None if folders is None else _located(list_files(folders, ending))
 
 
 def _spark_tree(spark: SparkSession, root: str, columns: list[str], folder: str | None = None, ending: str = "") -> DataFrame:
@@ -90,16 +100,30 @@ def _spark_tree(spark: SparkSession, root: str, columns: list[str], folder: str
     return found.where(F.endswith("path", F.lit(ending))) if ending else found
 
 
+def _large_tree(spark: SparkSession, root: str, folder: str | None) -> DataFrame | None:
+    """The rows of ``_spark_tree`` as listed by tasks; None for a tree that the driver can index, or that only Spark can reach."""
+    folders = _batches(spark, root, folder)
+    if folders is None or count_entries(folders, INDEXED) <= INDEXED:
+        return None
+    # Spark reads a name like _a=b, and the names of empty files are taken from list_files
+    shown = f"CASE WHEN length > 0 THEN {VISIBLE} ELSE substring(name, 1, 1) NOT IN ('_', '.') END"
+    return _located(list_files(folders, hidden=True).where(shown))
+
+
 def image_listing(
     spark: SparkSession, root: str, batch_id: str | None = None, content: bool = False
 ) -> DataFrame:
     """Images at ``<root>/images/<batch>/<file>``, any extension.
 
-    Without ``content`` the bytes are never read, and the listing is that of Spark's file source. Files at the root of ``images`` and files in
+    Without ``content`` the bytes are never read, and the listing is that of Spark's file source, which keeps it in the driver; a tree of
+    more than ``INDEXED`` entries is listed by tasks instead, with the same rows. Files at the root of ``images`` and files in
     deeper directories are not images. Spark leaves out names that start with ``_`` or ``.``.
     """
-    columns = ["path", "length"] + (["content"] if content else [])
-    return _images((_tree if content else _spark_tree)(spark, f"{root}/images", columns, batch_id), columns)
+    tree, columns = f"{root}/images", ["path", "length"] + (["content"] if content else [])
+    if content:
+        return _images(_tree(spark, tree, columns, batch_id), columns)
+    files = _large_tree(spark, tree, batch_id)
+    return _images(_spark_tree(spark, tree, columns, batch_id) if files is None else files, columns)
 
 
 def images_of(manifest: DataFrame) -> DataFrame:

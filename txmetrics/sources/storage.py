@@ -111,12 +111,35 @@ def list_tree(spark: SparkSession, root: str, ending: str = "", hidden: bool = F
     return list_files(list_folders(spark, root), ending, hidden, tasks)
 
 
+def count_entries(folders: DataFrame, most: int) -> int:
+    """The folders and all that lies below them, at any depth; beyond ``most`` only a number above it. Tasks count, the driver gets a sum."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = 0
+        for batch in batches:
+            for top in batch.column(0).to_pylist():
+                found, waiting = found + 1, [top]
+                while waiting and found <= most:
+                    system, inner = file_system(folder := waiting.pop())
+                    entries = system.get_file_info(fs.FileSelector(inner, allow_not_found=True))
+                    found += len(entries)
+                    waiting += [f"{folder}/{e.base_name}" for e in entries if e.type == fs.FileType.Directory]
+        yield pa.RecordBatch.from_pydict({"entries": pa.array([found], pa.int64())})
+
+    spread = folders.select("folder").repartition(4 * folders.sparkSession.sparkContext.defaultParallelism, "folder")
+    return spread.mapInArrow(run, "entries BIGINT").agg(F.coalesce(F.sum("entries"), F.lit(0))).first()[0]
+
+
 GLOB = "{}[]*?\\"
 #: Endings by which Spark's file sources unpack a file, and those that tasks unpack as well.
 PACKED = (".bz2", ".deflate", ".gz", ".lz4", ".snappy", ".zst")
 _UNPACK = {".bz2": bz2.decompress, ".deflate": zlib.decompress, ".gz": gzip.decompress}
 
 
+#: Of a listing's rows those whose files Spark's file sources read.
+VISIBLE = "NOT (startswith(name, '.') OR (startswith(name, '_') AND NOT contains(name, '=')) OR endswith(name, '._COPYING_'))"
+
+
 class Matches(NamedTuple):
     found: DataFrame
     #: Whether there is any match, a folder named ``key=value`` below one, a file that only Spark unpacks.
@@ -219,8 +242,7 @@ def list_matches(spark: SparkSession, path: str) -> Matches | None:
     known = flags.agg(*[F.coalesce(F.bool_or(c), F.lit(False)) for c in flags.columns]).first()
     folders = matched.where("inside").select(F.col("name").alias("batch_id"), F.col("path").alias("folder"), F.lit(None).cast("timestamp").alias("folder_modified"))
     files = matched.where("NOT inside").unionByName(list_files(folders, hidden=True), allowMissingColumns=True)
-    hidden = F.expr("name LIKE '.%' OR (startswith(name, '_') AND NOT contains(name, '=')) OR endswith(name, '._COPYING_')")
-    return Matches(files.where(~hidden & (F.col("length") > 0)).select("path", "length"), *known)
+    return Matches(files.where(VISIBLE).where("length > 0").select("path", "length"), *known)
 
 
 def _foreign(name: str) -> bool:
