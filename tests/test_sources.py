@@ -302,3 +302,17 @@ def test_a_large_tree_of_images_is_listed_by_tasks(spark, benchmark_tree, monkey
     monkeypatch.setattr(DataFrameReader, "load", refused)
     assert rows(sources.image_listing(spark, str(benchmark_tree)), "path") == expected
     assert rows(sources.image_listing(spark, str(benchmark_tree), "batch-2"), "path") == [r for r in expected if "batch-2" in r]
+
+
+def test_outputs_are_packed_and_come_back_whole(spark, tmp_path):
+    text = 'two\nlines, "quoted" ' * 500
+    data = [("m 1", f"i{k}.png", "b", None if k % 7 == 0 else f"{text}é{k}") for k in range(50)]
+    frame = spark.createDataFrame(data, "model STRING, image_name STRING, batch_id STRING, inference STRING")
+    found = normalise_outputs(spark, write_outputs(frame, str(tmp_path / "out")), str(tmp_path / "again"))
+    assert rows(found.drop("_pos").orderBy(F.expr("int(substring(image_name, 2, length(image_name) - 5))"))) == data
+    for folder in ("out", "again"):
+        parts = list((tmp_path / folder).glob("model=*/part-*"))
+        assert parts and all(p.name.endswith(".csv.gz") for p in parts)
+        assert sum(p.stat().st_size for p in parts) < 50 * len(text) / 4
+    normalise_outputs(spark, str(tmp_path / "out"), str(tmp_path / "plain"), compression=None)
+    assert all(p.name.endswith(".csv") for p in (tmp_path / "plain").glob("model=*/part-*"))

@@ -112,20 +112,25 @@ def source_images(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def write_outputs(outputs: DataFrame, directory: str, *, in_order: bool = False) -> str:
+#: Files of whole texts are packed: a CSV with newlines in quotes cannot be split, so a packed one is read by as many tasks.
+PACKING = "gzip"
+
+
+def write_outputs(outputs: DataFrame, directory: str, *, in_order: bool = False, compression: str | None = PACKING) -> str:
     """CSV export ``image_name, batch_id, inference`` in one pass, below ``model=<model>``.
 
-    Null text becomes empty. With ``in_order`` the rows of a model follow batch and image. For tables that other jobs read,
+    Null text becomes empty. With ``in_order`` the rows of a model follow batch and image. The parts are ``.csv.gz`` unless
+    ``compression`` is None. For tables that other jobs read,
     ``write_partitioned(outputs, path, ["model"], rebalance=False)`` is the better form.
     """
     rows = outputs.select("model", "image_name", "batch_id", F.coalesce("inference", F.lit("")).alias("inference"))
     order = ["model", "batch_id", "image_name"] if in_order else None
-    return export_csv(rows, directory, order_by=order, partition_by="model")
+    return export_csv(rows, directory, order_by=order, partition_by="model", compression=compression)
 
 
-def normalise_outputs(spark: SparkSession, source: str, target: str) -> DataFrame:
-    """Rewrite model CSVs with the three columns and uniform quoting.
+def normalise_outputs(spark: SparkSession, source: str, target: str, *, compression: str | None = PACKING) -> DataFrame:
+    """Rewrite model CSVs with the three columns and uniform quoting, packed as by :func:`write_outputs`.
 
     The result goes to a new place; files that are being read are never overwritten.
     """
-    return scan_outputs(spark, write_outputs(scan_outputs(spark, source), target))
+    return scan_outputs(spark, write_outputs(scan_outputs(spark, source), target, compression=compression))
