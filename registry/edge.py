@@ -14,6 +14,7 @@ from txmetrics.functions.text import SHAD, TSHEG, ZERO_WIDTH_SPACE, clean_script
 from txmetrics.operators import last_wins
 from txmetrics.plans import Provider, batch_infer, consolidate, coverage, evaluate_directory, score_map, stats_document, write_outputs
 from txmetrics.plans import catalog_projection as project
+from txmetrics.plans.dataset import PACKING
 from txmetrics.plans.inference import append_cache
 from txmetrics.sinks.csv import WRITE_OPTIONS, export_csv, write_json
 from txmetrics.sources import load_scores, load_truth, scan_outputs
@@ -114,7 +115,7 @@ def report_from_file(spark, sf_dir):
 def _evaluated(spark, sf_dir):
     folder = _folder(spark, "evaluation")
     write_outputs(t.inference(spark, sf_dir), f"{folder}/outputs")
-    export_csv(t.truth(spark, sf_dir), f"{folder}/truth.csv")
+    export_csv(t.truth(spark, sf_dir), f"{folder}/truth.csv", compression=PACKING)
     evaluate_directory(spark, f"{folder}/outputs", f"{folder}/truth.csv", f"{folder}/result")
     return f"{folder}/result"
 

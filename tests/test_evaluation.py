@@ -168,3 +168,23 @@ def test_average_of_a_tie_and_of_odd_numbers(spark):
     assert mean([]) is None and mean([None, None]) is None and mean([None, 0.5]) == 0.5
     assert mean([1e300, 1.0]) == 5e299 and mean([float("inf"), 1.0]) == float("inf")
     assert mean([float("nan"), 1.0]) != mean([float("nan"), 1.0])
+
+
+@pytest.mark.parametrize("more, shuffled_twice", [([], False), ([(None, "1", "n")], False), ([("a", "1", "last")], True), ([(None, "1", "n"), (None, "1", "m")], True)])
+def test_truth_without_repeated_keys_is_shuffled_once(spark, tmp_path, monkeypatch, more, shuffled_twice):
+    from txmetrics.plans import evaluation
+
+    asked = []
+    monkeypatch.setattr(evaluation, "last_wins", lambda *args: asked.append(1) or last_wins(*args))
+    outputs = [("a", "1", "last"), ("b", "1", "b"), (None, "1", "m"), ("b", "2", "x")]
+    truth = [("a", "1", "a"), ("b", "1", "b"), *more]
+    for name, table in (("out/m.csv", [("image_name", "batch_id", "inference"), *outputs]), ("truth.csv", [("image_name", "batch_id", "transcript"), *truth])):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        with open(tmp_path / name, "w", newline="", encoding="utf-8") as f:
+            csv.writer(f).writerows(table)
+    result = evaluate_directory(spark, str(tmp_path / "out"), str(tmp_path / "truth.csv"), str(tmp_path / "result"))
+    last = {(name, batch): text for name, batch, text in truth}
+    expected = {(n, b): (0 if last.get((n, b), "") == text else max(len(text), len(last.get((n, b), "")))) for n, b, text in outputs}
+    got = {(r.image_name, r.batch_id): r.distance for r in result.scores.collect()}
+    expected["a", "1"] = 0 if last["a", "1"] == "last" else 3
+    assert got == expected and bool(asked) == shuffled_twice

@@ -233,3 +233,27 @@ def test_script_with_a_third_of_all_rows(eager_skew):
     names = [r.script_name for r in joined.collect()]
     assert (len(names), names.count("h"), names.count(None)) == (30000, 10000, 10000)
     assert final_plan(joined).count("SortMergeJoin(skew=true)") >= 2
+
+
+@pytest.mark.parametrize("name", ["evaluated_files", "summary_cells", "summary_file"])
+def test_texts_of_the_evaluated_files_are_packed(spark, tmp_path, monkeypatch, name):
+    from registry import QUERIES, edge
+
+    text = "t" * 4000
+    documents = [(1, text, "src1"), (2, text, "src2"), (3, "x", "src2")]
+    spark.createDataFrame(documents, "doc_id BIGINT, text STRING, source STRING").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(2, 0, 0), (3, 1, 1)], "doc_id BIGINT, quality INT, toxic INT").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id BIGINT, text STRING").write.parquet(str(tmp_path / "benchmark.parquet"))
+    monkeypatch.setattr(edge, "_folder", lambda _, kind: str(tmp_path / kind))
+    found = QUERIES[name](spark, str(tmp_path))
+    if name == "evaluated_files":
+        got = {(r.model, r.image_name): r.cer for r in found.collect()}
+        assert len(got) == 11 and got["double", "doc_1.png"] == 1 and got["swap", "doc_3.png"] == 1 and got["exact", "doc_2.png"] == 0
+    else:
+        got = {(r.model, r.cell): r.value for r in found.collect()}
+        assert got["double", "overall_cer"] == 1 and got["exact", "cer_batch-2"] == 0.5 and got["drop_v2.5", "cer_batch-1"] == 0
+    for texts in ("outputs/model=*", "truth.csv"):
+        parts = list((tmp_path / "evaluation").glob(f"{texts}/part-*"))
+        assert parts and all(p.name.endswith(".csv.gz") for p in parts)
+        assert sum(p.stat().st_size for p in parts) < 4000
+    assert all(p.name.endswith(".csv") for p in (tmp_path / "evaluation" / "result").glob("per_image/*/part-*"))

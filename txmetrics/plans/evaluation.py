@@ -134,8 +134,14 @@ def evaluate_directory(
 
     Writes ``scores`` (Parquet by model), ``per_image`` (CSV by model), and ``summary.csv`` when
     there is more than one model. A missing output file raises ``FileNotFoundError``.
+
+    The keys of the truth are counted first: where none is repeated there is no last row to look for, and its texts are
+    shuffled once instead of twice.
     """
-    scores = score(scan_outputs(spark, outputs, model), load_truth(spark, truth), **options)
+    texts, table = scan_outputs(spark, outputs, model), load_truth(spark, truth)
+    if "truth_order" not in options and table.groupBy(*KEYS).count().where("count > 1").isEmpty():
+        options["truth_order"] = None
+    scores = score(texts, table, **options)
     path = write_partitioned(scores, f"{directory}/scores", ["model"])
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in scores.schema)
     written = spark.read.schema(schema).parquet(path)
